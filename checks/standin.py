@@ -7,8 +7,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shiftscope.sources.tables import Shop
 
 
+# declared types of the driver tables, so that opening one costs no job
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 SHOP_SQL = {
@@ -53,10 +73,10 @@ def shop(spark: SparkSession, sf_dir: str) -> Shop:
     t = lambda name: table(spark, sf_dir, name)
     key, bought, state = F.col("o_orderkey"), F.col("o_orderdate"), F.col("o_orderstatus")
     day = F.expr("interval '1' day")
-    nation = t("nation").select("n_nationkey", "n_name")
-    lines = t("lineitem")
+    nation = lambda: t("nation").select("n_nationkey", "n_name")
+    lines = lambda: t("lineitem")
     return Shop(
-        orders=t("orders").select(
+        orders=lambda: t("orders").select(
             key.alias("order_id"), F.col("o_custkey").alias("customer_id"),
             F.when(state == "F", "delivered").when(state == "O", "shipped").otherwise("canceled").alias("order_status"),
             bought.alias("order_purchase_timestamp"),
@@ -65,40 +85,40 @@ def shop(spark: SparkSession, sf_dir: str) -> Shop:
             F.when(state == "F", bought + (key % 37).cast("int") * day).alias("order_delivered_customer_date"),
             (bought + F.expr("interval '30' day")).alias("order_estimated_delivery_date"),
         ),
-        customers=t("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        customers=lambda: t("customer").join(nation(), F.col("c_nationkey") == F.col("n_nationkey")).select(
             F.col("c_custkey").alias("customer_id"), F.col("c_custkey").alias("customer_unique_id"),
             (F.col("c_custkey") % 1000).cast("int").alias("customer_zip_code_prefix"),
             F.col("c_mktsegment").alias("customer_city"), F.col("n_name").alias("customer_state"),
         ),
-        order_items=lines.select(
+        order_items=lambda: lines().select(
             F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("order_item_id"), F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("seller_id"), F.col("l_shipdate").alias("shipping_limit_date"),
             F.col("l_extendedprice").alias("price"), (F.col("l_extendedprice") * F.col("l_tax")).alias("freight_value"),
         ),
-        order_payments=lines.select(
+        order_payments=lambda: lines().select(
             F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("payment_sequential"),
             F.when(F.col("l_returnflag") == "A", "boleto").when(F.col("l_returnflag") == "N", "credit_card").otherwise("voucher")
             .alias("payment_type"),
             (F.col("l_linenumber") + 1).alias("payment_installments"), F.col("l_extendedprice").alias("payment_value"),
         ),
-        order_reviews=lines.select(
+        order_reviews=lambda: lines().select(
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("review_id"), F.col("l_orderkey").alias("order_id"),
             (F.col("l_quantity").cast("int") % 5 + 1).alias("review_score"), F.col("l_shipdate").alias("review_creation_date"),
         ),
-        products=t("part").select(
+        products=lambda: t("part").select(
             F.col("p_partkey").alias("product_id"),
             F.when(F.col("p_size") % 10 != 0, F.col("p_brand")).alias("product_category_name"),
             (F.col("p_size") % 5).alias("product_photos_qty"),
             F.when(F.col("p_size") % 7 != 0, F.col("p_size") * 100).alias("product_weight_g"),
         ),
-        sellers=t("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        sellers=lambda: t("supplier").join(nation(), F.col("s_nationkey") == F.col("n_nationkey")).select(
             F.col("s_suppkey").alias("seller_id"), (F.col("s_suppkey") % 1000).cast("int").alias("seller_zip_code_prefix"),
             F.concat(F.lit("city_"), F.col("s_suppkey") % 11).alias("seller_city"), F.col("n_name").alias("seller_state"),
         ),
-        category_translation=t("part").select(
+        category_translation=lambda: t("part").select(
             F.col("p_brand").alias("product_category_name"), F.concat(F.lit("en_"), F.lower("p_brand")).alias("product_category_name_english")
         ).distinct(),
-        geolocation=t("customer").select(
+        geolocation=lambda: t("customer").select(
             (F.col("c_custkey") % 1000).cast("int").alias("geolocation_zip_code_prefix"),
             (F.lit(-23.55) + (F.col("c_custkey") % 100) / 500.0).alias("geolocation_lat"),
             (F.lit(-46.63) + (F.col("c_custkey") * 7 % 100) / 500.0).alias("geolocation_lng"),

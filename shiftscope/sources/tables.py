@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -42,25 +42,33 @@ KEYS: dict[str, tuple[str, ...]] = {
 # ---- end of fixed values ----
 
 
-@dataclass(frozen=True)
 class Shop:
-    """The shop tables as lazy DataFrames."""
-
-    customers: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
-    order_payments: DataFrame
-    order_reviews: DataFrame
-    products: DataFrame
-    sellers: DataFrame
-    category_translation: DataFrame
-    geolocation: DataFrame
+    """The shop tables. A table may be given as a DataFrame or as a function that opens it on first use."""
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        unknown = sorted(set(tables) - set(SCHEMAS))
+        if unknown:
+            raise ValueError(f"unknown tables: {', '.join(unknown)}")
+        self._tables = tables
 
     def table(self, name: str) -> DataFrame:
-        return getattr(self, name)
+        if name not in self._tables:
+            raise ValueError(f"the shop has no table {name!r}")
+        found = self._tables[name]
+        if not isinstance(found, DataFrame):
+            found = self._tables[name] = found()
+        return found
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in SCHEMAS:
+            return self.table(name)
+        raise AttributeError(name)
+
+    def replace(self, **tables: DataFrame) -> Shop:
+        return Shop(**{**self._tables, **tables})
 
     def items(self) -> list[tuple[str, DataFrame]]:
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+        return [(name, self.table(name)) for name in self._tables]
 
 
 def read_csv_tables(spark: SparkSession, files: dict[str, str]) -> Shop:
