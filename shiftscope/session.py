@@ -33,6 +33,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "shiftscope"
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in {**SETTINGS, **extra}.items():
