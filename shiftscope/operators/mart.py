@@ -78,6 +78,7 @@ def save_mart(mart: dict[str, DataFrame], folder: str) -> None:
     for name, df in mart.items():
         if name.startswith("fact_"):
             month = F.date_format("purchase_date_key", "yyyy-MM")
-            df.withColumn("purchase_month", month).write.mode("overwrite").partitionBy("purchase_month").parquet(f"{folder}/{name}")
+            df = df.withColumn("purchase_month", month).hint("rebalance", "purchase_month")
+            df.write.mode("overwrite").partitionBy("purchase_month").parquet(f"{folder}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{folder}/{name}")

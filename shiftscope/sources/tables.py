@@ -90,8 +90,8 @@ def save_tables(shop: Shop, folder: str, months: bool = False) -> None:
     for name, df in shop.items():
         if name == "orders" and months:
             month = F.date_format("order_purchase_timestamp", "yyyy-MM")
-            # one shuffle by (month, hash slice): a month of any size is written by many tasks
-            df = df.withColumn("purchase_month", month)
+            # rebalanced by month: large months are split over several tasks, small ones share a task
+            df = df.withColumn("purchase_month", month).hint("rebalance", "purchase_month")
             df.write.mode("overwrite").partitionBy("purchase_month").parquet(f"{folder}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{folder}/{name}")
