@@ -364,4 +364,4 @@ def _(spark, sf):
     from shiftscope.functions.ordered import positions
 
     orders = shop(spark, sf).orders.withColumn("at", F.unix_micros(F.col("order_purchase_timestamp").cast("timestamp")))
-    return positions(orders, ["customer_id"], "at", ["order_id"], out="visit").select("customer_id", "order_id", "visit")
+    return positions(orders, ["customer_id"], "at", ["order_id"], out="visit", plain_limit=0).select("customer_id", "order_id", "visit")

@@ -9,7 +9,7 @@ from checks.registry import query
 from checks.standin import shop, table
 from shiftscope.functions.ordered import positions
 from shiftscope.operators import learn as L
-from shiftscope.session import scratch_path
+from shiftscope.session import cut_lineage, scratch_path
 
 _FEAT = """lf as (select distinct purchased_at, late, promised_days, customer_state, seller_state, same_state, order_value, freight, n_items, n_sellers,
     max_weight_g, category from (select o.order_id, o.order_purchase_timestamp as purchased_at,
@@ -186,8 +186,13 @@ _FCOLS = [c for s in _USED for c in (s, f"{s}_mean", f"{s}_slope")]
 
 @query("J21_window_features", f"select unit, cycle, {_r(*_FCOLS, digits=8)} from wf", _WIN)
 def _(spark, sf):
-    # small blocks, so that the overlapping cut is used at this size too
-    return rounded(L.window_features(readings(spark, sf), _USED, block=64), *_FCOLS, digits=8)
+    return rounded(L.window_features(readings(spark, sf), _USED), *_FCOLS, digits=8)
+
+
+@query("J21_window_features_blocks", f"select unit, cycle, {_r(*_FCOLS, digits=8)} from wf", _WIN)
+def _(spark, sf):
+    # the overlapping cut for very long units, forced at this size
+    return rounded(L.window_features(cut_lineage(readings(spark, sf)), _USED, block=64, plain_limit=0), *_FCOLS, digits=8)
 
 
 @query("J22_rul_target", "select unit, cycle, least(max(cycle) over (partition by unit) - cycle, 125) as rul from rf", _RUL)

@@ -83,7 +83,7 @@ def _bm25_sql(source: str) -> str:
 def whole_documents(spark, sf):
     docs = table(spark, sf, "documents").select(
         "doc_id", F.lit(0).alias("chunk_no"), F.when(F.col("doc_id") % 50 != 0, F.date_add(F.lit("2018-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))).alias("doc_date"), "text")
-    return R.index_columns(docs)
+    return cut_lineage(R.index_columns(docs).drop("text"))
 
 
 _DOCS = "(select doc_id, 0 as chunk_no, case when doc_id % 50 <> 0 then date '2018-01-01' + (doc_id % 365)::int end as doc_date, text from documents)"
@@ -140,7 +140,7 @@ _HYBRID = f"""{_PARAS}, {_bm25_sql('ch')}, bag as (select doc_id, chunk_no, ('0x
 def _(spark, sf):
     # the index is read by three passes, so it is written once
     index = cut_lineage(R.index_columns(chunks(spark, sf)).drop("text", "source"))
-    return R.hybrid_search(index, benchmark_queries(spark, sf), k=3, batch=16)
+    return R.hybrid_search(index, benchmark_queries(spark, sf), k=3)
 
 
 @query("L10_unsupported_numbers", """with w as (select event_type as answer_id, day, v as x, length(split_part(raw, '.', 2)) as d, raw from (

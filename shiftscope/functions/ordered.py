@@ -1,8 +1,8 @@
 """Positions, running sums and row windows over groups that may be very large.
 
-A plain ``Window.partitionBy(key)`` sends a whole key to one task. Here a group is cut into slices of
-the ordering value first, each slice is handled by its own task, and only one small row per slice
-is combined afterwards. Results are exact.
+A plain ``Window.partitionBy(key)`` sends a whole key to one task. That is used while the largest group is known
+to be small. Otherwise a group is cut into slices of the ordering value first, each slice is handled by its own task, and
+only one small row per slice is combined afterwards. Results are the same and exact.
 """
 
 from __future__ import annotations
@@ -12,6 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+PLAIN_LIMIT = 1_000_000  # rows of one group a single task may order
+
+
+def largest_group(df: DataFrame, group: Sequence[str]) -> int:
+    """Rows of the largest group (one aggregate with map-side combine)."""
+    return df.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def cut_points(df: DataFrame, lead: str, parts: int) -> list[float]:
     """About evenly spaced quantiles of ``lead``; the driver reads fewer than ``parts`` numbers."""
     probs = [i / parts for i in range(1, parts)]
@@ -43,10 +51,15 @@ def running_sums(
     ties: Sequence[str] = (),
     parts: int | None = None,
     descending: bool = False,
+    plain_limit: int = PLAIN_LIMIT,
 ) -> DataFrame:
     """Add inclusive running sums of each entry of ``sums`` within ``group`` in the order (lead, ties)."""
     parts = _parts(df, parts)
     group = list(group)
+    key = F.col(lead).desc() if descending else F.col(lead).asc()
+    if largest_group(df, group) <= plain_limit:
+        whole = Window.partitionBy(*group).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({name: F.sum(value).over(whole) for name, value in sums.items()})
     sliced = df.withColumn("_slice", slice_of(F.col(lead), cut_points(df, lead, parts)))
     if descending:
         sliced = sliced.withColumn("_slice", -F.col("_slice"))
@@ -58,7 +71,6 @@ def running_sums(
     offsets = sizes.select(
         *group, "_slice", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
     )
-    key = F.col(lead).desc() if descending else F.col(lead).asc()
     inside = Window.partitionBy(*group, "_slice").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, 0)
     out = sliced.join(offsets, [*group, "_slice"])
     for name in sums:
@@ -74,9 +86,10 @@ def positions(
     out: str = "pos",
     parts: int | None = None,
     descending: bool = False,
+    plain_limit: int = PLAIN_LIMIT,
 ) -> DataFrame:
     """Exact 1-based position of every row within its group."""
-    return running_sums(df, group, lead, {out: F.lit(1).cast("bigint")}, ties, parts, descending)
+    return running_sums(df, group, lead, {out: F.lit(1).cast("bigint")}, ties, parts, descending, plain_limit)
 
 
 def halo_blocks(df: DataFrame, pos: str, before: int, block: int = 4096) -> DataFrame:

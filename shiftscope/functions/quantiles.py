@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shiftscope.session import cut_lineage
+
 
 def median_by_count(value: str, count: str) -> Column:
     """Exact median of pre-counted values: group by (key, value) first, so copies never travel."""
@@ -18,7 +20,8 @@ def exact_quantile(df: DataFrame, col: str, q: float, keep: int = 100_000) -> fl
     The value range is narrowed with approximate percentiles until at most ``keep`` distinct values
     are left; only counts and bounds come to the driver.
     """
-    values = df.select(F.col(col).alias("x")).where(F.col("x").isNotNull())
+    # several passes follow, so the one column is written once
+    values = cut_lineage(df.select(F.col(col).alias("x")).where(F.col("x").isNotNull()))
     n = values.count()
     if n == 0:
         return None

@@ -45,28 +45,28 @@ def order_state(events: DataFrame, arrival: str = "arrival") -> DataFrame:
         "order_id", F.when(F.col("provider") == PAYMENT_PROVIDER, "payment").otherwise("shipment").alias("side"),
         tracked_status().alias("status"), "amount", "occurred_at", F.col(arrival).alias("seq"),
     )
-    tracked = rows.where(F.col("status").isNotNull())
     key = ["order_id", "side"]
-    untimed = tracked.where(F.col("occurred_at").isNull()).groupBy(*key).agg(
-        F.max(F.struct("seq", "status", "amount")).alias("reset")
-    )
-    timed = tracked.where(F.col("occurred_at").isNotNull()).join(untimed.select(*key, F.col("reset.seq").alias("after")), key, "left")
-    timed = timed.where(F.col("after").isNull() | (F.col("seq") > F.col("after")))
-    newest = timed.groupBy(*key).agg(
-        F.max(F.struct("occurred_at", (-F.col("seq")).alias("neg_seq"), "status", "amount")).alias("best")
-    )
-    state = newest.join(untimed, key, "full").select(
-        *key, F.coalesce("best.status", "reset.status").alias("status"),
-        F.when(F.col("best").isNotNull(), F.col("best.amount")).otherwise(F.col("reset.amount")).alias("amount"),
-        F.col("best.occurred_at").alias("updated_at"),
+    tracked, timed = F.col("status").isNotNull(), F.col("occurred_at").isNotNull()
+    newest = F.max(F.when(tracked & timed, F.struct("occurred_at", (-F.col("seq")).alias("neg_seq"), "status", "amount")))
+    reset = F.max(F.when(tracked & ~timed, F.struct("seq", "status", "amount")))
+    once = rows.groupBy(*key).agg(newest.alias("best"), reset.alias("reset"))
+    # only where the newest event came before the last untimed one, the events after that one are looked at again
+    stale = F.col("reset").isNotNull() & (-F.col("best.neg_seq") < F.col("reset.seq"))
+    again = rows.join(once.where(stale).select(*key, F.col("reset.seq").alias("after")), key).where(F.col("seq") > F.col("after"))
+    later = again.groupBy(*key).agg(newest.alias("later"))
+    chosen = F.when(stale, F.col("later")).otherwise(F.col("best"))
+    state = once.join(later, key, "left").withColumn("pick", chosen).select(
+        *key, F.coalesce("pick.status", "reset.status").alias("status"),
+        F.when(F.col("pick").isNotNull(), F.col("pick.amount")).otherwise(F.col("reset.amount")).alias("amount"),
+        F.col("pick.occurred_at").alias("updated_at"),
     )
     on = lambda side, col: F.max(F.when(F.col("side") == side, F.col(col)))
     wide = state.groupBy("order_id").agg(
         on("payment", "status").alias("p"), on("shipment", "status").alias("s"), on("payment", "amount").alias("amount"),
         on("payment", "updated_at").alias("payment_updated_at"), on("shipment", "updated_at").alias("shipment_updated_at"),
     )
-    # an order whose events are all untracked still gets an empty record
-    return rows.select("order_id").distinct().join(wide, "order_id", "left").select(
+    # an order whose events are all untracked still has an (empty) record
+    return wide.select(
         "order_id", F.coalesce("p", F.lit("")).alias("payment_status"), F.coalesce("s", F.lit("")).alias("shipment_status"),
         "amount", "payment_updated_at", "shipment_updated_at",
     )

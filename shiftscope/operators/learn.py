@@ -9,8 +9,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shiftscope.functions.numbers import days_between, ratio
-from shiftscope.functions.ordered import halo_blocks, positions, running_sums
-from shiftscope.functions.quantiles import exact_quantile
+from shiftscope.functions.ordered import PLAIN_LIMIT, halo_blocks, largest_group, positions, running_sums
+from shiftscope.functions.quantiles import exact_quantile, median_by_count
 from shiftscope.sources.tables import Shop
 
 # ---------------------------------------------------------------- late delivery
@@ -48,9 +48,10 @@ def late_features(shop: Shop) -> DataFrame:
 
 
 def fill_median(df: DataFrame, col: str) -> DataFrame:
-    """Replace NULLs by the exact median of the column."""
-    mid = exact_quantile(df, col, 0.5)
-    return df.withColumn(col, F.coalesce(F.col(col).cast("double"), F.lit(mid)))
+    """Replace NULLs by the exact median of a column of whole units (equal values are counted first)."""
+    counts = df.groupBy(col).agg(F.count("*").alias("n"))
+    mid = counts.where(F.col(col).isNotNull()).agg(median_by_count(col, "n").alias("m")).select("m").scalar()
+    return df.withColumn(col, F.coalesce(F.col(col).cast("double"), mid))
 
 
 def time_split(df: DataFrame, ts: str, q: float = 0.8) -> DataFrame:
@@ -279,13 +280,18 @@ def informative_sensors(readings: DataFrame, sensors: Sequence[str]) -> DataFram
     return one.unpivot([], list(sensors), "sensor", "std").withColumn("keep", F.col("std") > MIN_STD)
 
 
-def window_features(readings: DataFrame, sensors: Sequence[str], window: int = WINDOW, block: int = 4096) -> DataFrame:
+def window_features(readings: DataFrame, sensors: Sequence[str], window: int = WINDOW, block: int = 4096, plain_limit: int = PLAIN_LIMIT) -> DataFrame:
     """Per cycle: value, mean of the last ``window`` values and mean of the last ``window`` first differences.
 
-    A unit is cut into blocks that overlap by the look-back, so a unit with very many cycles is shared by many tasks.
+    If some unit has more than ``plain_limit`` cycles, units are cut into blocks that overlap by the look-back, so that many
+    tasks share a long unit.
     """
-    rows = halo_blocks(positions(readings, ["unit"], "cycle"), "pos", window, block)
-    by = Window.partitionBy("unit", "_block").orderBy("pos")
+    long_units = largest_group(readings, ["unit"]) > plain_limit
+    if long_units:
+        rows = halo_blocks(positions(readings, ["unit"], "cycle", plain_limit=plain_limit), "pos", window, block)
+        by = Window.partitionBy("unit", "_block").orderBy("pos")
+    else:
+        rows, by = readings, Window.partitionBy("unit").orderBy("cycle")
     last = by.rowsBetween(-(window - 1), 0)
     steps = {f"_d_{s}": F.col(s) - F.lag(s).over(by) for s in sensors}
     rows = rows.withColumns(steps)
@@ -293,7 +299,9 @@ def window_features(readings: DataFrame, sensors: Sequence[str], window: int = W
     for s in sensors:
         made[f"{s}_mean"] = F.avg(s).over(last)
         made[f"{s}_slope"] = F.when(F.count(f"_d_{s}").over(last) >= 2, F.avg(f"_d_{s}").over(last))
-    rows = rows.withColumns(made).where(~F.col("_halo"))
+    rows = rows.withColumns(made)
+    if long_units:
+        rows = rows.where(~F.col("_halo"))
     cols = [c for s in sensors for c in (s, f"{s}_mean", f"{s}_slope")]
     return rows.select("unit", "cycle", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
 

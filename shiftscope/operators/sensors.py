@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shiftscope.functions.numbers import ratio
-from shiftscope.functions.ordered import positions
+from shiftscope.functions.ordered import largest_group, positions
 
 # fixed values: filter noise, start uncertainty, alert rule
 PROCESS_VAR, MEASUREMENT_VAR, START_VAR = 1e-5, 0.25, 1000.0
@@ -62,21 +62,25 @@ def kalman_monitor(readings: DataFrame, block: int = BLOCK) -> DataFrame:
     The gains do not depend on the readings, so a block of readings changes the state by a fixed linear map. Blocks are
     summarised in parallel, the few block maps are chained per machine, and the blocks are walked again from their true start.
     """
-    rows = positions(readings.select("machine_id", "t", F.col("value").cast("double").alias("value")), ["machine_id"], "t")
-    rows = rows.withColumn("block", F.floor((F.col("pos") - 1) / block))
+    rows = readings.select("machine_id", "t", F.col("value").cast("double").alias("value"))
     kind = readings.schema["machine_id"].dataType.simpleString()
     schema = f"machine_id {kind}, t {readings.schema['t'].dataType.simpleString()}, value double, level double, slope double"
 
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        level, slope = _walk(1, pdf["value"].to_numpy(), 0.0, 0.0)
+        return pdf.assign(level=level, slope=slope)
+
+    if largest_group(rows, ["machine_id"]) <= block:  # every machine fits one block
+        return rows.groupBy("machine_id").applyInPandas(whole, schema)
+
+    rows = positions(rows, ["machine_id"], "t").withColumn("block", F.floor((F.col("pos") - 1) / block))
+
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         level, slope = _walk(int(pdf["pos"].iloc[0]), pdf["value"].to_numpy(), pdf["level"].iloc[0], pdf["slope"].iloc[0])
         return pdf[["machine_id", "t", "value"]].assign(level=level, slope=slope)
 
-    longest = rows.agg(F.max("block")).first()[0]
-    if not longest:  # every machine fits one block
-        start = rows.withColumns({"level": F.lit(0.0), "slope": F.lit(0.0)})
-        return start.groupBy("machine_id", "block").applyInPandas(finish, schema)
-
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         first, z, zero = int(pdf["pos"].iloc[0]), pdf["value"].to_numpy(), np.zeros(len(pdf))

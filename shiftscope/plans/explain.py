@@ -15,6 +15,11 @@ from shiftscope.sources.tables import Shop
 STATUS = {"low": "insufficient_evidence", "no_significant_change": "no_significant_change"}
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A result of a few rows, computed once and kept as local data."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 @dataclass
 class Investigation:
     """Intermediate frames of one metric, shared by the steps below."""
@@ -42,7 +47,7 @@ def investigate(shop: Shop, spec: MetricSpec, dimensions: Sequence[str] = tuple(
     segments = C.segment_rows(shop, dimensions, base)
     if keep:
         segments = segments.persist()
-    change = C.total_change(C.total_by_period(base), spec.kind)
+    change = _small(C.total_change(C.total_by_period(base), spec.kind))  # one row
     wide = C.pivot_periods(C.by_segment(base, segments, dimensions))
     ranked = C.rank_segments(wide, spec.kind, change.select("delta").scalar())
     candidates = C.top_candidates(ranked)
@@ -77,6 +82,8 @@ def explain_change(
     ``documents`` may map a search text to hits (doc_id, title, score) which are added as supporting context.
     """
     inv = investigate(shop, spec, dimensions)
+    # at most three candidates per dimension and one finding per table
+    inv.candidates, inv.findings = _small(inv.candidates), _small(inv.findings)
     top = inv.top_candidate()
 
     def rows(df: DataFrame, section: str, **cols) -> DataFrame:
