@@ -10,6 +10,7 @@ from checks.standin import table
 from shiftscope.functions.hashing import hmac_sha256
 from shiftscope.functions.ordered import positions
 from shiftscope.operators import events as E, sensors as S
+from shiftscope.session import spread
 from shiftscope.sources import webhooks as W
 
 SECRET, TOKEN = "stand-in-secret", "stand-in-token"
@@ -28,7 +29,7 @@ _RAW = """ev as (select event_id, event_id as arrival, case when event_id % 101
 
 
 def messages(spark, sf):
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events"))
     i = F.col("event_id")
     at = F.date_trunc("second", (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), i * 7919 % 200000)).cast("timestamp"))
     at = F.when(i % 11 != 0, at)

@@ -9,7 +9,7 @@ from checks.registry import query
 from checks.standin import shop, table
 from shiftscope.functions.ordered import positions
 from shiftscope.operators import learn as L
-from shiftscope.session import cut_lineage, scratch_path
+from shiftscope.session import cut_lineage, scratch_path, spread
 
 _FEAT = """lf as (select distinct purchased_at, late, promised_days, customer_state, seller_state, same_state, order_value, freight, n_items, n_sellers,
     max_weight_g, category from (select o.order_id, o.order_purchase_timestamp as purchased_at,
@@ -84,7 +84,7 @@ _TEXT = """ts as (select doc_id, trim(coalesce(source, '') || ' ' || text) as te
 
 
 def _texts(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").withColumn("score", F.col("quality") * 4 + 1)
+    docs = spread(table(spark, sf, "documents")).join(table(spark, sf, "labels"), "doc_id").withColumn("score", F.col("quality") * 4 + 1)
     return L.review_text_set(docs, "source", "text", "score", "doc_id")
 
 
@@ -102,7 +102,7 @@ _WORDS = f"""dw as (select doc_id, regexp_extract_all({_FOLD}, '[\\p{{L}}\\p{{N}
 
 @query("J17_word_idf", "select term, df, round(idf, 6) as idf from idf", _WORDS)
 def _(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     n = docs.agg(F.count("*").alias("n")).select("n").scalar()
     return rounded(L.term_idf(L.word_terms(docs, "doc_id", "text"), n, L.WORD_MIN_DF), "idf")
 
@@ -111,7 +111,7 @@ def _(spark, sf):
     select *, sqrt(sum(raw * raw) over (partition by doc_id)) as norm from (select doc_id, term, (1 + ln(tf)) * idf as raw from tf join idf using (term)))
     group by 1""", _WORDS)
 def _(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     n = docs.agg(F.count("*").alias("n")).select("n").scalar()
     tf = L.word_terms(docs, "doc_id", "text")
     out = L.tfidf(tf, L.term_idf(tf, n, L.WORD_MIN_DF), "doc_id").groupBy("doc_id").agg(
@@ -124,7 +124,7 @@ def _(spark, sf):
       select distinct doc_id, ' ' || unnest(regexp_split_to_array(trim({_FOLD}), '\\s+')) || ' ' as w from documents) where length(w) > 2)))
     group by 1 having count(*) >= 5""")
 def _(spark, sf):
-    return L.term_idf(L.char_terms(table(spark, sf, "documents"), "doc_id", "text"), 1, L.CHAR_MIN_DF).drop("idf")
+    return L.term_idf(L.char_terms(spread(table(spark, sf, "documents")), "doc_id", "text"), 1, L.CHAR_MIN_DF).drop("idf")
 
 
 @query("J18_sentiment_logistic")

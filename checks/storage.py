@@ -12,7 +12,7 @@ from checks.standin import shop, table
 from checks.text import _PARAS
 from shiftscope.functions.ordered import positions
 from shiftscope.operators import product as P
-from shiftscope.session import scratch_path
+from shiftscope.session import scratch_path, spread
 from shiftscope.sources import archive, corpus, tables as T
 
 _SH = {"customers": "sh_customers", "orders": "sh_orders", "order_items": "sh_items", "order_payments": "sh_payments", "order_reviews": "sh_reviews",
@@ -106,7 +106,7 @@ def _(spark, sf):
 
 def _documents(spark, sf):
     i = F.col("doc_id")
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         i, F.col("source").alias("title"), F.lit("note").alias("doc_type"), F.when(i % 50 != 0, F.date_add(F.lit("2018-01-01").cast("date"), (i % 365).cast("int"))).alias("doc_date"),
         F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
 

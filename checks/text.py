@@ -8,7 +8,7 @@ from checks.change import rounded
 from checks.registry import query
 from checks.standin import table
 from shiftscope.operators import grounding as G, retrieval as R, text as X
-from shiftscope.session import cut_lineage
+from shiftscope.session import cut_lineage, spread
 
 _PARAS = """pa as (select doc_id, source, list_filter(list_transform(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10)),
       lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '') as ps, doc_id % 50 = 0 as undated from documents),
@@ -19,7 +19,7 @@ _PARAS = """pa as (select doc_id, source, list_filter(list_transform(string_spli
 
 
 def chunks(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents")).select(
         "doc_id", "source", F.when(F.col("doc_id") % 50 != 0, F.date_add(F.lit("2018-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))).alias("doc_date"),
         F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
     return X.chunk_text(docs, "text")
@@ -36,7 +36,7 @@ _TOK = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
 @query("L2_tokenize", f"select doc_id, len({_TOK})::int as n_tokens, md5(array_to_string({_TOK}, ' ')) as tokens_md5 from documents")
 def _(spark, sf):
     found = X.tokens(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.size(found).alias("n_tokens"), F.md5(F.array_join(found, " ")).alias("tokens_md5"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.size(found).alias("n_tokens"), F.md5(F.array_join(found, " ")).alias("tokens_md5"))
 
 
 _EMB = """eb as (select doc_id, (('0x' || substr(md5(t), 31, 2))::int) as bucket, count(*)::double as weight from (
@@ -45,7 +45,7 @@ _EMB = """eb as (select doc_id, (('0x' || substr(md5(t), 31, 2))::int) as bucket
 
 @query("L3_hash_embed", "select * from eb", _EMB)
 def _(spark, sf):
-    return X.hash_embed(table(spark, sf, "documents"), ["doc_id"], "text")
+    return X.hash_embed(spread(table(spark, sf, "documents")), ["doc_id"], "text")
 
 
 def benchmark_queries(spark, sf):
@@ -81,7 +81,7 @@ def _bm25_sql(source: str) -> str:
 
 
 def whole_documents(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents")).select(
         "doc_id", F.lit(0).alias("chunk_no"), F.when(F.col("doc_id") % 50 != 0, F.date_add(F.lit("2018-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))).alias("doc_date"), "text")
     return cut_lineage(R.index_columns(docs).drop("text"))
 

@@ -135,7 +135,16 @@ def period_change(df: DataFrame, value_a: str = "value_a", value_b: str = "value
 
 def total_change(totals: DataFrame, kind: str, keys: Sequence[str] = ()) -> DataFrame:
     """value_a, value_b, delta, pct_change of the whole metric (or of each key)."""
-    wide = pivot_periods(totals, keys)
+    return _change_of(pivot_periods(totals, keys), kind, keys)
+
+
+def wide_change(wide: DataFrame, kind: str, keys: Sequence[str] = ("dimension",)) -> DataFrame:
+    """value_a, value_b, delta, pct_change per key from the wide table."""
+    sums = wide.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("total_a", "total_b", "n_a", "n_b")])
+    return _change_of(sums, kind, keys)
+
+
+def _change_of(wide: DataFrame, kind: str, keys: Sequence[str]) -> DataFrame:
     if kind == "total":
         a, b = F.col("total_a"), F.col("total_b")
     else:
@@ -144,12 +153,15 @@ def total_change(totals: DataFrame, kind: str, keys: Sequence[str] = ()) -> Data
 
 
 def _with_sums(df: DataFrame, key: Sequence[str], **sums: Column) -> DataFrame:
-    """Add per-key sums. They are a grouped aggregate joined back (one row per key), not a window over the key."""
+    """Add per-key sums: a grouped aggregate joined back, not a window that would gather a key in one task.
+
+    The keys are dimension names, so the aggregate has one row per dimension and is safe to broadcast.
+    """
     if not key:
         one = df.agg(*[v.alias(n) for n, v in sums.items()])
         return df.select("*", *[one.select(n).scalar().alias(n) for n in sums])
     per_key = df.groupBy(*key).agg(*[v.alias(n) for n, v in sums.items()])
-    return df.join(per_key, list(key))
+    return df.join(F.broadcast(per_key), list(key))
 
 
 def segment_contributions(wide: DataFrame, value_a: str, value_b: str, keys: Sequence[str] = ("dimension",)) -> DataFrame:

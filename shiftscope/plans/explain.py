@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame, Row, Window, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from shiftscope.operators import change as C
+from shiftscope.session import cut_lineage
 from shiftscope.plans.metrics import DIMENSIONS, MetricSpec
 from shiftscope.sources.tables import Shop
 
+EVIDENCE = (
+    "section string, place int, dimension string, segment string, value_a double, value_b double, change double, share_of_change double, note string"
+)
 STATUS = {"low": "insufficient_evidence", "no_significant_change": "no_significant_change"}
 
 
@@ -40,15 +43,18 @@ class Investigation:
 
 
 def investigate(shop: Shop, spec: MetricSpec, dimensions: Sequence[str] = tuple(DIMENSIONS), keep: bool = True) -> Investigation:
-    """Set up the frames. ``keep`` caches the two reused ones (values per order, segments per order)."""
+    """Set up the frames. ``keep`` writes the reused ones to the shared folder once: values per order, segments per order, totals per segment.
+    That keeps every later plan short and survives lost executors."""
     base = C.base_values(shop, spec)
     if keep:
-        base = base.persist()
+        base = cut_lineage(base)
     segments = C.segment_rows(shop, dimensions, base)
     if keep:
-        segments = segments.persist()
+        segments = cut_lineage(segments)
     change = _small(C.total_change(C.total_by_period(base), spec.kind))  # one row
     wide = C.pivot_periods(C.by_segment(base, segments, dimensions))
+    if keep:
+        wide = cut_lineage(wide)
     ranked = C.rank_segments(wide, spec.kind, change.select("delta").scalar())
     candidates = C.top_candidates(ranked)
     checks = C.duplicate_checks(shop, spec)
@@ -60,9 +66,10 @@ def drill_down(inv: Investigation, dimension: str, segment: str, keep: int = 3)
     others = [d for d in inv.dimensions if d != dimension]
     inside = C.orders_in_segment(inv.base, inv.segments, dimension, segment)
     long = C.by_segment(inside, inv.segments.where(F.col("dimension") != dimension), others)
-    wide = C.pivot_periods(long)
-    inner = C.total_change(long, inv.spec.kind, ["dimension"]).select("dimension", F.col("delta").alias("inner_delta"))
-    ranked = C.rank_segments(wide.join(inner, "dimension"), inv.spec.kind, F.col("inner_delta"), ["dimension", "inner_delta"])
+    wide = cut_lineage(C.pivot_periods(long))
+    # one row per dimension
+    inner = C.wide_change(wide, inv.spec.kind).select("dimension", F.col("delta").alias("inner_delta"))
+    ranked = C.rank_segments(wide.join(F.broadcast(inner), "dimension"), inv.spec.kind, F.col("inner_delta"), ["dimension", "inner_delta"])
     lead = C.leading_segments(ranked, 1).where(F.col("segment") != C.NO_SEGMENT)
     return (
         lead.select("dimension", "segment", "value_a", "value_b", "share_of_change")
@@ -82,42 +89,27 @@ def explain_change(
     ``documents`` may map a search text to hits (doc_id, title, score) which are added as supporting context.
     """
     inv = investigate(shop, spec, dimensions)
-    # at most three candidates per dimension and one finding per table
-    inv.candidates, inv.findings = _small(inv.candidates), _small(inv.findings)
-    top = inv.top_candidate()
-
-    def rows(df: DataFrame, section: str, **cols) -> DataFrame:
-        names = {"place": "int", "dimension": "string", "segment": "string", "value_a": "double", "value_b": "double",
-                 "change": "double", "share_of_change": "double", "note": "string"}
-        return df.select(F.lit(section).alias("section"), *[cols.get(n, F.lit(None)).cast(t).alias(n) for n, t in names.items()])
-
-    number = lambda *order: F.row_number().over(Window.orderBy(*order))  # noqa: E731 - over a handful of rows
-    verdict = C.confidence(inv.change, inv.candidates, inv.findings)
-    ranked = C.quality_override(inv.candidates, inv.findings).join(
-        inv.candidates.select("dimension", "segment", "value_a", "value_b", "change"), ["dimension", "segment"], "left"
-    )
-    order = [F.col("priority"), *C.candidate_order()]
-    parts = [
-        rows(inv.change, "change", place=F.lit(1), segment=F.lit(spec.name), value_a=F.col("value_a"), value_b=F.col("value_b"),
-             change=F.col("delta"), share_of_change=F.col("pct_change") / 100),
-        rows(ranked.orderBy(*order).limit(5), "candidate", place=number(*order), dimension=F.col("dimension"), segment=F.col("segment"),
-             value_a=F.col("value_a"), value_b=F.col("value_b"), change=F.col("change"), share_of_change=F.col("share_of_change")),
-        rows(inv.findings, "quality", place=number(F.col("increase").desc(), F.col("table_name")), dimension=F.lit("data_quality"),
-             segment=F.col("table_name"), value_a=F.col("duplicate_rate_a"), value_b=F.col("duplicate_rate_b"), change=F.col("increase")),
-        rows(verdict, "confidence", place=F.lit(1), segment=F.col("confidence"),
-             note=F.coalesce(F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])[F.col("confidence")], F.lit("ok"))),
-    ]
-    if top is not None:
-        inner = drill_down(inv, top["dimension"], top["segment"])
-        parts.append(
-            rows(inner, "drill_down", place=number(F.abs("share_of_change").desc_nulls_last(), F.col("dimension")),
-                 dimension=F.col("dimension"), segment=F.col("segment"), value_a=F.col("value_a"), value_b=F.col("value_b"),
-                 change=F.col("value_b") - F.col("value_a"), share_of_change=F.col("share_of_change"),
-                 note=F.lit(f"inside {top['dimension']}={top['segment']}"))
-        )
+    # bounded results: at most three candidates per dimension, one finding per table, three drill-down rows
+    candidates, findings = inv.candidates.orderBy(*C.candidate_order()).collect(), inv.findings.collect()
+    local = shop.orders.sparkSession.createDataFrame
+    verdict = C.confidence(inv.change, local(candidates, inv.candidates.schema), local(findings, inv.findings.schema)).first()[0]
+    change = inv.change.first()
+    findings.sort(key=lambda f: (-f["increase"], f["table_name"]))
+    rows = [("change", 1, None, spec.name, change["value_a"], change["value_b"], change["delta"],
+             None if change["pct_change"] is None else change["pct_change"] / 100, None)]
+    leading = [("data_quality", f["table_name"], None, None, None, None) for f in findings]
+    leading += [(c["dimension"], c["segment"], c["value_a"], c["value_b"], c["change"], c["share_of_change"]) for c in candidates]
+    rows += [("candidate", i, *c, None) for i, c in enumerate(leading[:5], start=1)]
+    rows += [("quality", i, "data_quality", f["table_name"], f["duplicate_rate_a"], f["duplicate_rate_b"], f["increase"], None, None)
+             for i, f in enumerate(findings, start=1)]
+    rows.append(("confidence", 1, None, verdict, None, None, None, None, STATUS.get(verdict, "ok")))
+    text = spec.name
+    if candidates:
+        top = candidates[0]
+        where, text = f"inside {top['dimension']}={top['segment']}", f"{spec.name} {top['dimension']} {top['segment']}"
+        inner = drill_down(inv, top["dimension"], top["segment"]).collect()
+        rows += [("drill_down", i, d["dimension"], d["segment"], d["value_a"], d["value_b"], d["value_b"] - d["value_a"], d["share_of_change"], where)
+                 for i, d in enumerate(inner, start=1)]
     if documents is not None:
-        text = f"{spec.name} {top['dimension']} {top['segment']}" if top is not None else spec.name
-        hits = documents(text)
-        parts.append(rows(hits, "document", place=number(F.col("score").desc(), F.col("doc_id")), segment=F.col("doc_id"),
-                          share_of_change=F.col("score"), note=F.col("title")))
-    return reduce(DataFrame.unionByName, parts)
+        rows += [("document", i, None, str(h["doc_id"]), None, None, None, h["score"], h["title"]) for i, h in enumerate(documents(text).collect(), start=1)]
+    return local(rows, EVIDENCE)
