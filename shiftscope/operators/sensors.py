@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -66,13 +67,22 @@ def kalman_monitor(readings: DataFrame, block: int = BLOCK) -> DataFrame:
     kind = readings.schema["machine_id"].dataType.simpleString()
     schema = f"machine_id {kind}, t {readings.schema['t'].dataType.simpleString()}, value double, level double, slope double"
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        level, slope = _walk(1, pdf["value"].to_numpy(), 0.0, 0.0)
-        return pdf.assign(level=level, slope=slope)
-
-    if largest_group(rows, ["machine_id"]) <= block:  # every machine fits one block
-        return rows.groupBy("machine_id").applyInPandas(whole, schema)
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine, number, level, slope = None, 0, 0.0, 0.0
+        for batch in batches:
+            levels, slopes = np.empty(len(batch)), np.empty(len(batch))
+            ids, z = batch["machine_id"].to_numpy(), batch["value"].to_numpy()
+            edges = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else []
+            for a, b in zip(edges, [*edges[1:], len(ids)]):
+                if ids[a] != machine:
+                    machine, number = ids[a], 0
+                levels[a:b], slopes[a:b] = _walk(number + 1, z[a:b], level, slope)
+                number, level, slope = number + (b - a), levels[b - 1], slopes[b - 1]
+            yield batch.assign(level=levels, slope=slopes)
+
+    if largest_group(rows, ["machine_id"]) <= block:
+        # machines side by side: each task streams its machines in time order with constant memory
+        return rows.repartition("machine_id").sortWithinPartitions("machine_id", "t").mapInPandas(follow, schema)
 
     rows = positions(rows, ["machine_id"], "t").withColumn("block", F.floor((F.col("pos") - 1) / block))
 

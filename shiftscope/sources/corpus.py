@@ -32,7 +32,7 @@ def parse_documents(raw: DataFrame) -> DataFrame:
 
 def read_corpus(spark: SparkSession, folder: str, glob: str = "*.md") -> DataFrame:
     """All documents of a folder, one whole file per row."""
-    files = spark.read.option("pathGlobFilter", glob).option("wholetext", True).text(folder)
+    files = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
     return parse_documents(files.select(F.input_file_name().alias("path"), F.col("value").alias("raw")))
 
 
