@@ -198,8 +198,7 @@ def _(spark, sf):
     from ranked""", ", ".join([_prep("revenue"), _change_sql("total"), _RANK_TOTAL]))
 def _(spark, sf):
     inv = investigate(shop(spark, sf), SPECS["revenue"])
-    wide = C.pivot_periods(C.by_segment(inv.base, inv.segments, ALL))
-    out = C.rank_abnormal_total(wide, inv.change.select("delta").scalar())
+    out = C.rank_abnormal_total(inv.wide, inv.change.select("delta").scalar())
     out = rounded(out, "value_a", "value_b", "delta", digits=2)
     return rounded(rounded(out, "expected_delta", "abnormal", digits=3), "share_of_change")
 
@@ -229,8 +228,7 @@ _RATIO_COLS = ["value_a", "value_b", "delta", "mix_effect", "rate_effect", "inte
        ", ".join([_prep("late_rate"), _change_sql("per_order_average"), _RANK_RATIO]))
 def _(spark, sf):
     inv = investigate(shop(spark, sf), SPECS["late_rate"])
-    wide = C.pivot_periods(C.by_segment(inv.base, inv.segments, ALL))
-    return rounded(C.rank_abnormal_ratio(wide, inv.change.select("delta").scalar()), *_RATIO_COLS, "share_of_change")
+    return rounded(C.rank_abnormal_ratio(inv.wide, inv.change.select("delta").scalar()), *_RATIO_COLS, "share_of_change")
 
 
 def _candidates_sql(rank: str, kind: str) -> str:

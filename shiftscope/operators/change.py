@@ -17,6 +17,7 @@ from shiftscope.sources.tables import KEYS, Shop
 
 NO_SEGMENT = "(none)"
 MIN_DUPLICATE_INCREASE = 0.005
+BROADCAST_IDS = 2_000_000  # order ids (some tens of megabytes) sent to every task at most
 
 
 # ---------------------------------------------------------------- measuring
@@ -47,14 +48,18 @@ def base_values(shop: Shop, spec: MetricSpec) -> DataFrame:
     """(order_id, period, v): the value of every order.
 
     A value that only needs child rows is reduced per order before the join (map-side combine absorbs an order
-    with very many rows); any other expression is evaluated over the left-joined rows.
+    with very many rows). If the periods hold few enough orders, their ids are sent to the child scan first, so that the
+    rows of other periods are dropped there. Any other expression is evaluated over the left-joined rows.
     """
     orders = period_rows(shop, spec)
     if not spec.child_only:
         joined = attach(orders, shop, spec.path, "left")
         return joined.groupBy(F.col("o.order_id").alias("order_id"), "period").agg(F.expr(spec.order_value).alias("v"))
     root = next(t for t in spec.path if t in MANY_SIDED)
-    child = shop.table(root).alias(JOINS[root][0])
+    child, ids = shop.table(root), orders.select("order_id").distinct()
+    if orders.count() <= BROADCAST_IDS:
+        child = child.join(F.broadcast(ids), "order_id", "left_semi")
+    child = child.alias(JOINS[root][0])
     lookups = [t for t in spec.path if t not in (root, "customers")]
     per_order = (
         attach(child, shop, lookups, "left")

@@ -32,6 +32,7 @@ class Investigation:
     segments: DataFrame
     dimensions: tuple[str, ...]
     change: DataFrame
+    wide: DataFrame
     ranked: DataFrame
     candidates: DataFrame
     checks: DataFrame
@@ -58,7 +59,7 @@ def investigate(shop: Shop, spec: MetricSpec, dimensions: Sequence[str] = tuple(
     ranked = C.rank_segments(wide, spec.kind, change.select("delta").scalar())
     candidates = C.top_candidates(ranked)
     checks = C.duplicate_checks(shop, spec)
-    return Investigation(spec, base, segments, tuple(dimensions), change, ranked, candidates, checks, C.duplicate_findings(checks))
+    return Investigation(spec, base, segments, tuple(dimensions), change, wide, ranked, candidates, checks, C.duplicate_findings(checks))
 
 
 def drill_down(inv: Investigation, dimension: str, segment: str, keep: int = 3) -> DataFrame:
