@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.change import rounded
 from checks.registry import query
 from checks.standin import table
 from shiftscope.operators import audit as A, scoring as S

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.audit import _RUNS, runs
-from checks.change import rounded
 from checks.product import FIRST, LAST, _COUNTS, _GROWTH
 from checks.registry import query
 from checks.standin import shop, table
 from checks.text import _PARAS
-from shiftscope.functions.ordered import positions
 from shiftscope.operators import product as P
 from shiftscope.session import scratch_path, spread
 from shiftscope.sources import archive, corpus, tables as T

@@ -83,7 +83,7 @@ def _bm25_sql(source: str) -> str:
 def whole_documents(spark, sf):
     docs = spread(table(spark, sf, "documents")).select(
         "doc_id", F.lit(0).alias("chunk_no"), F.when(F.col("doc_id") % 50 != 0, F.date_add(F.lit("2018-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))).alias("doc_date"), "text")
-    return cut_lineage(R.index_columns(docs).drop("text"))
+    return cut_lineage(R.index_columns(docs).drop("text", "codes", "buckets"))
 
 
 _DOCS = "(select doc_id, 0 as chunk_no, case when doc_id % 50 <> 0 then date '2018-01-01' + (doc_id % 365)::int end as doc_date, text from documents)"
