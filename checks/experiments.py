@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from statistics import NormalDist
 
 from pyspark.sql import DataFrame, functions as F
@@ -17,6 +18,16 @@ _USERS = f"""u as (select user_id % 3 as experiment, user_id, case when {_BUCKET
     coalesce(sum(case when ts < timestamp '2024-01-16' then value end), 0) as pre_metric,
     coalesce(sum(case when ts >= timestamp '2024-01-16' then value end), 0) as metric,
     max(case when event_type = 'purchase' and value > 20 and ts >= timestamp '2024-01-16' then 1 else 0 end) as converted from events group by user_id)"""
+
+
+def _tail(x: str, density: str) -> str:
+    """Two-sided tail beyond |x| by Simpson's rule over ``density`` (an expression in u)."""
+    body = re.sub(r"\bu\b", f"(abs({x}) * i / 4000.0)", density)
+    weight = "case when i = 0 or i = 4000 then 1 when i % 2 = 1 then 4 else 2 end"
+    return f"1 - 2 * abs({x}) / 12000.0 * list_sum(list_transform(range(0, 4001), lambda i: {weight} * {body}))"
+
+
+_NORMAL = "0.3989422804014327 * (2.718281828459045 ** (-0.5 * u * u))"
 _Z = NormalDist().inv_cdf(0.975)
 _ZP = NormalDist().inv_cdf(0.8)
 
@@ -46,7 +57,9 @@ def _(spark, sf):
     return rounded(X.split_statistic(users(spark, sf), ["experiment"]), "chi2")
 
 
-@query("F2_sample_ratio_check")
+@query("F2_sample_ratio_check", f"""select experiment, n_c, n_t, round(chi2, 6) as chi2, round(p, 6) as p_value, p < 0.001 as mismatch from (select *, {_tail('sqrt(chi2)', _NORMAL)} as p from (
+    select *, pow(n_c - (n_c + n_t) * 0.5, 2) / ((n_c + n_t) * 0.5) * 2 as chi2 from (
+    select experiment, count(*) filter (where arm = 'control') as n_c, count(*) filter (where arm = 'treatment') as n_t from u group by 1)))""", _USERS)
 def _(spark, sf):
     return rounded(X.sample_ratio_check(users(spark, sf), ["experiment"]), "chi2", "p_value")
 
@@ -67,9 +80,10 @@ def _(spark, sf):
     return rounded(out, "rate_control", "rate_treatment", "absolute_lift", "relative_lift", "z", "ci_low", "ci_high")
 
 
-@query("F3_two_proportion_test")
+@query("F3_two_proportion_test", f"""select experiment, round(z, 6) as z, round(p, 6) as p_value, p < 0.05 as significant from (select *, {_tail('z', _NORMAL)} as p from ps)""", _PROP)
 def _(spark, sf):
-    return rounded(X.two_proportion_test(users(spark, sf), ["experiment"], F.col("converted")), "p_value", "z")
+    out = X.two_proportion_test(users(spark, sf), ["experiment"], F.col("converted"))
+    return rounded(out.select("experiment", "z", "p_value", "significant"), "p_value", "z")
 
 
 _CUPED = _USERS + """, th as (select experiment, covar_samp(metric, pre_metric) / var_samp(pre_metric) as theta, avg(pre_metric) as pm from u group by 1),
@@ -99,6 +113,13 @@ def _(spark, sf):
     return rounded(rounded(out, "t"), "difference", "df", "ci_low", "ci_high", digits=4)
 
 
-@query("F5_mean_difference_test")
+_STUDENT = "exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * ((1 + u * u / df) ** (-(df + 1) / 2))"
+
+
+@query("F5_mean_difference_test", f"""select experiment, round(t, 6) as t, round(df, 4) as df, round(p, 6) as p_value, p < 0.05 as significant from (select *, {_tail('t', _STUDENT)} as p from (
+    select experiment, (mean_t - mean_c) / sqrt(var_c / n_c + var_t / n_t) as t,
+    pow(var_c / n_c + var_t / n_t, 2) / (pow(var_c / n_c, 2) / (n_c - 1) + pow(var_t / n_t, 2) / (n_t - 1)) as df from ws))""", _WELCH)
 def _(spark, sf):
-    return rounded(X.mean_difference_test(users(spark, sf), ["experiment"], "metric"), "difference", "t", "df", "p_value")
+    adjusted = X.cuped_adjust(users(spark, sf), ["experiment"], "metric", "pre_metric")
+    out = X.mean_difference_test(adjusted, ["experiment"], "adjusted").select("experiment", "t", "df", "p_value", "significant")
+    return rounded(rounded(out, "t", "p_value"), "df", digits=4)

@@ -224,10 +224,14 @@ def _(spark, sf):
     return rounded(rounded(L.rul_scores(rows, ["fleet"], "rul", "s3"), "rmse"), "nasa_score", digits=4)
 
 
-@query("J26_experiment_log")
+@query("J26_experiment_log", " union all ".join(
+    f"select 'labels' as experiment, '{run}' as run, 'param' as kind, 'rows' as key, count(*)::varchar as value from labels union all select 'labels', '{run}', 'metric', 'toxic_share', round(avg(toxic), 6)::varchar from labels where quality = {q}"
+    for run, q in (("first", 0), ("second", 1))))
 def _(spark, sf):
     folder = scratch_path(spark, "runs")
-    n = table(spark, sf, "labels").count()
-    L.log_run(spark, folder, "labels", "first", {"rows": n}, {"share": 0.5})
-    L.log_run(spark, folder, "labels", "second", {"rows": n}, {"share": 0.25})
+    labels = table(spark, sf, "labels")
+    n = labels.count()
+    for run, quality in (("first", 0), ("second", 1)):
+        share = labels.where(F.col("quality") == quality).agg(F.round(F.avg("toxic"), 6)).first()[0]
+        L.log_run(spark, folder, "labels", run, {"rows": n}, {"toxic_share": share})
     return L.read_log(spark, folder).drop("logged_at")

@@ -162,7 +162,8 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", F.try_variant_get(X.extract_json(reply), "$.k", "int").alias("k"))
 
 
-@query("L11_extract_json_conversations")
+@query("L11_extract_json_conversations", """select role, count(*) as turns, count(*) filter (where json_valid(nullif(regexp_extract(text, '(?s)\\{.*\\}'), ''))) as with_json
+    from conversations group by 1""")
 def _(spark, sf):
     found = X.extract_json(F.col("text"))
     return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.count(found).alias("with_json"))

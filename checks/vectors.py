@@ -20,7 +20,8 @@ def _(spark, sf):
     return V.split_every(vectors(spark, sf), "image").select("vec_id", "image", "split")
 
 
-@query("K1_hashed_split")
+@query("K1_hashed_split", """select seed, case when (('0x' || substr(md5(image || '|' || seed), 1, 8))::bigint & 2147483647) % 100 < 30 then 'test' else 'train' end as split,
+    count(distinct image) as images, count(*) as vectors from (select vec_id % 25 as image, unnest([0, 1, 2]) as seed from embeddings) group by 1, 2""")
 def _(spark, sf):
     rows = V.split_hashed(vectors(spark, sf).select("vec_id", "image"), "image", [0, 1, 2])
     return rows.groupBy("seed", "split").agg(F.count_distinct("image").alias("images"), F.count("*").alias("vectors"))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shiftscope.functions.hashing import hash_percent
 from shiftscope.functions.ordered import positions
 from shiftscope.functions.quantiles import exact_quantile
 from shiftscope.session import cut_lineage
@@ -25,9 +26,9 @@ def split_every(df: DataFrame, group: str, every: int = 3) -> DataFrame:
 
 def split_hashed(df: DataFrame, group: str, seeds: list[int], test_share: float = 0.3) -> DataFrame:
     """One random split per seed; a group falls wholly on one side. Needs no shuffle."""
-    bucket = F.pmod(F.xxhash64(F.col(group).cast("string"), F.col("seed")), F.lit(10_000))
+    bucket = hash_percent(F.concat_ws("|", F.col(group).cast("string"), F.col("seed").cast("string")))
     rows = df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    return rows.withColumn("split", F.when(bucket < int(test_share * 10_000), "test").otherwise("train"))
+    return rows.withColumn("split", F.when(bucket < round(test_share * 100), "test").otherwise("train"))
 
 
 # ---------------------------------------------------------------- coreset
