@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,6 @@ def gain_step(p: tuple[float, float, float]) -> tuple[tuple[float, float, float]
     return ((1 - k0) * a, (1 - k0) * b, c - k1 * b), k0, k1
 
 
-@lru_cache(maxsize=1)
 def gains() -> np.ndarray:
     """Gains by reading number from the second reading on, until they no longer change."""
     p, out = (START_VAR, 0.0, START_VAR), []
@@ -40,9 +38,8 @@ def gains() -> np.ndarray:
     return np.array(out)
 
 
-def _walk(first: int, z: np.ndarray, level: float, slope: float) -> tuple[np.ndarray, np.ndarray]:
+def _walk(table: np.ndarray, first: int, z: np.ndarray, level: float, slope: float) -> tuple[np.ndarray, np.ndarray]:
     """States after each reading; ``first`` is the number of the first reading (1 = start of the machine)."""
-    table = gains()
     levels, slopes = np.empty(len(z)), np.empty(len(z))
     for i, value in enumerate(z):
         number = first + i
@@ -63,6 +60,7 @@ def kalman_monitor(readings: DataFrame, block: int = BLOCK) -> DataFrame:
     The gains do not depend on the readings, so a block of readings changes the state by a fixed linear map. Blocks are
     summarised in parallel, the few block maps are chained per machine, and the blocks are walked again from their true start.
     """
+    table = gains()  # a small array that travels with the tasks
     rows = readings.select("machine_id", "t", F.col("value").cast("double").alias("value"))
     kind = readings.schema["machine_id"].dataType.simpleString()
     schema = f"machine_id {kind}, t {readings.schema['t'].dataType.simpleString()}, value double, level double, slope double"
@@ -76,7 +74,7 @@ def kalman_monitor(readings: DataFrame, block: int = BLOCK) -> DataFrame:
             for a, b in zip(edges, [*edges[1:], len(ids)]):
                 if ids[a] != machine:
                     machine, number = ids[a], 0
-                levels[a:b], slopes[a:b] = _walk(number + 1, z[a:b], level, slope)
+                levels[a:b], slopes[a:b] = _walk(table, number + 1, z[a:b], level, slope)
                 number, level, slope = number + (b - a), levels[b - 1], slopes[b - 1]
             yield batch.assign(level=levels, slope=slopes)
 
@@ -88,7 +86,7 @@ def kalman_monitor(readings: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        level, slope = _walk(int(pdf["pos"].iloc[0]), pdf["value"].to_numpy(), pdf["level"].iloc[0], pdf["slope"].iloc[0])
+        level, slope = _walk(table, int(pdf["pos"].iloc[0]), pdf["value"].to_numpy(), pdf["level"].iloc[0], pdf["slope"].iloc[0])
         return pdf[["machine_id", "t", "value"]].assign(level=level, slope=slope)
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -96,7 +94,7 @@ def kalman_monitor(readings: DataFrame, block: int = BLOCK) -> DataFrame:
         first, z, zero = int(pdf["pos"].iloc[0]), pdf["value"].to_numpy(), np.zeros(len(pdf))
         ends = []
         for values, level, slope in ((z, 0.0, 0.0), (zero, 1.0, 0.0), (zero, 0.0, 1.0)):
-            a, b = _walk(first, values, level, slope)
+            a, b = _walk(table, first, values, level, slope)
             ends += [a[-1], b[-1]]
         return pd.DataFrame([[pdf["machine_id"].iloc[0], pdf["block"].iloc[0], *ends]], columns=["machine_id", "block", "c0", "c1", "m00", "m10", "m01", "m11"])
 
