@@ -45,3 +45,21 @@ def op4(spark, sf_dir):
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query(
+    "op7_substring_dedup",
+    """with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+    g as (select doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) as h from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from w)),
+    m as (select h, min(doc_id) as d from g group by h),
+    r as (select g.doc_id, i from g join m using (h) where g.doc_id > m.d),
+    gone as (select distinct doc_id, unnest(range(i, i + 50)) as k from r),
+    one as (select doc_id, unnest(ws) as x, unnest(range(1, len(ws) + 1)) as k from w),
+    k as (select one.doc_id, count(*) as n, string_agg(x, ' ' order by k) as t from one anti join gone using (doc_id, k) group by one.doc_id)
+    select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join k using (doc_id)""",
+)
+def op7(spark, sf_dir):
+    from shiftscope.llm.substrings import remove_repeats
+
+    kept = remove_repeats(table(spark, sf_dir, "documents"), layout=False)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
