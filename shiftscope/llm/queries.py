@@ -63,3 +63,10 @@ def op7(spark, sf_dir):
 
     kept = remove_repeats(table(spark, sf_dir, "documents"), layout=False)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op8_weak_supervision")
+def op8(spark, sf_dir):
+    from shiftscope.llm.quality import judged
+
+    return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
