@@ -70,3 +70,14 @@ def op8(spark, sf_dir):
     from shiftscope.llm.quality import judged
 
     return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+#: Only these queries use this key; a corpus takes a secret one.
+KEY = "public test key"
+
+
+@query("op9_feistel_pseudonyms")
+def op9(spark, sf_dir):
+    from shiftscope.llm.pii import pseudonymised
+
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY).select("doc_id", "text", F.coalesce(F.aggregate(F.map_values("pii"), F.lit(0), lambda a, x: a + x), F.lit(0)).alias("n_replaced"))
