@@ -14,6 +14,9 @@ import numpy as np
 SPACE = " \t\n\r\x0b\x0c"
 #: A text with one of these has white space that is not single spaces and line breaks between words.
 RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x01")
+POINTS = ".,;:!?"
+#: Pieces encoded as one string.
+LOT = 20_000
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: White space beyond ASCII may join a run across a cut; such texts are encoded in one piece.
 ODD = tuple(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -27,6 +30,11 @@ def odd(text: str) -> bool:
     return has_any(text, ODD[:4] if text.isascii() else ODD)
 
 
+def plain(text: str) -> bool:
+    """Letters alone, in lower case too (some letters become a letter and a mark)."""
+    return text.isalpha() and (text.isascii() or text.lower().isalpha())
+
+
 class ChunkEncoder:
     """ids of whole texts as little-endian unsigned bytes of ``width`` bytes each.
 
@@ -52,31 +60,57 @@ class ChunkEncoder:
         plain = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized)]
         self.between = plain[0] if plain else None
         self.marked = int(self.opens.sum()) > 1000
+        # ids that end a word: without other marks, they part words of letters alone
+        self.closes = np.zeros(self.size, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.points = dict(zip(POINTS, self._plain(list(POINTS))))
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_after_space(self, new: list[str]) -> None:
-        """Ids of ``" " + piece`` for every new piece (of the piece itself where it starts with a line break)."""
-        simple, other = [], []
+        """Ids of ``" " + piece`` for every new piece (of the piece itself where it starts with a line break).
+
+        A full stop or the like after a word is a token of its own, so such a piece is its word's ids and the point's.
+        """
+        letters, pointed, simple, other = set(), [], [], []
         for p in new:
-            (simple if p and "\n" not in p and "<|" not in p and (self.marked or self.between) else other).append(p)
-        for at in range(0, len(simple), 20_000):
-            part = simple[at : at + 20_000]
-            joined = " " + (" " if self.marked else self.between[1]).join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
-            if self.marked:
-                starts = np.flatnonzero(self.opens[ids])
+            if plain(p):
+                letters.add(p)
+            elif p[-1:] in self.points and plain(p[:-1]):
+                pointed.append(p)
+                if p[:-1] not in self.known:
+                    letters.add(p[:-1])
+            elif p and "\n" not in p and "<|" not in p and (self.marked or self.between):
+                simple.append(p)
             else:
-                cuts = np.flatnonzero(ids == self.between[0])
-                starts, ids = np.concatenate([[0], cuts - np.arange(len(cuts))]), np.delete(ids, cuts)
-            if len(starts) != len(part):
-                other += part
-                continue
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            edges = [*(starts * width).tolist(), len(raw)]
-            self.known.update(zip(part, map(lambda a, b: raw[a:b], edges, edges[1:])))
+                other.append(p)
+        words = list(letters)
+        if self.marked:
+            words, simple = words + simple, []
+        for at in range(0, len(words), LOT):
+            self._joined(words[at : at + LOT], " ", simple)
+        for at in range(0, len(simple), LOT):
+            self._joined(simple[at : at + LOT], self.between[1], other)
         self.known.update(zip(other, self._plain([p if p.startswith("\n") else " " + p for p in other])))
+        self.known.update((p, self.known[p[:-1]] + self.points[p[-1]]) for p in pointed)
+
+    def _joined(self, part: list[str], mark: str, fallback: list[str]) -> None:
+        """Encode many pieces as one string and take it apart; where the parts don't come out even, leave them to ``fallback``."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + mark.join(part)], add_special_tokens=False)[0].ids, self.dtype)
+        if mark != " ":
+            cuts = np.flatnonzero(ids == self.between[0])
+            starts, ids = np.concatenate([[0], cuts - np.arange(len(cuts))]), np.delete(ids, cuts)
+        elif self.marked:
+            starts = np.flatnonzero(self.opens[ids])
+        else:
+            starts = np.concatenate([[0], np.flatnonzero(self.closes[ids]) + 1])[:-1]
+        if len(starts) != len(part):
+            fallback += part
+            return
+        raw, width = ids.tobytes(), self.dtype.itemsize
+        edges = [*(starts * width).tolist(), len(raw)]
+        self.known.update(zip(part, map(lambda a, b: raw[a:b], edges, edges[1:])))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         pieces: list[list[str] | None] = []

@@ -81,3 +81,18 @@ def op9(spark, sf_dir):
     from shiftscope.llm.pii import pseudonymised
 
     return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY).select("doc_id", "text", F.coalesce(F.aggregate(F.map_values("pii"), F.lit(0), lambda a, x: a + x), F.lit(0)).alias("n_replaced"))
+
+
+@query(
+    "op6_threshold_topk",
+    """with v as (select vec_id, list_transform(embedding, lambda e: floor(256 * e::double)::bigint) as x from embeddings
+      where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+    s as (select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::bigint as score
+      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+    select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5""",
+)
+def op6(spark, sf_dir):
+    from shiftscope.llm.topk import integer_vectors, top_k
+
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
