@@ -96,3 +96,23 @@ def op6(spark, sf_dir):
 
     vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
     return top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+#: verdict, host, path
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query("op2_association_rules")
+def op2(spark, sf_dir):
+    from shiftscope.llm.urlrules import judged_urls
+
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return judged_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
+@query("op3_flow_resharding")
+def op3(spark, sf_dir):
+    from shiftscope.llm.resharding import reshard, rewrite
+
+    kept = rewrite(reshard(table(spark, sf_dir, "documents"), new=8, old=5), scratch_path(spark, "shards"))
+    return kept.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
