@@ -116,3 +116,12 @@ def op3(spark, sf_dir):
 
     kept = rewrite(reshard(table(spark, sf_dir, "documents"), new=8, old=5), scratch_path(spark, "shards"))
     return kept.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op5_trie_bpe")
+def op5(spark, sf_dir):
+    from shiftscope.llm.bpetrie import decoded, encoded
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    both = decoded(encoded(table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
