@@ -89,19 +89,20 @@ def _pseudonym(x: str, key: str) -> str:
     return "case k " + " ".join(f"when '{k}' then {v}" for k, v in kinds.items()) + f" else {x} end"
 
 
-def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``text_col`` rewritten and ``pii`` added, the number of values replaced of each kind (map, kinds with none left out).
+def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", counts_col: str | None = "pii") -> DataFrame:
+    """``docs`` with ``text_col`` rewritten and ``counts_col``, if asked for, added or replaced: the number of values replaced of each kind (map, kinds with none left out).
 
     Numbers that fail their check, and dates that don't exist, stay as they are, and so does all other text. A null text stays null, with
-    an empty map. Rows are independent: one scan, no shuffle. A column of ``docs`` named ``pii`` is replaced.
+    an empty map. Rows are independent, repeated ones alike: one scan, no shuffle. Other columns stay, whatever their names.
     """
     if not key:
         raise ValueError("a key is needed")
     text = F.col(f"`{text_col}`")
     worth = text.rlike("[0-9@]")
-    split = docs.withColumn("_at", F.when(worth, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))).withColumn("_between", F.when(F.size("_at") > 0, F.split(text, PATTERN, -1)))
-    values = split.withColumn("_at", F.expr(f"transform(_at, x -> named_struct('x', x, 'k', {_found('x')}))"))
-    new = F.expr(f"concat(_between[0], array_join(zip_with(_at, slice(_between, 2, size(_between) - 1), (v, t) -> concat({_let('v.k', 'k', _let('v.x', 'x', _pseudonym('x', key)))}, t)), ''))")
-    kinds = F.array(*[F.struct(F.lit(k).alias("key"), F.expr(f"coalesce(size(filter(_at, v -> v.k = '{k}')), 0)").alias("value")) for k in sorted(KINDS)])
+    split = docs.withColumn("__pii_at", F.when(worth, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))).withColumn("__pii_between", F.when(F.size("__pii_at") > 0, F.split(text, PATTERN, -1)))
+    values = split.withColumn("__pii_at", F.expr(f"transform(__pii_at, x -> named_struct('x', x, 'k', {_found('x')}))"))
+    new = F.expr(f"concat(__pii_between[0], array_join(zip_with(__pii_at, slice(__pii_between, 2, size(__pii_between) - 1), (v, t) -> concat({_let('v.k', 'k', _let('v.x', 'x', _pseudonym('x', key)))}, t)), ''))")
+    kinds = F.array(*[F.struct(F.lit(k).alias("key"), F.expr(f"coalesce(size(filter(__pii_at, v -> v.k = '{k}')), 0)").alias("value")) for k in sorted(KINDS)])
     counts = F.map_from_entries(F.filter(kinds, lambda e: e["value"] > 0))
-    return values.withColumn(text_col, F.when(F.size("_at") > 0, new).otherwise(text)).withColumn("pii", counts).drop("_at", "_between")
+    done = values.withColumn(text_col, F.when(F.size("__pii_at") > 0, new).otherwise(text))
+    return (done.withColumn(counts_col, counts) if counts_col else done).drop("__pii_at", "__pii_between")

@@ -132,3 +132,10 @@ def judged(docs: DataFrame, rules: dict[str, tuple[str, float, float]] | None =
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = rows.join(F.broadcast(posteriors), "votes").withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep)).drop("votes")
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they were, whatever their names."""
+    kept = judged(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
+    rows = docs.withColumn("__text", F.xxhash64(text_col))
+    return rows.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__row")), "left_semi").drop("__text")

@@ -125,3 +125,10 @@ def op5(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
     both = decoded(encoded(table(spark, sf_dir, "documents"), path), path)
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)

@@ -156,3 +156,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
     component = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(component, "root").select("fingerprint", "component_id")
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that have a near-duplicate of smaller id in reach; all columns as they were.
+
+    Rows of equal id are one document and stay together. Rows with a null id stay where their whole component has none.
+    """
+    found = near_duplicates(docs, shingle, radius, id_col, text_col)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__print")).distinct()
+    nameless = kept.where("__id is null").select("__print")
+    ids = kept.where("__id is not null").select("__id").distinct()
+    id_ = F.col(f"`{id_col}`").cast("long")
+    named = docs.where(id_.isNotNull()).join(ids, id_ == F.col("__id"), "left_semi")
+    rest = docs.where(id_.isNull())
+    if nameless.isEmpty():
+        return named
+    texts = fingerprints(rest.select(F.xxhash64(text_col).alias("doc_id"), F.col(text_col).alias("text")).distinct(), shingle)
+    texts = texts.join(nameless, F.col("fingerprint") == F.col("__print"), "left_semi").select(F.col("doc_id").alias("__id"))
+    return named.unionByName(rest.join(texts, F.xxhash64(text_col) == F.col("__id"), "left_semi"))

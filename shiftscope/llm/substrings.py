@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from shiftscope.llm.common import saved, slices
 
@@ -263,20 +264,26 @@ def repeated_windows(docs: DataFrame, window: int = 50, gram: int = GRAM) -> Dat
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, layout: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, n_words, n_removed, spans (first and last word of every maximal removed run) of every row of ``docs``.
+    """doc_id, text, n_words, n_removed, spans (first and last word of every maximal removed run) and rest of every row of ``docs``.
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller id; windows are judged on the
     input. ``layout`` keeps the white space of what stays; without it the kept words are joined by one space. A text without removals
     comes back as it was where ``layout`` is set. Null texts have no words and stay null with ``layout``, else become empty. Rows
-    with a null id neither repeat others nor are repeated. Rows of equal id do not repeat each other.
+    with a null id neither repeat others nor are repeated. Rows of equal id do not repeat each other. ``rest`` is a struct of the
+    other columns, whatever their names, and is missing where there are none. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
-    ranges = saved(repeated_windows(rows, window).distinct().groupBy("doc_id", "row").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "ranges")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    rest = [F.struct(*others).alias("rest")] if others else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *rest).withColumn("row", F.xxhash64("text"))
+    ranges = repeated_windows(rows.select("doc_id", "row", "text"), window).distinct().groupBy("doc_id", "row").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    ranges = saved(ranges, "ranges")
+    names = ["doc_id", "text", "n_words", "n_removed", "spans"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for doc, text, ranges in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, text, ranges in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 words = _words(text)
                 gone = np.zeros(len(words) + 1, np.int64)
                 for r in ranges or []:
@@ -290,10 +297,14 @@ def remove_repeats(docs: DataFrame, window: int = 50, layout: bool = True, id_co
                 elif spans:
                     text = _cut(text.encode(), spans).decode()
                 out.append((doc, text, len(words), int(gone.sum()), spans))
-            yield _batch(out, ["doc_id", "text", "n_words", "n_removed", "spans"], [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))])
-
-    joined = rows.join(ranges, ["doc_id", "row"], "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long, spans array<struct<first: long, last: long>>")
+            done = _batch(out, names, types)
+            yield pa.RecordBatch.from_arrays([*done.columns, *batch.columns[3:]], [*names, *["rest"] * (batch.num_columns - 3)])
+
+    joined = rows.join(ranges, ["doc_id", "row"], "left").select("doc_id", "text", "ranges", *[c for c in ["rest"] if rest])
+    schema = "doc_id long, text string, n_words long, n_removed long, spans array<struct<first: long, last: long>>"
+    if rest:
+        schema = StructType.fromDDL(schema).add(joined.schema["rest"])
+    return joined.mapInArrow(run, schema)
 
 
 def _cut(raw: bytes, spans: list[dict]) -> bytes:
