@@ -93,7 +93,7 @@ def _(spark, sf):
     return _texts(spark, sf).select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("text_length"), "negative")
 
 
-_FOLD = f"translate(lower(text), '{L.ACCENTED}', '{L.PLAIN}')"
+_FOLD = f"regexp_replace(translate(lower(text), '{L.ACCENTED}', '{L.PLAIN}'), '\\p{{Mn}}+', '', 'g')"
 _WORDS = f"""dw as (select doc_id, regexp_extract_all({_FOLD}, '[\\p{{L}}\\p{{N}}_]{{2,}}') as w from documents),
     tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from dw union all
       select doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from dw) group by 1, 2),
@@ -192,7 +192,7 @@ def _(spark, sf):
 @query("J21_window_features_blocks", f"select unit, cycle, {_r(*_FCOLS, digits=8)} from wf", _WIN)
 def _(spark, sf):
     # the overlapping cut for very long units, forced at this size
-    return rounded(L.window_features(cut_lineage(readings(spark, sf)), _USED, block=64, plain_limit=0), *_FCOLS, digits=8)
+    return rounded(L.window_features(cut_lineage(readings(spark, sf)), _USED, block=64), *_FCOLS, digits=8)
 
 
 @query("J22_rul_target", "select unit, cycle, least(max(cycle) over (partition by unit) - cycle, 125) as rul from rf", _RUL)

@@ -1,8 +1,8 @@
 """Positions, running sums and row windows over groups that may be very large.
 
-A plain ``Window.partitionBy(key)`` sends a whole key to one task. That is used while the largest group is known
-to be small. Otherwise a group is cut into slices of the ordering value first, each slice is handled by its own task, and
-only one small row per slice is combined afterwards. Results are the same and exact.
+A plain ``Window.partitionBy(key)`` sends a whole key to one task. Here the rows are first range-partitioned by group, ordering value and
+ties, so a group is cut into slices wherever it is large, whatever the type of the ordering value and however often one value occurs.
+Each slice is handled by its own task, and only one small row per slice is combined afterwards.
 """
 
 from __future__ import annotations
@@ -11,32 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-
-PLAIN_LIMIT = 1_000_000  # rows of one group a single task may order
-
-
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    """Rows of the largest group (one aggregate with map-side combine)."""
-    return df.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-
-
-def cut_points(df: DataFrame, lead: str, parts: int) -> list[float]:
-    """About evenly spaced quantiles of ``lead``; the driver reads fewer than ``parts`` numbers."""
-    probs = [i / parts for i in range(1, parts)]
-    row = df.agg(F.percentile_approx(F.col(lead), probs, 20 * parts).alias("cuts")).first()
-    return sorted(set(row["cuts"] or []))
-
-
-def slice_of(lead: Column, cuts: Sequence[float]) -> Column:
-    """Index of the slice a value falls in, as a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(lead <= F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(cuts))
+from shiftscope.session import cut_lineage
 
 
 def _parts(df: DataFrame, parts: int | None) -> int:
@@ -51,31 +26,32 @@ def running_sums(
     ties: Sequence[str] = (),
     parts: int | None = None,
     descending: bool = False,
-    plain_limit: int = PLAIN_LIMIT,
 ) -> DataFrame:
-    """Add inclusive running sums of each entry of ``sums`` within ``group`` in the order (lead, ties)."""
-    parts = _parts(df, parts)
+    """Add inclusive running sums of each entry of ``sums`` within ``group`` in the order (lead, ties).
+
+    NULLs come first in ascending and last in descending order, as in a window.
+    """
     group = list(group)
     key = F.col(lead).desc() if descending else F.col(lead).asc()
-    if largest_group(df, group) <= plain_limit:
-        whole = Window.partitionBy(*group).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({name: F.sum(value).over(whole) for name, value in sums.items()})
-    sliced = df.withColumn("_slice", slice_of(F.col(lead), cut_points(df, lead, parts)))
-    if descending:
-        sliced = sliced.withColumn("_slice", -F.col("_slice"))
-    for name, value in sums.items():
-        sliced = sliced.withColumn(f"_v_{name}", value)
+    order = [*[F.col(g).asc() for g in group], key, *[F.col(t).asc() for t in ties]]
+    valued = df.withColumns({f"_v_{name}": value for name, value in sums.items()})
+    # written once: the number of a range partition must be the same wherever it is used
+    sliced = cut_lineage(valued.repartitionByRange(_parts(df, parts), *order).withColumn("_slice", F.spark_partition_id()))
     # one row per (group, slice): at most `parts` rows per group reach the small window below
     sizes = sliced.groupBy(*group, "_slice").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *group, "_slice", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
+        *[F.col(g).alias(f"_g_{g}") for g in group], F.col("_slice").alias("_s"),
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
     )
+    same = F.col("_slice") == F.col("_s")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
     inside = Window.partitionBy(*group, "_slice").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    out = sliced.join(offsets, [*group, "_slice"])
+    out = sliced.join(offsets, same)
     for name in sums:
-        out = out.withColumn(name, F.sum(f"_v_{name}").over(inside) + F.col(f"_o_{name}"))
-    return out.drop("_slice", *[f"_v_{n}" for n in sums], *[f"_o_{n}" for n in sums])
+        out = out.withColumn(name, F.coalesce(F.sum(f"_v_{name}").over(inside), F.lit(0)) + F.col(f"_o_{name}"))
+    return out.drop("_slice", "_s", *[f"_g_{g}" for g in group], *[f"_v_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 
 def positions(
@@ -86,10 +62,9 @@ def positions(
     out: str = "pos",
     parts: int | None = None,
     descending: bool = False,
-    plain_limit: int = PLAIN_LIMIT,
 ) -> DataFrame:
     """Exact 1-based position of every row within its group."""
-    return running_sums(df, group, lead, {out: F.lit(1).cast("bigint")}, ties, parts, descending, plain_limit)
+    return running_sums(df, group, lead, {out: F.lit(1).cast("bigint")}, ties, parts, descending)
 
 
 def halo_blocks(df: DataFrame, pos: str, before: int, block: int = 4096) -> DataFrame:

@@ -4,47 +4,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from shiftscope.functions.ordered import running_sums
 from shiftscope.session import cut_lineage
 
 
-def median_by_count(value: str, count: str) -> Column:
-    """Exact median of pre-counted values: group by (key, value) first, so copies never travel."""
-    return F.percentile(F.col(value), F.lit(0.5), F.col(count))
-
-
-def exact_quantile(df: DataFrame, col: str, q: float, keep: int = 100_000) -> float | None:
-    """Linear-interpolation quantile of a numeric column.
-
-    The value range is narrowed with approximate percentiles until at most ``keep`` distinct values
-    are left; only counts and bounds come to the driver.
-    """
-    # several passes follow, so the one column is written once
-    values = cut_lineage(df.select(F.col(col).alias("x")).where(F.col("x").isNotNull()))
-    n = values.count()
-    if n == 0:
+def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
+    """Linear-interpolation quantile of a numeric column, from running counts of its distinct values."""
+    counts = cut_lineage(df.select(F.col(col).alias("x")).where(F.col("x").isNotNull()).groupBy("x").agg(F.count("*").alias("c")))
+    n = counts.agg(F.sum("c")).first()[0]
+    if not n:
         return None
     target = (n - 1) * q
     low, high = math.floor(target), math.ceil(target)
-    below, rows, part = 0, n, values
-    accuracy = 10_000
-    while True:
-        distinct = part.agg(F.approx_count_distinct("x", 0.02)).first()[0]
-        if distinct <= keep:
-            break
-        slack = 4.0 / accuracy
-        p_lo = max(0.0, (low - below) / rows - slack)
-        p_hi = min(1.0, (high - below + 1) / rows + slack)
-        lo, hi = part.agg(F.percentile_approx("x", [p_lo, p_hi], accuracy)).first()[0]
-        skipped, kept = part.agg(F.count_if(F.col("x") < lo), F.count_if(F.col("x").between(lo, hi))).first()
-        if below + skipped > low or below + skipped + kept <= high or kept == rows:
-            break
-        below, rows, part = below + skipped, kept, part.where(F.col("x").between(lo, hi))
-    # a bounded number of distinct values is left
-    counts = part.groupBy("x").agg(F.count("*").alias("c"))
-    upto = counts.select("x", (F.sum("c").over(Window.orderBy("x")) + below).alias("upto"))
-    pick = upto.agg(
+    pick = running_sums(counts, [], "x", {"upto": F.col("c")}).agg(
         F.min(F.when(F.col("upto") > low, F.col("x"))).alias("a"),
         F.min(F.when(F.col("upto") > high, F.col("x"))).alias("b"),
     ).first()

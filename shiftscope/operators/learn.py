@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,8 +10,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shiftscope.functions.numbers import days_between, ratio
-from shiftscope.functions.ordered import PLAIN_LIMIT, halo_blocks, largest_group, positions, running_sums
-from shiftscope.functions.quantiles import exact_quantile, median_by_count
+from shiftscope.functions.ordered import halo_blocks, positions, running_sums
+from shiftscope.functions.quantiles import exact_quantile
+from shiftscope.session import cut_lineage
 from shiftscope.sources.tables import Shop
 
 # ---------------------------------------------------------------- late delivery
@@ -48,10 +50,9 @@ def late_features(shop: Shop) -> DataFrame:
 
 
 def fill_median(df: DataFrame, col: str) -> DataFrame:
-    """Replace NULLs by the exact median of a column of whole units (equal values are counted first)."""
-    counts = df.groupBy(col).agg(F.count("*").alias("n"))
-    mid = counts.where(F.col(col).isNotNull()).agg(median_by_count(col, "n").alias("m")).select("m").scalar()
-    return df.withColumn(col, F.coalesce(F.col(col).cast("double"), mid))
+    """Replace NULLs by the exact median of a column. ``df`` is written once, so its joins don't run again for the median."""
+    df = cut_lineage(df)
+    return df.withColumn(col, F.coalesce(F.col(col).cast("double"), F.lit(exact_quantile(df, col, 0.5)).cast("double")))
 
 
 def time_split(df: DataFrame, ts: str, q: float = 0.8) -> DataFrame:
@@ -145,14 +146,19 @@ def review_text_set(reviews: DataFrame, title: str, message: str, score: str, *k
     return rows.select(*keep, text.alias("text"), (F.col(score) <= 2).cast("int").alias("negative"))
 
 
-# fixed values: accented letters and their plain forms
-ACCENTED = "áàâãäåçéèêëíìîïñóòôõöúùûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _plain_letters() -> tuple[str, str]:
+    """Every lower-case letter that is one base letter with accents, and the base letters."""
+    parts = ((chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(0xC0, 0x2000) if chr(c).islower())
+    pairs = [(c, p[0]) for c, p in parts if len(p) > 1 and all(map(unicodedata.combining, p[1:]))]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _plain_letters()
 WORD_MIN_DF, CHAR_MIN_DF = 3, 5
 
 
 def _fold(text: Column) -> Column:
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"\p{Mn}+", "")
 
 
 def word_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -280,18 +286,13 @@ def informative_sensors(readings: DataFrame, sensors: Sequence[str]) -> DataFram
     return one.unpivot([], list(sensors), "sensor", "std").withColumn("keep", F.col("std") > MIN_STD)
 
 
-def window_features(readings: DataFrame, sensors: Sequence[str], window: int = WINDOW, block: int = 4096, plain_limit: int = PLAIN_LIMIT) -> DataFrame:
+def window_features(readings: DataFrame, sensors: Sequence[str], window: int = WINDOW, block: int = 4096) -> DataFrame:
     """Per cycle: value, mean of the last ``window`` values and mean of the last ``window`` first differences.
 
-    If some unit has more than ``plain_limit`` cycles, units are cut into blocks that overlap by the look-back, so that many
-    tasks share a long unit.
+    Units are cut into blocks that overlap by the look-back, so that many tasks share a long unit.
     """
-    long_units = largest_group(readings, ["unit"]) > plain_limit
-    if long_units:
-        rows = halo_blocks(positions(readings, ["unit"], "cycle", plain_limit=plain_limit), "pos", window, block)
-        by = Window.partitionBy("unit", "_block").orderBy("pos")
-    else:
-        rows, by = readings, Window.partitionBy("unit").orderBy("cycle")
+    rows = halo_blocks(positions(readings, ["unit"], "cycle"), "pos", window, block)
+    by = Window.partitionBy("unit", "_block").orderBy("pos")
     last = by.rowsBetween(-(window - 1), 0)
     steps = {f"_d_{s}": F.col(s) - F.lag(s).over(by) for s in sensors}
     rows = rows.withColumns(steps)
@@ -299,9 +300,7 @@ def window_features(readings: DataFrame, sensors: Sequence[str], window: int = W
     for s in sensors:
         made[f"{s}_mean"] = F.avg(s).over(last)
         made[f"{s}_slope"] = F.when(F.count(f"_d_{s}").over(last) >= 2, F.avg(f"_d_{s}").over(last))
-    rows = rows.withColumns(made)
-    if long_units:
-        rows = rows.where(~F.col("_halo"))
+    rows = rows.withColumns(made).where(~F.col("_halo"))
     cols = [c for s in sensors for c in (s, f"{s}_mean", f"{s}_slope")]
     return rows.select("unit", "cycle", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shiftscope.functions.ordered import positions
-from shiftscope.functions.quantiles import median_by_count
+from shiftscope.functions.quantiles import exact_quantile
 from shiftscope.operators.audit import query_number
 from shiftscope.operators.text import normalize_cell, normalize_label
 
@@ -66,8 +66,7 @@ def benchmark_summary(results: DataFrame) -> DataFrame:
         share("refusal", "correct").alias("refusal_pct"), F.round(F.avg((F.col("unsupported_numbers") > 0).cast("int")) * 100, 1).alias("unsupported_pct"),
         F.round(F.avg("duration_s"), 2).alias("avg_latency_s"), F.round(F.avg("cost_usd"), 6).alias("avg_cost_usd"), F.count("*").alias("questions"),
     )
-    counted = results.groupBy("duration_s").agg(F.count("*").alias("n"))
-    middle = counted.agg(median_by_count("duration_s", "n").alias("m")).select("m").scalar()
+    middle = F.lit(exact_quantile(results, "duration_s", 0.5)).cast("double")
     return main.withColumn("median_latency_s", F.round(middle, 2))
 
 
