@@ -123,8 +123,12 @@ def _(spark, sf):
 
 @query("J10_best_model")
 def _(spark, sf):
-    models = {k: S.MODELS[k] for k in ("seasonal_naive", "holt_winters")}
-    return S.best_model(S.rolling_backtest(shop_series(spark, sf), models))
+    return S.best_model(S.rolling_backtest(shop_series(spark, sf), S.MODELS))
+
+
+@query("J9_rolling_backtest_all")
+def _(spark, sf):
+    return S.rolling_backtest(shop_series(spark, sf), S.MODELS)
 
 
 @query("J10_mape", "select name, 'seasonal_naive' as best_model, round(avg(mape), 6) as mean_mape from bt group by 1", _BACK)

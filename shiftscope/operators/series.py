@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shiftscope.functions.numbers import ratio
 
 HORIZON = 28
+TREES = 300
 SEASON = 7
 THRESHOLD = 6.0
 MAD_SCALE = 0.6745  # makes the median absolute deviation comparable to a standard deviation
@@ -190,9 +191,9 @@ def holt_winters(train: DataFrame, horizon: int = HORIZON) -> DataFrame:
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("day")["value"].dropna().to_numpy(dtype=float)
-        if len(y) < 2 * SEASON:
-            return pd.DataFrame({"series": [], "step": [], "prediction": []})
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "step": np.arange(1, horizon + 1), "prediction": _holt_winters(y, horizon)})
+        # a series under two weeks has no forecast, which is a row without a value
+        ahead = _holt_winters(y, horizon) if len(y) >= 2 * SEASON else np.full(horizon, np.nan)
+        return pd.DataFrame({"series": pdf["series"].iloc[0], "step": np.arange(1, horizon + 1), "prediction": ahead})
 
     return train.select("series", "day", "value").groupBy("series").applyInPandas(one, "series string, step int, prediction double")
 
@@ -210,32 +211,87 @@ def lag_features(series: DataFrame) -> DataFrame:
 FEATURES = [*[f"lag_{k}" for k in LAGS], "rolling_28", "weekday", "month", "day_of_month"]
 
 
-def gbt_forecast(train: DataFrame, horizon: int = HORIZON, trees: int = 20) -> DataFrame:
-    """Boosted trees on lag features, one model over all series.
-
-    The shortest lag is a week, so a week of days can be predicted at once: four passes replace 28 recursive steps.
+def _grow(codes: np.ndarray, left: np.ndarray, depth: int, bins: int, least: int = 5) -> tuple[np.ndarray, list]:
+    """A regression tree on binned features as (values in the rows, splits of every level); splits minimise the squared error."""
+    node, splits, f = np.zeros(len(left), np.int64), [], codes.shape[1]
+    for level in range(depth):
+        width = 1 << level
+        slot = (node[:, None] * f + np.arange(f)) * bins + codes
+        n = np.bincount(slot.ravel(), minlength=width * f * bins).reshape(width, f, bins).cumsum(axis=2)
+        total = np.bincount(slot.ravel(), np.repeat(left, f), width * f * bins).reshape(width, f, bins).cumsum(axis=2)
+        rest_n, rest = n[:, :, -1:] - n, total[:, :, -1:] - total
+        gain = np.where((n >= least) & (rest_n >= least), total**2 / np.maximum(n, 1) + rest**2 / np.maximum(rest_n, 1), -np.inf)
+        best = gain.reshape(width, -1).argmax(axis=1)
+        split = np.where(np.isfinite(gain.reshape(width, -1).max(axis=1)), best, -1)
+        splits.append(split)
+        node = _descend(node, split, codes, bins)
+    n = np.bincount(node, minlength=1 << depth)
+    return np.bincount(node, left, 1 << depth) / np.maximum(n, 1), splits
+
+
+def _descend(node: np.ndarray, split: np.ndarray, codes: np.ndarray, bins: int) -> np.ndarray:
+    own = split[node]
+    right = np.where(own < 0, 0, codes[np.arange(len(node)), np.maximum(own, 0) // bins] > np.maximum(own, 0) % bins)
+    return 2 * node + right
+
+
+def _boosted(x: np.ndarray, y: np.ndarray, trees: int, depth: int = 3, rate: float = 0.05, bins: int = 32) -> Callable[[np.ndarray], np.ndarray]:
+    """Least-squares boosting on features cut into quantile bins."""
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins)[1:-1])) for c in x.T]
+    code = lambda rows: np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, rows.T)], axis=1)
+    codes, base = code(x), y.mean()
+    fit, grown = np.full(len(y), base), []
+    for _ in range(trees):
+        leaf, splits = _grow(codes, y - fit, depth, bins)
+        node = np.zeros(len(y), np.int64)
+        for split in splits:
+            node = _descend(node, split, codes, bins)
+        fit += rate * leaf[node]
+        grown.append((leaf, splits))
+
+    def predict(rows: np.ndarray) -> np.ndarray:
+        codes, out = code(rows), np.full(len(rows), base)
+        for leaf, splits in grown:
+            node = np.zeros(len(rows), np.int64)
+            for split in splits:
+                node = _descend(node, split, codes, bins)
+            out += rate * leaf[node]
+        return out
+
+    return predict
+
+
+def _features(values: np.ndarray, days: pd.DatetimeIndex) -> np.ndarray:
+    """FEATURES of every day from the values before it."""
+    v = pd.Series(values)
+    lags = [v.shift(k) for k in LAGS]
+    month = v.shift(SEASON).rolling(28, min_periods=28).mean()
+    return np.stack([*lags, month, days.weekday, days.month, days.day], axis=1).astype(float)
+
+
+def gbt_forecast(train: DataFrame, horizon: int = HORIZON, trees: int = TREES) -> DataFrame:
+    """Boosted trees on lag features, one model for each series, so no forecast knows days or levels of another.
+
+    The shortest lag is a week, so a week of days is predicted at once. A series whose days don't fill the features has NULL forecasts.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    known = train.select("series", "day", "value")
-    fit_rows = assembler.transform(lag_features(known).dropna(subset=[*FEATURES, "value"])).select("features", "value")
-    model = GBTRegressor(labelCol="value", maxIter=trees, stepSize=0.1, maxDepth=4, seed=0).fit(fit_rows)
-    last = train.groupBy("series").agg(F.max("day").alias("last_day"))
-    # only the newest rows are needed as history
-    newest = Window.partitionBy("series").orderBy(F.col("day").desc())
-    history = known.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= 2 * SEASON + 28).drop("age")
-    out = None
-    for block in range(0, horizon, SEASON):
-        steps = F.explode(F.sequence(F.lit(block + 1), F.lit(min(block + SEASON, horizon)))).alias("step")
-        ahead = last.select("series", "last_day", steps)
-        ahead = ahead.select("series", F.expr("date_add(last_day, step)").alias("day"), F.lit(None).cast("double").alias("value"), "step")
-        frame = lag_features(history.withColumn("step", F.lit(None).cast("int")).unionByName(ahead)).where("step is not null")
-        scored = model.transform(assembler.setHandleInvalid("skip").transform(frame)).select("series", "day", "step", F.col("prediction"))
-        out = scored if out is None else out.unionByName(scored)
-        history = history.unionByName(scored.select("series", "day", F.col("prediction").alias("value")))
-    return out.select("series", "step", "prediction")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day")
+        days, y = pd.DatetimeIndex(pdf["day"]), pdf["value"].to_numpy(dtype=float)
+        x = _features(y, days)
+        sound = np.isfinite(x).all(axis=1) & np.isfinite(y)
+        ahead = np.full(horizon, np.nan)
+        if sound.sum() >= SEASON:
+            predict = _boosted(x[sound], y[sound], trees)
+            for first in range(0, horizon, SEASON):
+                count = min(SEASON, horizon - first)
+                more = pd.date_range(days[-1] + pd.Timedelta(days=1), periods=first + count)
+                rows = _features(np.concatenate([y, ahead[:first], np.full(count, np.nan)]), days.append(more))[-count:]
+                good = np.isfinite(rows).all(axis=1)
+                ahead[first : first + count][good] = predict(rows[good]) if good.any() else np.nan
+        return pd.DataFrame({"series": pdf["series"].iloc[0], "step": np.arange(1, horizon + 1), "prediction": ahead})
+
+    return train.select("series", "day", "value").groupBy("series").applyInPandas(one, "series string, step int, prediction double")
 
 
 MODELS: dict[str, Callable[..., DataFrame]] = {
@@ -259,24 +315,26 @@ def backtest_rows(series: DataFrame, folds: int = 4, horizon: int = HORIZON) ->
 
 
 def rolling_backtest(series: DataFrame, models: dict[str, Callable[..., DataFrame]], folds: int = 4, horizon: int = HORIZON) -> DataFrame:
-    """MAPE of every model, series and fold; all folds of all series run in the same job."""
+    """MAPE of every model, series and fold, NULL where the model has no forecast for some day; all folds run in the same job."""
     rows = backtest_rows(series, folds, horizon)
     train, test = rows.where("step is null").select("series", "day", "value"), rows.where("step is not null")
     out = None
     for name, model in models.items():
-        joined = test.join(model(train, horizon), ["series", "step"])
+        joined = test.join(model(train, horizon), ["series", "step"], "left")
         part = mape(joined, "value", "prediction", ["name", "fold"]).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def mape(df: DataFrame, actual: str, predicted: str, by: list[str]) -> DataFrame:
-    """Mean absolute percentage error per group; a zero actual value has no percentage."""
+    """Mean absolute percentage error per group, NULL if a prediction is missing; a zero actual value has no percentage."""
     error = F.abs(ratio(F.col(actual) - F.col(predicted), F.col(actual)))
-    return df.groupBy(*by).agg((F.avg(error) * 100).alias("mape"))
+    return df.groupBy(*by).agg(F.when(F.count_if(F.col(predicted).isNull()) == 0, F.avg(error) * 100).alias("mape"))
 
 
 def best_model(scores: DataFrame) -> DataFrame:
-    """Mean MAPE per model and the best model of every series."""
-    mean = scores.groupBy("name", "model").agg(F.avg("mape").alias("mean_mape"))
+    """Mean MAPE per model and the best model of every series, over the folds that all models have a value for."""
+    models = scores.select("model").distinct().agg(F.count("*").alias("n")).select("n").scalar()
+    shared = scores.where(F.col("mape").isNotNull()).groupBy("name", "fold").agg(F.count("*").alias("n")).where(F.col("n") == models).select("name", "fold")
+    mean = scores.join(shared, ["name", "fold"]).groupBy("name", "model").agg(F.avg("mape").alias("mean_mape"))
     return mean.groupBy("name").agg(F.min_by("model", F.struct("mean_mape", "model")).alias("best_model"), F.min("mean_mape").alias("mean_mape"))

@@ -66,6 +66,32 @@ def test_gaps_are_filled(spark):
     assert [r.value for r in out] == [None, 2.0, 4.0, 6.0, 8.0, 8.0]
 
 
+def test_short_series_have_no_forecast_and_do_not_stop_the_others(spark, weekly):
+    short = spark.createDataFrame([("short", f"2024-01-0{d}", 1.0) for d in range(1, 6)], "series string, day string, value double").withColumn("day", F.col("day").cast("date"))
+    for model in (S.holt_winters, lambda t: S.gbt_forecast(t, trees=5)):
+        out = model(weekly.where("series = 'flat'").unionByName(short)).toPandas()
+        assert out[out.series == "short"].prediction.isna().all() and out[out.series == "flat"].prediction.notna().all()
+
+
+def test_forecasts_do_not_know_later_days_or_other_series(weekly):
+    late = weekly.withColumn("value", F.col("value") + F.when(F.col("day") > "2024-06-01", 500.0).otherwise(0.0))
+    model = lambda train, horizon: S.gbt_forecast(train, horizon, trees=20)
+
+    def forecasts(rows):
+        parts = S.backtest_rows(rows, folds=4)
+        train = parts.where("step is null and fold = 4")
+        return {(r.series, r.step): r.prediction for r in model(train, 28).collect()}
+
+    assert forecasts(weekly) == forecasts(late)
+
+
+def test_boosting_beats_the_weekly_mean(weekly):
+    flat = weekly.where("series = 'flat'")
+    scores = S.rolling_backtest(flat, {"boosted": lambda t, h: S.gbt_forecast(t, h, trees=100), "seasonal_naive": S.seasonal_naive})
+    mean = {r.model: r.m for r in scores.groupBy("model").agg(F.avg("mape").alias("m")).collect()}
+    assert mean["boosted"] < 12 and S.best_model(scores).count() == 1
+
+
 def test_block_forecast_uses_only_known_lags(weekly):
     out = S.gbt_forecast(weekly.where("series = 'flat'"), trees=5)
     assert sorted(r.step for r in out.collect()) == list(range(1, 29))
