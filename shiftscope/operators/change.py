@@ -12,12 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shiftscope.functions.numbers import pct_change, ratio, ratio_or_zero
-from shiftscope.plans.metrics import DIMENSIONS, JOINS, MANY_SIDED, MetricSpec, resolve_joins
+from shiftscope.plans.metrics import DIMENSIONS, JOINS, MetricSpec, resolve_joins
 from shiftscope.sources.tables import KEYS, Shop
 
 NO_SEGMENT = "(none)"
 MIN_DUPLICATE_INCREASE = 0.005
-BROADCAST_IDS = 2_000_000  # order ids (some tens of megabytes) sent to every task at most
 
 
 # ---------------------------------------------------------------- measuring
@@ -47,26 +46,11 @@ def attach(df: DataFrame, shop: Shop, path: Sequence[str], how: str) -> DataFram
 def base_values(shop: Shop, spec: MetricSpec) -> DataFrame:
     """(order_id, period, v): the value of every order.
 
-    A value that only needs child rows is reduced per order before the join (map-side combine absorbs an order
-    with very many rows). If the periods hold few enough orders, their ids are sent to the child scan first, so that the
-    rows of other periods are dropped there. Any other expression is evaluated over the left-joined rows.
+    Every expression is evaluated over the left-joined rows, so a repeated order counts as often as it is there, however the
+    expression is spelt.
     """
-    orders = period_rows(shop, spec)
-    if not spec.child_only:
-        joined = attach(orders, shop, spec.path, "left")
-        return joined.groupBy(F.col("o.order_id").alias("order_id"), "period").agg(F.expr(spec.order_value).alias("v"))
-    root = next(t for t in spec.path if t in MANY_SIDED)
-    child, ids = shop.table(root), orders.select("order_id").distinct()
-    if orders.count() <= BROADCAST_IDS:
-        child = child.join(F.broadcast(ids), "order_id", "left_semi")
-    child = child.alias(JOINS[root][0])
-    lookups = [t for t in spec.path if t not in (root, "customers")]
-    per_order = (
-        attach(child, shop, lookups, "left")
-        .groupBy(F.col(f"{JOINS[root][0]}.order_id").alias("order_id"))
-        .agg(F.expr(spec.order_value).alias("v"))
-    )
-    return orders.select("order_id", "period").distinct().join(per_order, "order_id", "left")
+    joined = attach(period_rows(shop, spec), shop, spec.path, "left")
+    return joined.groupBy(F.col("o.order_id").alias("order_id"), "period").agg(F.expr(spec.order_value).alias("v"))
 
 
 def total_by_period(base: DataFrame) -> DataFrame:
@@ -108,10 +92,14 @@ def segment_rows(shop: Shop, dimensions: Sequence[str], order_ids: DataFrame | N
 def by_segment(base: DataFrame, segments: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     """(dimension, segment, period, total, n, orders); an order counts in every segment it has, or in '(none)'."""
     wanted = F.array(*[F.lit(d) for d in dimensions])
-    spread = base.withColumn("dimension", F.explode(wanted))
+    own = segments.where(F.col("dimension").isin(*dimensions))
+    matched = base.join(own.withColumn("segment", F.coalesce("segment", F.lit(NO_SEGMENT))), "order_id").select("dimension", "segment", "period", "v")
+    # an order has at most one name for each dimension
+    named = own.groupBy("order_id").agg(F.collect_set("dimension").alias("_named"))
+    missing = F.array_except(wanted, F.coalesce("_named", F.array().cast("array<string>")))
+    without = base.join(named, "order_id", "left").select(F.explode(missing).alias("dimension"), F.lit(NO_SEGMENT).alias("segment"), "period", "v")
     return (
-        spread.join(segments, ["order_id", "dimension"], "left")
-        .groupBy("dimension", F.coalesce("segment", F.lit(NO_SEGMENT)).alias("segment"), "period")
+        matched.unionByName(without).groupBy("dimension", "segment", "period")
         .agg(F.sum("v").alias("total"), F.count("v").alias("n"), F.count("*").alias("orders"))
     )
 

@@ -35,7 +35,6 @@ KINDS = ("total", "per_order_average")
 
 # tables that can hold several rows per order, so joining two of them multiplies rows
 MANY_SIDED = ("order_items", "order_payments", "order_reviews")
-_SIMPLE_AGG = re.compile(r"^\s*(sum|avg|min|max)\s*\(([^()]|\([^()]*\))*\)\s*$", re.IGNORECASE)
 
 
 def resolve_joins(names: tuple[str, ...] | list[str]) -> list[str]:
@@ -81,13 +80,6 @@ class MetricSpec:
         if len(many) > 1 and not self.allow_fanout:
             raise ValueError(f"joining {' and '.join(many)} multiplies rows; pass allow_fanout=True to keep that")
 
-    @property
-    def child_only(self) -> bool:
-        """True if the value is one SUM/AVG/MIN/MAX over child columns, so children can be reduced per order first."""
-        aliases = set(re.findall(r"\b(o|c|oi|op|r|p|s)\.", self.order_value))
-        many = [t for t in self.path if t in MANY_SIDED]
-        return len(many) == 1 and not aliases & {"o", "c"} and bool(_SIMPLE_AGG.match(self.order_value))
-
     def between(self, period_a: tuple[str, str], period_b: tuple[str, str]) -> MetricSpec:
         return replace(self, period_a=period_a, period_b=period_b)
 

@@ -25,22 +25,14 @@ def test_spec_is_checked_before_any_job(bad):
         MetricSpec(**{**dict(name="x", kind="total", order_value="1", period_a=A, period_b=B), **bad})
 
 
-def test_child_only_expressions_are_recognised():
-    catalog = metric_catalog(A, B)
-    assert catalog["revenue"].child_only and catalog["review_score"].child_only
-    assert not catalog["orders"].child_only and not catalog["late_rate"].child_only
-    mixed = MetricSpec("x", "total", "COALESCE(SUM(oi.price), 0)", A, B, ("order_items",))
-    assert not mixed.child_only
-
-
-def test_both_base_plans_agree(spark, sf):
+def test_a_value_does_not_depend_on_its_spelling(spark, sf):
     shop = standin(spark, sf)
     a, b = ("1997-01-01", "1997-07-01"), ("1997-07-01", "1998-01-01")
-    fast = MetricSpec("x", "total", "SUM(oi.price)", a, b, ("order_items",))
-    slow = MetricSpec("x", "total", "SUM(oi.price) + 0", a, b, ("order_items",))
-    assert fast.child_only and not slow.child_only
-    rows = lambda spec: sorted((r.order_id, r.period, None if r.v is None else round(r.v, 4)) for r in C.base_values(shop, spec).collect())
-    assert rows(fast) == rows(slow)
+    twice = shop.with_tables(orders=shop.orders.unionByName(shop.orders.limit(500))) if hasattr(shop, "with_tables") else shop
+    plain = MetricSpec("x", "total", "SUM(oi.price)", a, b, ("order_items",))
+    other = MetricSpec("x", "total", "SUM(oi.price) + 0", a, b, ("order_items",))
+    rows = lambda spec: sorted((r.order_id, r.period, None if r.v is None else round(r.v, 4)) for r in C.base_values(twice, spec).collect())
+    assert rows(plain) == rows(other)
 
 
 @pytest.fixture(scope="module")
