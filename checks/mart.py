@@ -14,7 +14,7 @@ from shiftscope.sources.tables import row_counts
 
 _DATE = """select d::date as date_key, year(d)::int as year, quarter(d)::int as quarter, month(d)::int as month,
     strftime(d, '%Y-%m') as year_month, isodow(d)::int as weekday, isodow(d) in (6, 7) as is_weekend
-    from (select unnest(generate_series(timestamp '{}', timestamp '{}', interval '1' day)) as d)"""
+    from (select unnest(generate_series({}, {}, interval '1' day)) as d)"""
 _PRODUCT = """select product_id, coalesce(product_category_name, 'unknown') as category,
     coalesce(product_category_name_english, 'unknown') as category_english, product_weight_g, product_photos_qty
     from sh_products left join sh_translation using (product_category_name)"""
@@ -29,9 +29,10 @@ _PAYMENTS = """fp as (select p.order_id, p.payment_sequential, o.customer_id, o.
     p.payment_type, p.payment_installments, p.payment_value from sh_payments p join sh_orders o on o.order_id = p.order_id)"""
 
 
-@query("C1_dim_date", _DATE.format("2016-01-01", "2018-12-31"))
+@query("C1_dim_date", _DATE.format("(select min(o_orderdate)::date::timestamp from orders)", "(select max(o_orderdate)::date::timestamp from orders)"))
 def _(spark, sf):
-    return M.dim_date(spark)
+    first, last = shop(spark, sf).orders.agg(F.to_date(F.min("order_purchase_timestamp")), F.to_date(F.max("order_purchase_timestamp"))).first()
+    return M.dim_date(spark, first, last)
 
 
 @query("C1_dim_date_of_orders", """select d::date as date_key, year(d)::int as year, month(d)::int as month, isodow(d)::int as weekday

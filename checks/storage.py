@@ -134,15 +134,20 @@ def _(spark, sf):
     return archive.read_archived_run(spark, folder, f"{schema}, bucket bigint", last["dataset"], last["run_id"]).select("run_id", "question", "dataset", "status")
 
 
-@query("A12_profile_tables", """select 'orders' as table_name, c as column_name, n as null_count, a as min_value, z as max_value from (
-    select 'o_orderkey' as c, count(*) filter (where o_orderkey is null) as n, min(o_orderkey)::varchar as a, max(o_orderkey)::varchar as z from orders
-    union all select 'o_custkey', count(*) filter (where o_custkey is null), min(o_custkey)::varchar, max(o_custkey)::varchar from orders
-    union all select 'o_orderstatus', count(*) filter (where o_orderstatus is null), min(o_orderstatus), max(o_orderstatus) from orders
-    union all select 'o_orderpriority', count(*) filter (where o_orderpriority is null), min(o_orderpriority), max(o_orderpriority) from orders)
-    union all select 'nation', 'n_name', count(*) filter (where n_name is null), min(n_name), max(n_name) from nation""")
+_PROFILED = {
+    "region": {"r_regionkey": "int", "r_name": "string"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+    "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
+    "part": {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "double"},
+    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"},
+    "labels": {"doc_id": "bigint", "quality": "int", "toxic": "int"},
+}
+
+
+@query("A12_profile_tables", " union all ".join(f"select '{t}' as table_name, '{c}' as column_name, '{k}' as column_type, count(*) filter (where {c} is null) as null_count, min({c})::varchar as min_value, max({c})::varchar as max_value from {t}"
+                                              for t, cols in _PROFILED.items() for c, k in cols.items()))
 def _(spark, sf):
-    t = {"orders": table(spark, sf, "orders").drop("o_totalprice", "o_orderdate"), "nation": table(spark, sf, "nation").select("n_name")}
-    return T.profile_columns(t).drop("column_type")
+    return T.profile_columns({t: table(spark, sf, t) for t in _PROFILED})
 
 
 @query("A12_date_range", "select min(order_purchase_timestamp) as first_at, max(order_purchase_timestamp) as last_at, count(*) as n from sh_orders")

@@ -36,10 +36,9 @@ def order_stops(shop: Shop, box: tuple[float, float, float, float], limit: int =
 
 
 def distance_pairs(stops: DataFrame) -> DataFrame:
-    """Upper half of the distance matrix of every (city, day); a group has at most STOP_LIMIT stops."""
-    cap = stops.where(F.col("stop_no") <= STOP_LIMIT)
-    a = cap.select("city", "day", F.col("stop_no").alias("from_stop"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"))
-    b = cap.select("city", "day", F.col("stop_no").alias("to_stop"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
+    """Upper half of the distance matrix of every (city, day); ``order_stops`` bounds the stops of a group."""
+    a = stops.select("city", "day", F.col("stop_no").alias("from_stop"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"))
+    b = stops.select("city", "day", F.col("stop_no").alias("to_stop"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
     pairs = a.join(b, ["city", "day"]).where(F.col("from_stop") < F.col("to_stop"))
     return pairs.select("city", "day", "from_stop", "to_stop", haversine_km(*map(F.col, ("lat1", "lng1", "lat2", "lng2"))).alias("km"))
 

@@ -19,9 +19,9 @@ BANK_BLOCK = 20_000  # bank vectors held by a task at once
 # ---------------------------------------------------------------- splits
 def split_every(df: DataFrame, group: str, every: int = 3) -> DataFrame:
     """Whole groups go to 'test' (each ``every``-th in sorted order) or 'train'."""
-    groups = positions(df.select(F.col(group).cast("double").alias("_g")).distinct(), [], "_g", out="_p")
+    groups = positions(df.select(F.col(group).alias("_g")).distinct(), [], "_g", out="_p")
     marked = groups.select("_g", F.when((F.col("_p") - 1) % every == 0, "test").otherwise("train").alias("split"))
-    return df.withColumn("_g", F.col(group).cast("double")).join(marked, "_g").drop("_g")
+    return df.join(marked, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def split_hashed(df: DataFrame, group: str, seeds: list[int], test_share: float = 0.3) -> DataFrame:

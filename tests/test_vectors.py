@@ -55,6 +55,13 @@ def test_nms_equals_the_greedy_rule(spark, small):
     assert {r.box_id for r in D.nms(df, 0.5, small=small).collect()} == _greedy(boxes, 0.5)
 
 
+def test_text_and_huge_groups_are_kept_apart(spark):
+    df = spark.createDataFrame([("a", 2**53), ("b", 2**53 + 1), ("c", 2**53), (None, 5)], "g string, n bigint")
+    assert V.split_every(df, "g").count() == 4
+    assert V.split_every(df.select("n"), "n", 2).groupBy("n").agg(F.count_distinct("split").alias("k")).where("k > 1").count() == 0
+    assert V.split_every(df.select("n").distinct(), "n", 2).where("split = 'test'").count() == 2
+
+
 def test_groups_are_never_split(spark):
     df = spark.range(200).withColumn("g", F.col("id") % 12)
     for out in (V.split_every(df, "g"), V.split_hashed(df, "g", [7])):
