@@ -17,7 +17,7 @@ ADDRESS = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0
 DATE = r"(?<![\w-])(?:17|18|19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\w-])"
 SOCIAL = r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])"
 PHONE = r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w|[.-]\d)"
-CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)"
+CARD = r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w|[.-]\d)"
 KINDS = {"mail": MAIL, "address": ADDRESS, "date": DATE, "social": SOCIAL, "phone": PHONE, "card": CARD}
 PATTERN = "|".join(f"(?:{p})" for p in (MAIL, ADDRESS, DATE, SOCIAL, CARD, PHONE))
 #: 1700-01-01 to 2099-12-31 has 146,097 days, 27 times 5,411.
