@@ -140,6 +140,15 @@ def _(spark, sf):
     return S.result_match(gold, got)
 
 
+@query("N9_result_match_more_columns", "select event_type as question, event_type <> 'view' as match from events group by 1")
+def _(spark, sf):
+    daily = table(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"), F.count("*").alias("n"))
+    gold = S.result_rows(daily, F.col("event_type"), [F.col("day"), F.col("v")])
+    # another order and one more column; 'view' lacks the value asked for
+    value = F.when(F.col("event_type") == "view", F.col("v") + 7 * F.col("v")).otherwise(F.col("v"))
+    return S.result_match(gold, S.result_rows(daily, F.col("event_type"), [F.col("n"), value, F.date_format("day", "yyyy-MM-dd")]))
+
+
 _CAND = """cd as (select o_custkey % 50 as question, row_number() over (partition by o_custkey % 50 order by o_orderkey) as rank, o_orderpriority as dimension, o_orderstatus as segment from orders),
     ex as (select distinct o_custkey % 50 as question, '2-HIGH' as dimension, case when o_custkey % 50 = 7 then 'none' else 'f' end as segment from orders)"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shiftscope.functions.ordered import positions
 from shiftscope.functions.quantiles import exact_quantile
@@ -20,32 +20,72 @@ LIMITS = (
 
 
 def result_rows(df: DataFrame, question: Column, cells: list[Column]) -> DataFrame:
-    """(question, labels, numbers): each row's normalised text cells (sorted) and number cells (sorted)."""
+    """(question, cells): each row's cells in column order, a number or else a normalised label; a NULL cell has neither."""
     normal = F.array(*[normalize_cell(c) for c in cells])
-    number = lambda x: x.try_cast("double")
-    rows = df.select(question.alias("question"), normal.alias("c"))
-    return rows.select(
-        "question",
-        F.array_join(F.array_sort(F.transform(F.filter("c", lambda x: x.isNotNull() & number(x).isNull()), normalize_label)), "|").alias("labels"),
-        F.array_sort(F.filter(F.transform("c", number), lambda x: x.isNotNull())).alias("numbers"),
+
+    def cell(x: Column) -> Column:
+        number = x.try_cast("double")
+        return F.struct(number.alias("number"), F.when(number.isNull(), normalize_label(x)).alias("label"))
+
+    return df.select(question.alias("question"), F.transform(normal, cell).alias("cells"))
+
+
+def _columns(rows: DataFrame) -> DataFrame:
+    """What is in every column of a question's result: NULLs, labels whatever their order, and the numbers' count, range and mean."""
+    flat = rows.select("question", F.posexplode("cells").alias("col", "c"))
+    label, number = F.col("c.label"), F.col("c.number")
+    return flat.groupBy("question", "col").agg(
+        F.count_if(label.isNull() & number.isNull()).alias("nulls"), F.count(label).alias("labels"), F.sum(F.xxhash64(label).cast("decimal(38,0)")).alias("hash"),
+        F.count(number).alias("numbers"), F.min(number).alias("low"), F.max(number).alias("high"), F.avg(number).alias("mean"),
     )
 
 
-def result_match(gold: DataFrame, got: DataFrame) -> DataFrame:
-    """(question, match): same number of rows, and every gold row has its own equal row.
+def _close(x: Column, y: Column) -> Column:
+    return F.abs(x - y) <= F.greatest(F.lit(TOLERANCE), TOLERANCE * F.greatest(F.abs(x), F.abs(y)))
+
+
+def _chosen_columns(gold: DataFrame, got: DataFrame) -> DataFrame:
+    """(question, picks): for every gold column, in order, the answer's column that holds the same; the answer may have more columns."""
+    a, b = _columns(gold).alias("a"), _columns(got).alias("b")
+    same = F.col("a.question") == F.col("b.question")
+    for c in ("nulls", "labels", "numbers"):
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    for c in ("low", "high", "mean"):
+        same = same & ((F.col("a.numbers") == 0) | _close(F.col(f"a.{c}"), F.col(f"b.{c}")))
+    same = same & ((F.col("a.labels") == 0) | (F.col("a.hash") == F.col("b.hash")))
+    # an answer has few columns, so the lists below are short
+    fits = a.join(b, same).groupBy(F.col("a.question").alias("question"), F.col("a.col").alias("col")).agg(F.array_sort(F.collect_set(F.col("b.col"))).alias("fits"))
+    alike = Window.partitionBy("question", "fits").orderBy("col")
+    placed = fits.withColumn("pick", F.try_element_at("fits", F.row_number().over(alike))).where("pick is not null")
+    return placed.groupBy("question").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "pick"))), lambda p: p["pick"]).alias("picks"))
+
+
+def result_match(gold: DataFrame, got: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """(question, match): same number of rows, and every gold row has its own equal row among the answer's.
 
-    Rows with the same labels are matched in numeric order; numbers agree within 1e-3 (relative or absolute).
+    The answer may have more columns, in any order: each gold column is paired with one of the same content first. Labels ignore case
+    and separators, numbers agree within 1e-3 (relative or absolute), NULL equals only NULL. Rows with the same labels are paired
+    in the order of their numbers. ``questions`` names those that may have no row on either side, which is a match.
     """
+    picks = _chosen_columns(gold, got)
+    width = gold.groupBy("question").agg(F.max(F.size("cells")).alias("width"))
+    taken = got.join(picks.join(width, "question").where(F.size("picks") == F.col("width")), "question", "left")
+    taken = taken.select("question", F.when(F.col("picks").isNotNull(), F.transform("picks", lambda c: F.get("cells", c))).alias("cells"))
 
     def placed(df: DataFrame, name: str) -> DataFrame:
-        lead = df.withColumn("_lead", F.coalesce(F.try_element_at("numbers", F.lit(1)), F.lit(0.0)))
+        mark = lambda c: F.when(c["number"].isNotNull(), "#").otherwise(F.coalesce(F.concat(F.lit("="), c["label"]), F.lit("-")))
+        numbers = F.transform(F.filter("cells", lambda c: c["number"].isNotNull()), lambda c: c["number"])
+        rows = df.select("question", F.coalesce(F.array_join(F.transform("cells", mark), "|"), F.lit("?")).alias("labels"), numbers.alias("numbers"))
+        lead = rows.withColumn("_lead", F.coalesce(F.try_element_at("numbers", F.lit(1)), F.lit(0.0)))
         out = positions(lead, ["question", "labels"], "_lead", ["numbers"])
         return out.select("question", "labels", "pos", F.col("numbers").alias(name))
 
-    both = placed(gold, "a").join(placed(got, "b"), ["question", "labels", "pos"], "full")
-    close = lambda x, y: F.abs(x - y) <= F.greatest(F.lit(TOLERANCE), TOLERANCE * F.greatest(F.abs(x), F.abs(y)))
-    same = (F.size("a") == F.size("b")) & F.forall(F.zip_with("a", "b", lambda x, y: F.coalesce(close(x, y), F.lit(False))), lambda ok: ok)
-    return both.groupBy("question").agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("match"))
+    both = placed(gold, "a").join(placed(taken, "b"), ["question", "labels", "pos"], "full")
+    same = (F.size("a") == F.size("b")) & F.forall(F.zip_with("a", "b", lambda x, y: F.coalesce(_close(x, y), F.lit(False))), lambda ok: ok)
+    found = both.groupBy("question").agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("match"))
+    if questions is None:
+        return found
+    return questions.select("question").distinct().join(found, "question", "left").select("question", F.coalesce("match", F.lit(True)).alias("match"))
 
 
 def hit_rank(candidates: DataFrame, expected: DataFrame) -> DataFrame:
