@@ -36,13 +36,23 @@ def pivots() -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(bytes([k]), SEED)).astype(np.int64)) for k in range(PIVOTS)]
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """A bit is set if it is set in over half of the hashes of the word shingles, repeats included; no words: 0."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of all word shingles of a text; fewer words are one shingle, no words none."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, cut at ASCII white space
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     grams = [b" ".join(words)] if len(words) < shingle else list(map(b" ".join, zip(*(words[k:] for k in range(shingle)))))
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), grams), "<u8", len(grams))
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), grams), "<u8", len(grams))
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """A bit is set if it is set in over half of the hashes of the word shingles, repeats included; no words: 0."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    if len(hashes) == 0:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
@@ -60,14 +70,17 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
 
 
-def _linked(x: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Which of the pairs (a, b) link: pivot coordinates first, then the bits of those that are left."""
+def _linked(x: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, sketch: np.ndarray | None = None, least: float = 0.0) -> np.ndarray:
+    """Which of the pairs (a, b) link: pivot coordinates first, then the bits of those that are left, then their sketches if there are any."""
     near = np.abs(table[a] - table[b]).max(axis=1) <= radius
     near[near] = np.bitwise_count(x[a[near]] ^ x[b[near]]) <= radius
+    if sketch is not None and near.any():
+        p, q = sketch[a[near]], sketch[b[near]]
+        near[near] = ((p == q) & (p > 0)).sum(axis=1) >= least * ((p > 0) | (q > 0)).sum(axis=1)
     return near
 
 
-def _joins(x: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def _joins(x: np.ndarray, table: np.ndarray, radius: int, sketch: np.ndarray | None = None, least: float = 0.0) -> list[tuple[int, int]]:
     """Links of one run that connect all of its components, at most ``len(x) - 1``. Rows are in order of the first coordinate."""
     label, out = np.arange(len(x)), []
     end = np.searchsorted(table[:, 0], table[:, 0] + radius, side="right")
@@ -76,13 +89,19 @@ def _joins(x: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int, int
         other = other[label[other] != label[i]]
         if len(other) == 0:
             continue
-        other = other[_linked(x, table, np.full(len(other), i), other, radius)]
+        other = other[_linked(x, table, np.full(len(other), i), other, radius, sketch, least)]
         found, first = np.unique(label[other], return_index=True)
         out += [(i, int(j)) for j in other[first]]
         label[np.isin(label, found)] = label[i]
     return out
 
 
+def pivot_halves() -> list[F.Column]:
+    """Distances of a fingerprint to the pivots, one byte each, in two longs."""
+    distance = [F.bit_count(F.col("fingerprint").bitwiseXOR(F.lit(p))).cast("long") for p in pivots()]
+    return [sum((F.shiftleft(d, 8 * k) for k, d in enumerate(distance[at : at + 8])), F.lit(0).cast("long")) for at in (0, 8)]
+
+
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (u, v) between distinct fingerprints that connect all that are reachable by steps of at most ``radius`` bits.
 
@@ -91,40 +110,50 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     if not 0 <= radius <= 3:
         raise ValueError("radius is 0 to 3")
     fp = F.col("fingerprint")
-    distance = [F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("long") for p in pivots()]
-    halves = [sum((F.shiftleft(d, 8 * k) for k, d in enumerate(distance[at : at + 8])), F.lit(0).cast("long")) for at in (0, 8)]
+    halves = pivot_halves()
 
     def key(number: int, blocks) -> F.Column:
         mask = sum(((1 << n) - 1) << first for first, n in blocks)
         return F.xxhash64(F.lit(number), fp.bitwiseAND(F.lit(int(np.uint64(mask).astype(np.int64)))))
 
     keys = F.array(*[key(n, blocks) for n, blocks in enumerate(combinations(BLOCKS, 3))])
-    rows = saved(prints.where(fp.isNotNull()).select("fingerprint").distinct().select(fp, halves[0].alias("t0"), halves[1].alias("t1")), "pivots")
-    rows = rows.withColumn("key", F.explode(keys))
+    rows = saved(prints.where(fp.isNotNull()).select("fingerprint").distinct().select(fp.alias("node"), fp, halves[0].alias("t0"), halves[1].alias("t1")), "pivots")
+    return _links_under(rows.withColumn("key", F.explode(keys)), radius)
+
+
+def _links_under(rows: DataFrame, radius: int, least: float = 0.0) -> DataFrame:
+    """Links (u, v) of nodes that meet under a key and link, enough to connect them.
+
+    ``rows``: key, node, fingerprint, t0, t1 (pivot distances as bytes) and, if similarity counts too, sketch.
+    """
+    sketched = "sketch" in rows.columns
+    kept = ["node", "fingerprint", "t0", "t1", *["sketch"] * sketched]
     shared = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("fingerprint"), tiles).cast("int")
-    met = rows.join(shared, "key").select("key", "fingerprint", "t0", "t1", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fingerprint", "t0", "t1")
+    own = F.pmod(F.xxhash64("node"), tiles).cast("int")
+    met = rows.join(shared, "key").select("key", *kept, own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *kept)
     first = F.col("t0").bitwiseAND(F.lit(255))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def edges(rows: pa.Table) -> pa.RecordBatch:
+            node = rows["node"].to_numpy()
             x = rows["fingerprint"].to_numpy().astype(np.int64).view(np.uint64)
             table = np.ascontiguousarray(np.stack([rows["t0"].to_numpy(), rows["t1"].to_numpy()], axis=1).astype("<i8")).view(np.uint8).reshape(-1, PIVOTS).astype(np.int16)
+            sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u2").reshape(len(x), -1) if sketched else None
             k, i, j = (rows[c].to_numpy() for c in ("key", "i", "j"))
             cuts = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(k)]])
             size = ends - starts
             two = starts[size == 2]  # most runs
-            hit = two[_linked(x, table, two, two + 1, radius)] if len(two) else two
+            hit = two[_linked(x, table, two, two + 1, radius, sketch, least)] if len(two) else two
             pairs = [(int(a), int(a) + 1) for a in hit]
             for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
-                pairs += [(s + a, s + b) for a, b in _joins(x[s:e], table[s:e], radius)]
+                pairs += [(s + a, s + b) for a, b in _joins(x[s:e], table[s:e], radius, sketch[s:e] if sketched else None, least)]
             a, b = np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
-            return pa.RecordBatch.from_arrays([pa.array(x[a].view(np.int64)), pa.array(x[b].view(np.int64))], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["u", "v"])
 
         for batch in batches:
             part = pa.Table.from_batches([batch])
@@ -141,6 +170,67 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", first).mapInArrow(run, "u long, v long")
 
 
+#: Bins of a similarity sketch, and of the values that make its keys: BANDS keys of ROWS values each.
+SKETCH, COARSE, BANDS, ROWS = 256, 32, 8, 3
+#: A similarity is estimated from 256 bins, with a standard error of 0.025 at 0.8; so much less still links.
+SLACK = 0.02
+#: Bits in which fingerprints of five-word shingles of similarity 0.8 differ, three standard deviations above the mean of about ten.
+WIDE = 18
+
+
+def _least_by_bin(hashes: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least hash of every bin, whether it has one); ``hashes`` rise, and the first bits are the bin."""
+    edge = np.searchsorted(hashes, np.arange(bins, dtype=np.uint64) << np.uint64(64 - (bins - 1).bit_length()))
+    full = np.diff(np.append(edge, len(hashes))) > 0
+    return hashes[np.minimum(edge, len(hashes) - 1)], full
+
+
+def sketch_of(hashes: np.ndarray) -> tuple[int, bytes, list[int]]:
+    """(number of the shingle set, sketch, keys) of distinct rising hashes: sets of high similarity agree in most bins and in some key."""
+    number = int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
+    if len(hashes) == 0:
+        return number, bytes(2 * SKETCH), [number]
+    least, full = _least_by_bin(hashes, SKETCH)
+    sketch = np.where(full, 1 + (least % np.uint64(65535)), 0).astype("<u2")
+    value, full = _least_by_bin(hashes, COARSE)
+    at = np.arange(COARSE)
+    step = (np.flatnonzero(full)[None, :] - at[:, None]) % COARSE  # an empty bin takes the value of the next full one
+    value = value[(at + step.min(axis=1)) % COARSE] + step.min(axis=1).astype(np.uint64)
+    keys = [int(np.uint64(xxhash.xxh3_64_intdigest(bytes([b]) + value[b * ROWS : (b + 1) * ROWS].tobytes())).astype(np.int64)) for b in range(BANDS)]
+    return number, sketch.tobytes(), keys
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (number of the shingle set), component_id: groups of documents whose shingle sets are at least ``similarity`` alike.
+
+    Three differing bits tell only copies that are all but exact. Here fingerprints may differ in ``radius`` bits, which no blocks of bits
+    can find, so sets meet under keys of their least hashes (at similarity 0.8 all but 0.3 % do); pivot distances discard pairs as before, the
+    bits verify them, and a sketch of 256 bins estimates the similarity of what is left. Nulls, repeats and empty texts as in
+    ``near_duplicates``.
+    """
+    fp = F.col("fingerprint")
+    names, types = ["doc_id", "node", "fingerprint", "sketch", "keys"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                hashes = shingle_hashes(text, shingle)
+                number, sketch, keys = sketch_of(np.unique(hashes))
+                rows.append((doc, number, fingerprint_of(hashes), sketch, keys))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = saved(rows.mapInArrow(run, "doc_id long, node long, fingerprint long, sketch binary, keys array<long>"), "sketches")
+    # equal sets are one node; which fingerprint stands for it doesn't matter, as copies differ in repeats alone
+    nodes = rows.groupBy("node").agg(F.min(fp).alias("fingerprint"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    halves = pivot_halves()
+    nodes = nodes.select("node", fp, halves[0].alias("t0"), halves[1].alias("t1"), "sketch", F.explode("keys").alias("key"))
+    nodes = saved(nodes, "nodes")
+    edges = _links_under(nodes, radius, similarity - SLACK)
+    return _named(rows.select("doc_id", F.col("node").alias("fingerprint")), edges)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (long), component_id of every row of ``docs``.
 
@@ -149,7 +239,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
     of its members are null. Repeated rows come back as often as they are given; an empty table gives no rows.
     """
     prints = saved(fingerprints(docs, shingle, id_col, text_col), "prints")
-    roots = saved(connected(links(prints, radius)), "roots")
+    return _named(prints, links(prints, radius))
+
+
+def _named(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id from documents' fingerprints and the links between these."""
+    roots = saved(connected(edges), "roots")
     least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     named = least.join(roots, least.fingerprint == roots.node, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     named = saved(named, "named")
@@ -158,20 +253,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that have a near-duplicate of smaller id in reach; all columns as they were.
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that have a similar one of smaller id in reach (``similar_documents``); all columns as they were.
 
-    Rows of equal id are one document and stay together. Rows with a null id stay where their whole component has none.
+    Rows of equal id are one document and stay together. Rows with a null id stay where their whole group has none.
     """
-    found = near_duplicates(docs, shingle, radius, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__print")).distinct()
-    nameless = kept.where("__id is null").select("__print")
-    ids = kept.where("__id is not null").select("__id").distinct()
+    found = saved(similar_documents(docs, shingle, similarity, id_col=id_col, text_col=text_col), "groups")
+    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     id_ = F.col(f"`{id_col}`").cast("long")
     named = docs.where(id_.isNotNull()).join(ids, id_ == F.col("__id"), "left_semi")
-    rest = docs.where(id_.isNull())
+    nameless = found.where("component_id is null").select(F.col("fingerprint").alias("__set")).distinct()
     if nameless.isEmpty():
         return named
-    texts = fingerprints(rest.select(F.xxhash64(text_col).alias("doc_id"), F.col(text_col).alias("text")).distinct(), shingle)
-    texts = texts.join(nameless, F.col("fingerprint") == F.col("__print"), "left_semi").select(F.col("doc_id").alias("__id"))
-    return named.unionByName(rest.join(texts, F.xxhash64(text_col) == F.col("__id"), "left_semi"))
+    rest = docs.where(id_.isNull())
+    texts = rest.select(F.xxhash64(text_col).alias("__id"), F.col(text_col).alias("text")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [sketch_of(np.unique(shingle_hashes(t, shingle)))[0] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.int64())], ["__id", "__set"])
+
+    kept = texts.mapInArrow(run, "__id long, __set long").join(nameless, "__set", "left_semi").select("__id")
+    return named.unionByName(rest.join(kept, F.xxhash64(text_col) == F.col("__id"), "left_semi"))

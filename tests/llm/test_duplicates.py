@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from checks.compare import compare, oracle_connection
 from shiftscope.llm import queries as Q, simhash, substrings
 from shiftscope.llm.components import connected
-from shiftscope.llm.simhash import fingerprint, links, near_duplicates, one_of_each
+from shiftscope.llm.simhash import fingerprint, links, near_duplicates, one_of_each, similar_documents
 from shiftscope.llm.substrings import Automaton, remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,6 +71,34 @@ def test_crowded_fingerprints_lose_no_link(spark, monkeypatch, tile):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def _shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}
+
+
+def test_similar_documents_find_edited_copies(spark):
+    pick, docs = random.Random(3), []
+    for base in range(40):
+        words = [f"w{pick.randrange(5000)}" for _ in range(pick.choice([20, 60, 300, 900]))]
+        docs.append(" ".join(words))
+        for share in (0.004, 0.01, 0.03, 0.1):  # of the words change
+            copy = [f"x{pick.randrange(5000)}" if pick.random() < share else w for w in words]
+            docs.append("  ".join(copy).upper())
+    sets = [_shingles(d) for d in docs]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    group = {r.doc_id: r.component_id for r in similar_documents(rows).collect()}
+    near = [(len(a & b) / len(a | b), i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a & b]
+    sure = [(i, j) for s, i, j in near if s >= 0.86]
+    assert len(sure) > 40 and sum(group[i] == group[j] for i, j in sure) >= 0.98 * len(sure)
+    reach = {}
+    for s, i, j in near:
+        if s >= 0.7:
+            reach.setdefault(i, set()).add(j)
+            reach.setdefault(j, set()).add(i)
+    assert all(reach.get(i) for i in group if group[i] != i)
+    assert similar_documents(rows.limit(0)).count() == 0
+
+
 def test_near_duplicates_of_odd_documents(odd_docs, no_docs):
     rows = near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
