@@ -11,6 +11,7 @@ from checks.standin import shop
 from shiftscope.operators import change as C
 from shiftscope.plans.explain import drill_down, explain_change, investigate
 from shiftscope.plans.metrics import DIMENSIONS, metric_catalog
+from shiftscope.session import cut_lineage
 
 A, B = ("1997-03-01", "1997-04-01"), ("1997-04-01", "1997-05-01")
 SPECS = metric_catalog(A, B)
@@ -125,7 +126,7 @@ def _(spark, sf):
 
 def _all_cut(spark, sf, metric):
     s = shop(spark, sf)
-    base = C.base_values(s, SPECS[metric]).persist()
+    base = cut_lineage(C.base_values(s, SPECS[metric]))
     return C.by_segment(base, C.segment_rows(s, ALL, base), ALL)
 
 

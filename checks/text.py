@@ -104,6 +104,16 @@ def _(spark, sf):
     return rounded(R.cosine_scores(rows.drop("label"), centres, "vec_id", "embedding", "label"), "score")
 
 
+@query("L5_cosine_top", """select vec_id, query_id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from (
+    select r.vec_id, q.vec_id as query_id, list_dot_product(r.embedding::double[], q.embedding::double[]) / sqrt(list_dot_product(r.embedding::double[], r.embedding::double[]) * list_dot_product(q.embedding::double[], q.embedding::double[])) as score
+    from embeddings r cross join embeddings q where r.label = 3)) where place <= 3""")
+def _(spark, sf):
+    # every vector asks, the vectors of one label answer
+    rows = table(spark, sf, "embeddings")
+    asked = rows.select(F.col("vec_id").alias("query_id"), "embedding")
+    return rounded(R.cosine_scores(rows.where("label = 3").select("vec_id", "embedding"), asked, "vec_id", "embedding", "query_id", top=3), "score")
+
+
 @query("L6_rrf_fuse", """select query_id, place::int as place, doc_id, chunk_no, round(fused, 6) as fused from (select *, row_number() over (partition by query_id order by fused desc, doc_id, chunk_no) as place from (
     select l_suppkey % 10 as query_id, l_orderkey * 8 + l_linenumber as doc_id, 0 as chunk_no, max(1.0 / (60 + l_partkey) + 1.0 / (60 + l_orderkey)) as fused from lineitem group by 1, 2)) where place <= 5""")
 def _(spark, sf):

@@ -34,7 +34,8 @@ def run_digests(runs: DataFrame, queries: DataFrame) -> DataFrame:
     """
     number = query_number(F.col("query_id"))
     hashed = queries.select("run_id", number.alias("no"), F.sha2(canonical("query_id", "sql_executed", "row_count", "error"), 256).alias("h"))
-    block = F.floor(F.col("no") / DIGEST_BLOCK).alias("block")
+    # names without a number are spread over many blocks by their hash
+    block = F.coalesce(F.floor(F.col("no") / DIGEST_BLOCK), -1 - F.pmod(F.xxhash64("h"), F.lit(1 << 20))).alias("block")
     blocks = hashed.groupBy("run_id", block).agg(
         F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "h"))), lambda x: x["h"]), ","), 256).alias("h"), F.count("*").alias("n")
     )
