@@ -129,8 +129,9 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def segments(words: list[bytes], window: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
-    """(anchor hash, content hash, first window, last window) of a document's segments."""
+def segments(words: list[bytes], window: int, gram: int) -> list[tuple]:
+    """(anchor hash, content hash, first window, last window, first windows of further places or None) of a document's distinct segments."""
+    places: dict[tuple[int, int], list[int]] = {}
     for at in range(0, len(words) - window + 1, STRETCH):
         text = Hashed(words[at : at + STRETCH + window - 1])
         grams = text.runs(gram)
@@ -140,7 +141,13 @@ def segments(words: list[bytes], window: int, gram: int) -> Iterator[tuple[int,
         hashes = grams[anchor[low]].view(np.int64).tolist()
         begin, end = text.starts[low].tolist(), text.ends[high + window - 1].tolist()
         content = [xxhash.xxh3_64_intdigest(text.text[b:e]) for b, e in zip(begin, end)]
-        yield from zip(hashes, np.array(content, np.uint64).view(np.int64).tolist(), (low + at).tolist(), (high + at).tolist())
+        for h, c, a, b in zip(hashes, np.array(content, np.uint64).view(np.int64).tolist(), (low + at).tolist(), (high + at).tolist()):
+            held = places.get((h, c))
+            if held is None:
+                places[h, c] = [b, a]
+            else:
+                held.append(a)
+    return [(h, c, held[1], held[0], held[2:] or None) for (h, c), held in places.items()]
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -152,15 +159,15 @@ def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
 
 
 def _segment_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    names = ["doc_id", "row", "h", "content", "low", "high"]
-    types = [pa.int64()] * 4 + [pa.int32()] * 2
+    names = ["doc_id", "row", "h", "content", "low", "high", "more"]
+    types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = [(doc, row, *s) for doc, row, text in zip(*(c.to_pylist() for c in batch.columns)) for s in segments(_words(text), window, gram)]
             yield _batch(rows, names, types)
 
-    return docs.where("doc_id is not null").select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, h long, content long, low int, high int")
+    return docs.where("doc_id is not null").select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, h long, content long, low int, high int, more array<int>")
 
 
 def _passages(held: DataFrame, window: int) -> DataFrame:
@@ -225,26 +232,29 @@ def _automata(tiles: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataFrame:
-    """doc_id, row, low, high: ranges of windows (numbers of their first words) that also start in a document with a smaller id.
+    """doc_id, row, low, high, more: ranges of windows (numbers of their first words) that also start in a document with a smaller id.
+
+    ``more`` has the first windows of further ranges of the same length.
 
     ``docs`` has doc_id, row (any number that tells rows of equal id apart) and text.
     """
     segs = saved(_segment_rows(docs, window, min(gram, window)), "segments")
-    several = segs.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    # keys to join with are written first: a join of two tables is split where a key is hot, one with an aggregate beside it isn't
+    several = saved(segs.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"), "several")
     segs = saved(segs.join(several, "h"), "shared")
     first = segs.groupBy("h", "content").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row", "low", "high")).alias("at"))
     first = saved(first, "contents")
-    repeats = segs.join(first.select("h", "content", "least"), ["h", "content"]).where("doc_id > least").select("doc_id", "row", "low", "high")
+    repeats = segs.join(first.select("h", "content", "least"), ["h", "content"]).where("doc_id > least").select("doc_id", "row", "low", "high", "more")
 
-    unlike = first.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    unlike = saved(first.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "unlike")
     wanted = first.join(unlike, "h").groupBy("at.doc_id", "at.row").agg(F.collect_list(F.struct("h", "content", "at.low", "at.high")).alias("wanted"))
     held = saved(_passages(docs.join(wanted, ["doc_id", "row"]).select("doc_id", "text", "wanted"), window), "held")
     windows = held.select("h", "content", "doc_id", F.posexplode("hashes").alias("place", "w"))
-    twice = windows.groupBy("h", "w").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h", "w")
+    twice = saved(windows.groupBy("h", "w").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h", "w"), "twice")
     places = windows.join(twice, ["h", "w"]).groupBy("h", "content").agg(F.collect_list("place").alias("places"))
     parts = saved(_trimmed(held.join(places, ["h", "content"]).select("h", "content", "doc_id", "words", "places"), window), "passages")
     unique = saved(parts.groupBy("h", "passage").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words")), "unique")
-    number = unique.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    number = saved(unique.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "numbers")
     chunks = F.ceil(F.col("n") / TILE).cast("int")
     dealt = unique.join(number, "h").withColumn("own", F.pmod("passage", chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     role = lambda i, j, refers, streams: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.lit(refers).alias("refers"), F.lit(streams).alias("streams"))
@@ -259,7 +269,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, gram: int = GRAM) -> Dat
     some = owned.where("doc_id = least").withColumnRenamed("low", "from").join(found, ["h", "passage"]).select("h", "content", (F.col("from") + F.col("low")).alias("low"), (F.col("from") + F.col("high")).alias("high"))
     cut = whole.unionByName(some).select("h", "content", F.col("low").alias("x"), F.col("high").alias("y"))
     holders = segs.join(first.select("h", "content", "least"), ["h", "content"]).where("doc_id = least")
-    inside = holders.join(cut, ["h", "content"]).select("doc_id", "row", (F.col("low") + F.col("x")).alias("low"), (F.col("low") + F.col("y")).alias("high"))
+    inside = holders.join(cut, ["h", "content"]).select("doc_id", "row", (F.col("low") + F.col("x")).alias("low"), (F.col("low") + F.col("y")).alias("high"), F.expr("transform(more, m -> m + x)").alias("more"))
     return repeats.unionByName(inside)
 
 
@@ -275,7 +285,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, layout: bool = True, id_co
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
     rest = [F.struct(*others).alias("rest")] if others else []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *rest).withColumn("row", F.xxhash64("text"))
-    ranges = repeated_windows(rows.select("doc_id", "row", "text"), window).distinct().groupBy("doc_id", "row").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    ranges = repeated_windows(rows.select("doc_id", "row", "text"), window).distinct().groupBy("doc_id", "row").agg(F.collect_list(F.struct("low", "high", "more")).alias("ranges"))
     ranges = saved(ranges, "ranges")
     names = ["doc_id", "text", "n_words", "n_removed", "spans"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))]
@@ -287,8 +297,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, layout: bool = True, id_co
                 words = _words(text)
                 gone = np.zeros(len(words) + 1, np.int64)
                 for r in ranges or []:
-                    gone[r["low"]] += 1
-                    gone[min(r["high"] + window, len(words))] -= 1
+                    for low in [r["low"], *(r["more"] or [])]:
+                        gone[low] += 1
+                        gone[low + r["high"] - r["low"] + window] -= 1
                 gone = np.cumsum(gone)[:-1] > 0
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 spans = [{"first": int(a), "last": int(b) - 1} for a, b in zip(edges[::2], edges[1::2])]
