@@ -30,6 +30,7 @@ WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 NEVER = 1 << 62
 #: Longer words are walked alone; as a path of nodes they would take much memory.
 LONG = 256
+BYTES = [bytes([b]) for b in range(256)]
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,7 +59,8 @@ class Vocabulary:
         for token, i in self.added.items():
             self.bytes[i] = token.encode()
         self.id = {self.bytes[i]: i for i in model["vocab"].values()}
-        self.longest = max(map(len, self.id))
+        # every ending of a token: its id, or -1 where it is none itself
+        self.endings = {t[k:]: -1 for t in self.id for k in range(1, len(t))} | self.id
         vocab = model["vocab"]
         self.rank: dict[tuple[int, int], int] = {}
         self.made: dict[int, tuple[int, int, int]] = {}
@@ -94,7 +96,7 @@ class Vocabulary:
         key = a * self.size + b
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) > 300_000:
                 self.apart.clear()
             left, right = self._edge(a)[0], self._edge(b)[1]
             i = j = 0
@@ -128,12 +130,21 @@ class Vocabulary:
         return known
 
     def last_token(self, path: bytes, depth: int, last: list[int]) -> int:
-        """Last token of ``path[:depth]``; ``last`` has those of the shorter prefixes."""
-        find, keeps = self.id.get, self.keeps_apart
-        for start in range(max(0, depth - self.longest), depth):
+        """Last token of ``path[:depth]``; ``last`` has those of the shorter prefixes. Only one token fits, so the first found is it."""
+        find, apart, size = self.endings.get, self.apart.get, self.size
+        for start in range(depth - 1, -1, -1):
             token = find(path[start:depth])
-            if token is not None and (keeps(last[start], token) if start else self.is_whole(token)):
-                return token
+            if token is None:
+                break
+            if token >= 0:
+                if start == 0:
+                    fits = self.is_whole(token)
+                else:
+                    fits = apart(last[start] * size + token)
+                    if fits is None:
+                        fits = self.keeps_apart(last[start], token)
+                if fits:
+                    return token
         raise ValueError("a byte is missing in the vocabulary")
 
     def _collect(self, depth: int, last: list[int]) -> list[int]:
@@ -151,8 +162,7 @@ class Vocabulary:
             if len(word) > LONG:
                 last = [0]
                 for depth in range(1, len(word) + 1):
-                    low = max(0, depth - self.longest)
-                    last.append(self._last_of(word, low, depth, last))
+                    last.append(self.last_token(word, depth, last))
                 out[k] = self._collect(len(word), last)
                 continue
             node = root
@@ -162,13 +172,13 @@ class Vocabulary:
                     below = node[c] = {}
                 node = below
             node[-1] = k
-        path, last = bytearray(LONG), [0] * (LONG + 1)
+        path, last = b"", [0] * (LONG + 1)
         stack = [(c, node, 0) for c, node in root.items()]
         while stack:
             c, node, depth = stack.pop()
-            path[depth] = c
+            path = path[:depth] + BYTES[c]
             depth += 1
-            last[depth] = self.last_token(bytes(path[:depth]), depth, last)
+            last[depth] = self.last_token(path, depth, last)
             for step, below in node.items():
                 if step == -1:
                     out[below] = self._collect(depth, last)
@@ -176,26 +186,17 @@ class Vocabulary:
                     stack.append((step, below, depth))
         return out
 
-    def _last_of(self, word: bytes, low: int, depth: int, last: list[int]) -> int:
-        if low == 0:
-            return self.last_token(word[:depth], depth, last)
-        for start in range(low, depth):
-            token = self.id.get(word[start:depth])
-            if token is not None and self.keeps_apart(last[start], token):
-                return token
-        raise ValueError("a byte is missing in the vocabulary")
-
 
 class TrieEncoder(ChunkEncoder):
     """Encodes whole texts; pieces and words met before are remembered up to a bound."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 700_000):
         self.vocabulary = Vocabulary(path)
         self.size = self.vocabulary.size
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.keep = keep
         self.split = ByteLevel(add_prefix_space=False, use_regex=True)
-        self.known, self.first, self.words = {}, {}, {}
+        self.known, self.older, self.first, self.words = {}, {}, {}, {}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.vocabulary.added, key=len, reverse=True))) + ")") if self.vocabulary.added else None
 
     def _parts(self, text: str) -> list:
@@ -211,7 +212,7 @@ class TrieEncoder(ChunkEncoder):
     def _plain(self, texts: list[str]) -> list[bytes]:
         parts = [self._parts(t) if t else [] for t in texts]
         new = list({w for own in parts for w in own if isinstance(w, bytes) and w not in self.words})
-        if len(self.words) > self.keep:
+        if len(self.words) > self.keep // 2:
             self.words.clear()
             new = list({w for own in parts for w in own if isinstance(w, bytes)})
         self.words.update((w, np.array(ids, self.dtype).tobytes()) for w, ids in zip(new, self.vocabulary.encode_words(new)))
@@ -229,19 +230,36 @@ def trie_encoder(path: str) -> TrieEncoder:
 
 @lru_cache(maxsize=1)
 def token_bytes(path: str) -> list[bytes]:
-    return trie_encoder(path).vocabulary.bytes
+    """Bytes of every id; all that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters, added = byte_letters(), {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    out = [b""] * (max([*spec["model"]["vocab"].values(), *added]) + 1)
+    for token, i in spec["model"]["vocab"].items():
+        out[i] = bytes(letters[c] for c in token)
+    for i, token in added.items():
+        out[i] = token
+    return out
 
 
-def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit) of every whole text. A null text is empty; an empty text has no ids."""
+def encoded(docs: DataFrame, tokenizer: str, decode: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit) of every whole text. A null text is empty; an empty text has no ids.
+
+    ``decode`` adds ``text``, decoded from the ids as in ``decoded``, in the same task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = trie_encoder(tokenizer)
+        find = encode.vocabulary.bytes.__getitem__
         for batch in slices(batches):
-            ids = [np.frombuffer(raw, encode.dtype).astype("<u4").tobytes() for raw in encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+            short = [np.frombuffer(raw, encode.dtype) for raw in encode(batch.column(1).to_pylist())]
+            columns = {"doc_id": batch.column(0), "ids": pa.array([ids.astype("<u4").tobytes() for ids in short], pa.binary())}
+            if decode:
+                columns["text"] = pa.array([b"".join(map(find, ids.tolist())).decode("utf-8", "replace") for ids in short], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+    schema = "doc_id long, ids binary" + ", text string" * decode
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def decoded(encodings: DataFrame, tokenizer: str) -> DataFrame:

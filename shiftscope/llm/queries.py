@@ -120,10 +120,9 @@ def op3(spark, sf_dir):
 
 @query("op5_trie_bpe")
 def op5(spark, sf_dir):
-    from shiftscope.llm.bpetrie import decoded, encoded
+    from shiftscope.llm.bpetrie import encoded
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    both = decoded(encoded(table(spark, sf_dir, "documents"), path), path)
+    both = encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), decode=True)
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
