@@ -225,9 +225,12 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     # equal sets are one node; which fingerprint stands for it doesn't matter, as copies differ in repeats alone
     nodes = rows.groupBy("node").agg(F.min(fp).alias("fingerprint"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     halves = pivot_halves()
-    nodes = nodes.select("node", fp, halves[0].alias("t0"), halves[1].alias("t1"), "sketch", F.explode("keys").alias("key"))
-    nodes = saved(nodes, "nodes")
-    edges = _links_under(nodes, radius, similarity - SLACK)
+    nodes = saved(nodes.select("node", fp, halves[0].alias("t0"), halves[1].alias("t1"), "sketch", "keys"), "nodes")
+    # sketches are long: only sets that meet another one under some key take theirs along
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "met")
+    meeting = saved(keyed.join(shared, "key"), "meeting")
+    edges = _links_under(meeting.join(nodes.drop("keys"), "node"), radius, similarity - SLACK)
     return _named(rows.select("doc_id", F.col("node").alias("fingerprint")), edges)
 
 
@@ -261,7 +264,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     found = saved(similar_documents(docs, shingle, similarity, id_col=id_col, text_col=text_col), "groups")
     ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     id_ = F.col(f"`{id_col}`").cast("long")
-    named = docs.where(id_.isNotNull()).join(ids, id_ == F.col("__id"), "left_semi")
+    named = docs.where(id_.isNotNull()).join(ids.hint("merge"), id_ == F.col("__id"), "left_semi")
     nameless = found.where("component_id is null").select(F.col("fingerprint").alias("__set")).distinct()
     if nameless.isEmpty():
         return named
