@@ -6,6 +6,7 @@ the ids of the pieces joined. Texts repeat their pieces, so each task keeps the
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 
@@ -38,12 +39,14 @@ def plain(text: str) -> bool:
 class ChunkEncoder:
     """ids of whole texts as little-endian unsigned bytes of ``width`` bytes each.
 
-    ``keep`` bounds the number of remembered pieces; when it is reached all are forgotten, which costs time only.
+    ``keep`` bounds the number of remembered pieces, in two generations: when the younger is full it becomes the older, and what of that
+    isn't met again is forgotten, which costs time only.
     """
 
     def __init__(self, path: str, keep: int = 900_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -52,6 +55,7 @@ class ChunkEncoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.keep = keep
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         # ids whose token starts with the mark of a space open the pieces of a long string of new pieces
         self.opens = np.zeros(self.size, bool)
@@ -124,11 +128,15 @@ class ChunkEncoder:
             pieces.append(own)
             new_first.add(own[0])
             new.update(own[1:])
-        if len(self.known) > self.keep:
-            self.known.clear()
+        if len(self.known) > self.keep // 2:
+            self.older, self.known = self.known, {}
         if len(self.first) > self.keep:
             self.first.clear()
-        self._learn_after_space([p for p in new if p not in self.known])
+        missing = [p for p in new if p not in self.known]
+        if self.older:
+            self.known.update((p, self.older[p]) for p in missing if p in self.older)
+            missing = [p for p in missing if p not in self.older]
+        self._learn_after_space(missing)
         fresh = [p for p in new_first if p not in self.first]
         self.first.update(zip(fresh, self._plain(fresh)))
         get = self.known.__getitem__
