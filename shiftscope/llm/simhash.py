@@ -70,17 +70,28 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
 
 
-def _linked(x: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, sketch: np.ndarray | None = None, least: float = 0.0) -> np.ndarray:
-    """Which of the pairs (a, b) link: pivot coordinates first, then the bits of those that are left, then their sketches if there are any."""
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets, as distinct rising hashes, are at least ``least`` similar (shared by all), exactly."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) == 0 or len(b) / len(a) < least:
+        return len(a) == 0
+    shared = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return shared / (len(a) + len(b) - shared) >= least
+
+
+def _linked(x: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, sketch: np.ndarray | None = None, sets: list[np.ndarray] | None = None, least: float = 0.0) -> np.ndarray:
+    """Which of the pairs (a, b) link: pivot coordinates first, then the bits of those that are left, then their sketches and sets if there are any."""
     near = np.abs(table[a] - table[b]).max(axis=1) <= radius
     near[near] = np.bitwise_count(x[a[near]] ^ x[b[near]]) <= radius
     if sketch is not None and near.any():
         p, q = sketch[a[near]], sketch[b[near]]
-        near[near] = ((p == q) & (p > 0)).sum(axis=1) >= least * ((p > 0) | (q > 0)).sum(axis=1)
+        near[near] = ((p == q) & (p > 0)).sum(axis=1) >= (least - SLACK) * ((p > 0) | (q > 0)).sum(axis=1)
+        near[near] = [alike(sets[i], sets[j], least) for i, j in zip(a[near].tolist(), b[near].tolist())]
     return near
 
 
-def _joins(x: np.ndarray, table: np.ndarray, radius: int, sketch: np.ndarray | None = None, least: float = 0.0) -> list[tuple[int, int]]:
+def _joins(x: np.ndarray, table: np.ndarray, radius: int, sketch: np.ndarray | None = None, sets: list[np.ndarray] | None = None, least: float = 0.0) -> list[tuple[int, int]]:
     """Links of one run that connect all of its components, at most ``len(x) - 1``. Rows are in order of the first coordinate."""
     label, out = np.arange(len(x)), []
     end = np.searchsorted(table[:, 0], table[:, 0] + radius, side="right")
@@ -89,7 +100,7 @@ def _joins(x: np.ndarray, table: np.ndarray, radius: int, sketch: np.ndarray | N
         other = other[label[other] != label[i]]
         if len(other) == 0:
             continue
-        other = other[_linked(x, table, np.full(len(other), i), other, radius, sketch, least)]
+        other = other[_linked(x, table, np.full(len(other), i), other, radius, sketch, sets, least)]
         found, first = np.unique(label[other], return_index=True)
         out += [(i, int(j)) for j in other[first]]
         label[np.isin(label, found)] = label[i]
@@ -124,10 +135,10 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def _links_under(rows: DataFrame, radius: int, least: float = 0.0) -> DataFrame:
     """Links (u, v) of nodes that meet under a key and link, enough to connect them.
 
-    ``rows``: key, node, fingerprint, t0, t1 (pivot distances as bytes) and, if similarity counts too, sketch.
+    ``rows``: key, node, fingerprint, t0, t1 (pivot distances as bytes) and, if similarity counts too, sketch and set.
     """
     sketched = "sketch" in rows.columns
-    kept = ["node", "fingerprint", "t0", "t1", *["sketch"] * sketched]
+    kept = ["node", "fingerprint", "t0", "t1", *["sketch", "set"] * sketched]
     shared = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
@@ -143,15 +154,16 @@ def _links_under(rows: DataFrame, radius: int, least: float = 0.0) -> DataFrame:
             x = rows["fingerprint"].to_numpy().astype(np.int64).view(np.uint64)
             table = np.ascontiguousarray(np.stack([rows["t0"].to_numpy(), rows["t1"].to_numpy()], axis=1).astype("<i8")).view(np.uint8).reshape(-1, PIVOTS).astype(np.int16)
             sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u2").reshape(len(x), -1) if sketched else None
+            sets = [np.frombuffer(h, "<u8") for h in rows["set"].to_pylist()] if sketched else None
             k, i, j = (rows[c].to_numpy() for c in ("key", "i", "j"))
             cuts = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(k)]])
             size = ends - starts
             two = starts[size == 2]  # most runs
-            hit = two[_linked(x, table, two, two + 1, radius, sketch, least)] if len(two) else two
+            hit = two[_linked(x, table, two, two + 1, radius, sketch, sets, least)] if len(two) else two
             pairs = [(int(a), int(a) + 1) for a in hit]
             for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
-                pairs += [(s + a, s + b) for a, b in _joins(x[s:e], table[s:e], radius, sketch[s:e] if sketched else None, least)]
+                pairs += [(s + a, s + b) for a, b in _joins(x[s:e], table[s:e], radius, sketch[s:e] if sketched else None, sets[s:e] if sketched else None, least)]
             a, b = np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
             return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["u", "v"])
 
@@ -172,8 +184,8 @@ def _links_under(rows: DataFrame, radius: int, least: float = 0.0) -> DataFrame:
 
 #: Bins of a similarity sketch, and of the values that make its keys: BANDS keys of ROWS values each.
 SKETCH, COARSE, BANDS, ROWS = 256, 32, 8, 3
-#: A similarity is estimated from 256 bins, with a standard error of 0.025 at 0.8; so much less still links.
-SLACK = 0.02
+#: A similarity is estimated from 256 bins, with a standard error of 0.025 at 0.8; five of them less, and the sets are compared.
+SLACK = 0.125
 #: Bits in which fingerprints of five-word shingles of similarity 0.8 differ, three standard deviations above the mean of about ten.
 WIDE = 18
 
@@ -185,9 +197,14 @@ def _least_by_bin(hashes: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray
     return hashes[np.minimum(edge, len(hashes) - 1)], full
 
 
+def number_of(hashes: np.ndarray) -> int:
+    """Number of a shingle set, from distinct rising hashes."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
+
+
 def sketch_of(hashes: np.ndarray) -> tuple[int, bytes, list[int]]:
     """(number of the shingle set, sketch, keys) of distinct rising hashes: sets of high similarity agree in most bins and in some key."""
-    number = int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
+    number = number_of(hashes)
     if len(hashes) == 0:
         return number, bytes(2 * SKETCH), [number]
     least, full = _least_by_bin(hashes, SKETCH)
@@ -200,12 +217,24 @@ def sketch_of(hashes: np.ndarray) -> tuple[int, bytes, list[int]]:
     return number, sketch.tobytes(), keys
 
 
+def _sets_of(docs: DataFrame, nodes: DataFrame, shingle: int, text_col: str) -> DataFrame:
+    """node, set (rising hashes as bytes) of ``nodes``, from the texts: most sets are never needed, so none are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([number_of(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "set"])
+
+    found = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "node long, set binary")
+    return found.join(saved(nodes.distinct(), "wanted"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (number of the shingle set), component_id: groups of documents whose shingle sets are at least ``similarity`` alike.
 
     Three differing bits tell only copies that are all but exact. Here fingerprints may differ in ``radius`` bits, which no blocks of bits
     can find, so sets meet under keys of their least hashes (at similarity 0.8 all but 0.3 % do); pivot distances discard pairs as before, the
-    bits verify them, and a sketch of 256 bins estimates the similarity of what is left. Nulls, repeats and empty texts as in
+    bits and a sketch of 256 bins discard more, and the sets of what is left are compared. Nulls, repeats and empty texts as in
     ``near_duplicates``.
     """
     fp = F.col("fingerprint")
@@ -230,7 +259,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "met")
     meeting = saved(keyed.join(shared, "key"), "meeting")
-    edges = _links_under(meeting.join(nodes.drop("keys"), "node"), radius, similarity - SLACK)
+    sets = saved(_sets_of(docs, meeting.select("node"), shingle, text_col), "sets")
+    edges = _links_under(meeting.join(nodes.drop("keys"), "node").join(sets, "node"), radius, similarity)
     return _named(rows.select("doc_id", F.col("node").alias("fingerprint")), edges)
 
 

@@ -99,6 +99,27 @@ def test_similar_documents_find_edited_copies(spark):
     assert similar_documents(rows.limit(0)).count() == 0
 
 
+def _pair(pick, n, least, above):
+    """Two word lists of n words whose five-word similarity is just at or above ``least``, or else just below it."""
+    words = [f"w{pick.randrange(10**6)}" for _ in range(n)]
+    copy, last = list(words), list(words)
+    sim = lambda x: len(a & b) / len(a | b) if (a := _shingles(" ".join(words))) and (b := _shingles(" ".join(x))) else 0
+    for at in pick.sample(range(n), n):
+        copy[at] = f"x{pick.randrange(10**6)}"
+        if sim(copy) < least:
+            return " ".join(words), " ".join(last if above else copy)
+        last = list(copy)
+
+
+def test_similarity_is_exact_at_the_threshold(spark):
+    """Pairs just below 0.8 stay apart."""
+    pick = random.Random(11)
+    pairs = [_pair(pick, pick.randint(60, 900), 0.8, False) for _ in range(150)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(t for p in pairs for t in p)], "doc_id long, text string")
+    group = {r.doc_id: r.component_id for r in similar_documents(rows).collect()}
+    assert all(group[k] == k for k in group)
+
+
 def test_near_duplicates_of_odd_documents(odd_docs, no_docs):
     rows = near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
