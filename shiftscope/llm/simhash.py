@@ -244,15 +244,15 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         for batch in slices(batches):
             rows = []
             for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes = shingle_hashes(text, shingle)
-                number, sketch, keys = sketch_of(np.unique(hashes))
+                hashes = np.unique(shingle_hashes(text, shingle))  # repeats out: the bits follow the similarity of sets
+                number, sketch, keys = sketch_of(hashes)
                 rows.append((doc, number, fingerprint_of(hashes), sketch, keys))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = saved(rows.mapInArrow(run, "doc_id long, node long, fingerprint long, sketch binary, keys array<long>"), "sketches")
-    # equal sets are one node; which fingerprint stands for it doesn't matter, as copies differ in repeats alone
-    nodes = rows.groupBy("node").agg(F.min(fp).alias("fingerprint"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    # equal sets are one node with one fingerprint
+    nodes = rows.groupBy("node").agg(F.first(fp).alias("fingerprint"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     halves = pivot_halves()
     nodes = saved(nodes.select("node", fp, halves[0].alias("t0"), halves[1].alias("t1"), "sketch", "keys"), "nodes")
     # sketches are long: only sets that meet another one under some key take theirs along

@@ -120,6 +120,18 @@ def test_similarity_is_exact_at_the_threshold(spark):
     assert all(group[k] == k for k in group)
 
 
+def test_repeated_passages_do_not_hide_similar_sets(spark):
+    pick, docs = random.Random(12), []
+    for _ in range(80):
+        words = [f"w{pick.randrange(10**6)}" for _ in range(300)]
+        docs += [words, words[:200] + words[176:200] * 12 + words[200:]]
+    sets = [_shingles(" ".join(d)) for d in docs]
+    assert min(len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])) >= 0.8
+    rows = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    group = {r.doc_id: r.component_id for r in similar_documents(rows).collect()}
+    assert all(group[k] == k - k % 2 for k in group)
+
+
 def test_near_duplicates_of_odd_documents(odd_docs, no_docs):
     rows = near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
