@@ -140,33 +140,40 @@ def _links_under(rows: DataFrame, radius: int, least: float = 0.0) -> DataFrame:
     sketched = "sketch" in rows.columns
     kept = ["node", "fingerprint", "t0", "t1", *["sketch", "set"] * sketched]
     shared = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
+    first = F.col("t0").bitwiseAND(F.lit(255))
+
+    def edges(rows: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        node = rows["node"].to_numpy()
+        x = rows["fingerprint"].to_numpy().astype(np.int64).view(np.uint64)
+        table = np.ascontiguousarray(np.stack([rows["t0"].to_numpy(), rows["t1"].to_numpy()], axis=1).astype("<i8")).view(np.uint8).reshape(-1, PIVOTS).astype(np.int16)
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u2").reshape(len(x), -1) if sketched else None
+        sets = [np.frombuffer(h, "<u8") for h in rows["set"].to_pylist()] if sketched else None
+        size = ends - starts
+        two = starts[size == 2]  # most runs
+        hit = two[_linked(x, table, two, two + 1, radius, sketch, sets, least)] if len(two) else two
+        pairs = [(int(a), int(a) + 1) for a in hit]
+        for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
+            pairs += [(s + a, s + b) for a, b in _joins(x[s:e], table[s:e], radius, sketch[s:e] if sketched else None, sets[s:e] if sketched else None, least)]
+        a, b = np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
+        return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["u", "v"])
+
+    return _in_tiles(rows, shared, kept, first, edges)
+
+
+def _in_tiles(rows: DataFrame, shared: DataFrame, kept: list[str], first: F.Column, edges) -> DataFrame:
+    """Links (u, v) that ``edges`` (rows, first and last + 1 of every run) finds in the runs of rows under one key of ``shared`` (key, n), dealt to tiles."""
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     met = rows.join(shared, "key").select("key", *kept, own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
     met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *kept)
-    first = F.col("t0").bitwiseAND(F.lit(255))
+
+    def cut_up(rows: pa.Table) -> pa.RecordBatch:
+        k, i, j = (rows[c].to_numpy() for c in ("key", "i", "j"))
+        cuts = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        return edges(rows, np.concatenate([[0], cuts]), np.concatenate([cuts, [len(k)]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-
-        def edges(rows: pa.Table) -> pa.RecordBatch:
-            node = rows["node"].to_numpy()
-            x = rows["fingerprint"].to_numpy().astype(np.int64).view(np.uint64)
-            table = np.ascontiguousarray(np.stack([rows["t0"].to_numpy(), rows["t1"].to_numpy()], axis=1).astype("<i8")).view(np.uint8).reshape(-1, PIVOTS).astype(np.int16)
-            sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u2").reshape(len(x), -1) if sketched else None
-            sets = [np.frombuffer(h, "<u8") for h in rows["set"].to_pylist()] if sketched else None
-            k, i, j = (rows[c].to_numpy() for c in ("key", "i", "j"))
-            cuts = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(k)]])
-            size = ends - starts
-            two = starts[size == 2]  # most runs
-            hit = two[_linked(x, table, two, two + 1, radius, sketch, sets, least)] if len(two) else two
-            pairs = [(int(a), int(a) + 1) for a in hit]
-            for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
-                pairs += [(s + a, s + b) for a, b in _joins(x[s:e], table[s:e], radius, sketch[s:e] if sketched else None, sets[s:e] if sketched else None, least)]
-            a, b = np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
-            return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["u", "v"])
-
         for batch in batches:
             part = pa.Table.from_batches([batch])
             held = part if held is None else pa.concat_tables([held, part])
@@ -174,10 +181,10 @@ def _links_under(rows: DataFrame, radius: int, least: float = 0.0) -> DataFrame:
             same = np.flatnonzero((k != k[-1]) | (i != i[-1]) | (j != j[-1])) if len(k) else []
             if len(same):  # the last run may go on in the next batch
                 cut = int(same[-1]) + 1
-                yield edges(held.slice(0, cut).combine_chunks())
+                yield cut_up(held.slice(0, cut).combine_chunks())
                 held = held.slice(cut)
         if held is not None and held.num_rows:
-            yield edges(held.combine_chunks())
+            yield cut_up(held.combine_chunks())
 
     return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", first).mapInArrow(run, "u long, v long")
 
@@ -229,12 +236,103 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, shingle: int, text_col: str) ->
     return found.join(saved(nodes.distinct(), "wanted"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
 
 
+#: Bytes of the parity bits of a set, and how many sets have a shingle that goes to the end of the order; so many such shingles at most.
+PARITY, COMMON, COMMONS = 64, 256, 200_000
+
+
+def _first_of(least: float, n: int) -> int:
+    """Shingles from the front of a set of n: two sets at least ``least`` similar share one of theirs, whatever the order of all shingles."""
+    return n - int(np.ceil(least * n - 1e-9)) + 1 if n else 0
+
+
+def _parity(hashes: np.ndarray) -> bytes:
+    """Bits that each shingle flips one of: two sets differ in at least as many shingles as in bits."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (8 * PARITY - 1), minlength=8 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _may_be_alike(a: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarray, root: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which of the pairs of rows (a, b) aren't together yet and can be ``least`` similar, by bounds that lose none."""
+    total, eps = n[a] + n[b], 1e-6
+    need = least / (1 + least) * total - eps  # shared shingles
+    left = np.minimum(n[a] - at[a], n[b] - at[b])
+    near = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - eps) & (left >= need)
+    near[near] = np.bitwise_count(bits[a[near]] ^ bits[b[near]]).sum(axis=1) <= total[near] - 2 * need[near]
+    return near
+
+
+def _prefix_links(docs: DataFrame, roots: DataFrame, shingle: int, least: float, text_col: str) -> DataFrame:
+    """All links (u, v) between sets that ``roots`` (node, root) doesn't hold together yet: none is missed, and all are compared exactly.
+
+    The first shingles of a set, in one order of all shingles, are its keys: similar sets share one. The order is that of the hashes, but
+    the commonest shingles come last, so that few sets have them as keys. Which ones these are changes the work, never the result.
+    """
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+
+    def prefixes(common: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                rows = []
+                for text in batch.column(0).to_pylist():
+                    hashes = np.unique(shingle_hashes(text, shingle))
+                    if len(hashes):
+                        late = np.isin(hashes, common) if len(common) else np.zeros(len(hashes), bool)
+                        first = np.concatenate([hashes[~late], hashes[late]])[: _first_of(least, len(hashes))]
+                        rows.append((number_of(hashes), len(hashes), _parity(hashes), first.view("<i8")))
+                columns = list(zip(*rows)) or [(), (), (), ()]
+                types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["node", "n_own", "bits", "first"])
+
+        found = texts.mapInArrow(run, "node long, n_own long, bits binary, first array<long>")
+        return found.groupBy("node").agg(F.first("n_own").alias("n_own"), F.first("bits").alias("bits"), F.first("first").alias("first"))
+
+    plain = saved(prefixes(np.empty(0, np.uint64)), "prefixes")
+    counts = plain.select(F.explode("first").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON)
+    common = [r.key for r in counts.orderBy(F.desc("n"), "key").limit(COMMONS).collect()]
+    rows = saved(prefixes(np.array(common, np.int64).view(np.uint64)), "prefixes") if common else plain
+    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keyed = rows.select("node", "root", F.explode("first").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b"))
+    shared = saved(shared.where("a < b").select("key", "n"), "keys")
+    placed = rows.select("node", "root", "n_own", "bits", F.posexplode("first").alias("at", "key"))
+
+    def candidates(rows: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        node, root, n, at = (rows[c].to_numpy() for c in ("node", "root", "n_own", "at"))
+        bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), "<u8").reshape(len(node), -1)
+        size = ends - starts
+        pairs = [(two := starts[size == 2], two + 1)]
+        pairs[0] = tuple(p[_may_be_alike(two, n, at, bits, root, two + 1, least)] for p in pairs[0])
+        for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
+            last = s + np.searchsorted(n[s:e], n[s:e] / least + 1e-6, side="right")
+            for i in range(s, e - 1):  # rows rise in size
+                b = np.arange(i + 1, last[i - s])
+                a = np.full(len(b), i)
+                near = _may_be_alike(a, n, at, bits, root, b, least)
+                pairs.append((a[near], b[near]))
+        a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+        u, v = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+        both = np.unique(np.stack([u, v], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["u", "v"])
+
+    pairs = saved(_in_tiles(placed, shared, ["node", "root", "n_own", "bits", "at"], F.col("n_own"), candidates).distinct(), "pairs")
+    sets = saved(_sets_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")), shingle, text_col), "sets")
+    left, right = sets.select(F.col("node").alias("u"), F.col("set").alias("a")), sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            a, b = ([np.frombuffer(h, "<u8") for h in batch[c].to_pylist()] for c in ("a", "b"))
+            yield batch.select(["u", "v"]).filter(pa.array([alike(x, y, least) for x, y in zip(a, b)], pa.bool_()))
+
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compared, "u long, v long")
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (number of the shingle set), component_id: groups of documents whose shingle sets are at least ``similarity`` alike.
 
-    Three differing bits tell only copies that are all but exact. Here fingerprints may differ in ``radius`` bits, which no blocks of bits
-    can find, so sets meet under keys of their least hashes (at similarity 0.8 all but 0.3 % do); pivot distances discard pairs as before, the
-    bits and a sketch of 256 bins discard more, and the sets of what is left are compared. Nulls, repeats and empty texts as in
+    Three differing bits tell only copies that are all but exact. Here sets that meet under keys of their least hashes are linked first: pivot
+    distances, ``radius`` bits and a sketch of 256 bins discard pairs, and the sets of what is left are compared. That finds most links
+    and keeps large groups of copies from making all pairs. The links it misses come from the first shingles of all sets
+    (``_prefix_links``), so the groups are exactly the components of similarity ``similarity`` and more. Nulls, repeats and empty texts as in
     ``near_duplicates``.
     """
     fp = F.col("fingerprint")
@@ -260,7 +358,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     shared = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "met")
     meeting = saved(keyed.join(shared, "key"), "meeting")
     sets = saved(_sets_of(docs, meeting.select("node"), shingle, text_col), "sets")
-    edges = _links_under(meeting.join(nodes.drop("keys"), "node").join(sets, "node"), radius, similarity)
+    edges = saved(_links_under(meeting.join(nodes.drop("keys"), "node").join(sets, "node"), radius, similarity), "edges")
+    # most groups are whole by now; all pairs of sets of different groups that can still link are looked at
+    edges = edges.unionByName(_prefix_links(docs, saved(connected(edges), "roots"), shingle, similarity, text_col))
     return _named(rows.select("doc_id", F.col("node").alias("fingerprint")), edges)
 
 

@@ -120,6 +120,29 @@ def test_similarity_is_exact_at_the_threshold(spark):
     assert all(group[k] == k for k in group)
 
 
+def _groups(docs, least=0.8):
+    """Smallest number reachable over pairs of exact similarity ``least``, by comparing all pairs."""
+    sets, group = [_shingles(d) for d in docs], list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if group[i] != group[j] and len(a & sets[j]) / len(a | sets[j]) >= least:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return dict(enumerate(group))
+
+
+@pytest.mark.parametrize("tile, common", [(simhash.TILE, simhash.COMMON), (16, 5)])
+def test_similar_documents_are_the_exact_components(spark, monkeypatch, tile, common):
+    """Pairs at and just below 0.8, short ones too, and documents that share a long passage; no link comes from the keys of least hashes alone."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "COMMON", common)
+    pick, passage = random.Random(13), " ".join(f"p{k}" for k in range(40))
+    docs = [t for k in range(240) for t in _pair(pick, pick.choice([40, 60, 90, 300, 500]), 0.8, k % 4 > 0)]
+    docs += [" ".join(f"w{pick.randrange(10**6)}" for _ in range(n)) + " " + passage for n in range(60)] + ["", " ", "one", "ONE two"]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar_documents(rows).collect()} == _groups(docs)
+
+
 def test_repeated_passages_do_not_hide_similar_sets(spark):
     pick, docs = random.Random(12), []
     for _ in range(80):

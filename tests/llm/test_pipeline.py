@@ -5,7 +5,7 @@ import re
 import corpus_pipeline as C
 from shiftscope.llm.common import saved
 from shiftscope.llm.queries import QUERIES
-from test_duplicates import _kept, _shingles
+from test_duplicates import _groups, _kept, _shingles
 
 
 def test_stages(spark, sf):
@@ -35,3 +35,10 @@ def test_stages(spark, sf):
 def test_run_returns_the_last_stage(spark, sf):
     assert QUERIES["pipeline"](spark, sf).columns[:2] == ["doc_id", "piece"]
     assert C.ORACLE_SQL is None and len(C.STAGES) == 5
+
+
+def test_near_duplicates_stage_is_exact(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    want = {d for (d, _), (k, g) in zip(rows, sorted(_groups([t for _, t in rows]).items())) if k == g}
+    assert {r.doc_id for r in C.near_duplicates(spark, docs, sf).collect()} == want
