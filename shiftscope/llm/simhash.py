@@ -238,6 +238,8 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, shingle: int, text_col: str) ->
 
 #: Bytes of the parity bits of a set, and how many sets have a shingle that goes to the end of the order; so many such shingles at most.
 PARITY, COMMON, COMMONS = 64, 256, 200_000
+#: Bytes of the bits that pairs are held against before they take their sets along; they tell sets of up to some 18,000 shingles apart.
+WIDE_PARITY = 1024
 
 
 def _first_of(least: float, n: int) -> int:
@@ -245,9 +247,9 @@ def _first_of(least: float, n: int) -> int:
     return n - int(np.ceil(least * n - 1e-9)) + 1 if n else 0
 
 
-def _parity(hashes: np.ndarray) -> bytes:
+def _parity(hashes: np.ndarray, size: int = PARITY) -> bytes:
     """Bits that each shingle flips one of: two sets differ in at least as many shingles as in bits."""
-    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (8 * PARITY - 1), minlength=8 * PARITY) & 1
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (8 * size - 1), minlength=8 * size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -316,6 +318,23 @@ def _prefix_links(docs: DataFrame, roots: DataFrame, shingle: int, least: float,
 
     pairs = saved(_in_tiles(placed, shared, ["node", "root", "n_own", "bits", "at"], F.col("n_own"), candidates).distinct(), "pairs")
     sets = saved(_sets_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")), shingle, text_col), "sets")
+
+    def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes = [np.frombuffer(h, "<u8") for h in batch["set"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([len(h) for h in hashes], pa.int64()), pa.array([_parity(h, WIDE_PARITY) for h in hashes], pa.binary())], ["node", "n", "bits"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u8").reshape(batch.num_rows, -1) for c in ("a", "b"))
+            total = batch["m"].to_numpy() + batch["n"].to_numpy()
+            keep = np.bitwise_count(a ^ b).sum(axis=1) <= total - 2 * (least / (1 + least) * total - 1e-6)
+            yield batch.select(["u", "v"]).filter(pa.array(keep))
+
+    # sets are long: first a bound that loses no pair
+    wide = saved(sets.mapInArrow(widened, "node long, n long, bits binary"), "wide")
+    one, other = wide.select(F.col("node").alias("u"), F.col("n").alias("m"), F.col("bits").alias("a")), wide.select(F.col("node").alias("v"), "n", F.col("bits").alias("b"))
+    pairs = saved(pairs.join(one, "u").join(other, "v").select("u", "v", "m", "n", "a", "b").mapInArrow(near, "u long, v long"), "near")
     left, right = sets.select(F.col("node").alias("u"), F.col("set").alias("a")), sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
