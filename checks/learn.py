@@ -59,7 +59,7 @@ def _(spark, sf):
 @query("J14_late_boosted")
 def _(spark, sf):
     train, test = _late_sets(spark, sf)
-    return L.binary_metrics(L.scored(L.late_boosted(train, trees=10), test, "late", "row_key"), "row_key").withColumn("model", F.lit("gradient_boosting"))
+    return L.binary_metrics(L.scored(L.late_boosted(train), test, "late", "row_key"), "row_key").withColumn("model", F.lit("gradient_boosting"))
 
 
 _SCORE = """sc as (select l_orderkey * 8 + l_linenumber as rid, round(l_quantity / 7 + l_discount, 1) as score, (l_returnflag = 'R')::int as label from lineitem),
@@ -132,7 +132,7 @@ def _(spark, sf):
     texts = L.stratified_split(_texts(spark, sf), "doc_id", "negative")
     train = texts.where("split = 'train'")
     weights = L.text_weights(texts, "doc_id", "text", fit_on=train)
-    rows = L.hashed_vectors(weights, "doc_id", bits=16).join(texts.select("doc_id", "negative", "split"), "doc_id")
+    rows = L.hashed_vectors(weights, "doc_id").join(texts.select("doc_id", "negative", "split"), "doc_id")
     path = scratch_path(spark, "sentiment")
     rows.write.parquet(path)
     saved = spark.read.parquet(path)
@@ -213,7 +213,7 @@ def _(spark, sf):
     features.write.parquet(path)
     saved = spark.read.parquet(path)
     half = F.pmod(F.xxhash64("unit"), F.lit(2))
-    return L.rul_models(saved.where(half == 0), L.last_cycle(saved.where(half == 1)), _FCOLS, trees=5)
+    return L.rul_models(saved.where(half == 0), L.last_cycle(saved.where(half == 1)), _FCOLS)
 
 
 @query("J25_rul_scores", """select unit % 5 as fleet, round(sqrt(avg(d * d)), 6) as rmse,

@@ -94,7 +94,7 @@ def late_logistic(train: DataFrame) -> PipelineModel:
     return Pipeline(stages=stages).fit(balanced_weights(train, "late"))
 
 
-def late_boosted(train: DataFrame, trees: int = 30) -> PipelineModel:
+def late_boosted(train: DataFrame, trees: int = 300) -> PipelineModel:
     """Boosted trees over numbers and ordinal-coded categories."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -102,7 +102,7 @@ def late_boosted(train: DataFrame, trees: int = 30) -> PipelineModel:
     stages = [
         StringIndexer(inputCols=CATEGORICAL, outputCols=[f"{c}_i" for c in CATEGORICAL], handleInvalid="keep"),
         VectorAssembler(inputCols=[*NUMERIC, *[f"{c}_i" for c in CATEGORICAL]], outputCol="features"),
-        GBTClassifier(labelCol="late", weightCol="weight", maxIter=trees, stepSize=0.1, maxBins=512, seed=0),
+        GBTClassifier(labelCol="late", weightCol="weight", maxIter=trees, stepSize=0.05, maxBins=512, seed=0),
     ]
     return Pipeline(stages=stages).fit(balanced_weights(train, "late"))
 
@@ -318,7 +318,7 @@ def last_cycle(rows: DataFrame) -> DataFrame:
     return best.select("unit", "r.*")
 
 
-def rul_models(train: DataFrame, test: DataFrame, features: Sequence[str], trees: int = 20) -> DataFrame:
+def rul_models(train: DataFrame, test: DataFrame, features: Sequence[str], trees: int = 400) -> DataFrame:
     """(model, unit, prediction) of the mean, ridge and boosted models, clipped to [0, cap]."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -329,7 +329,7 @@ def rul_models(train: DataFrame, test: DataFrame, features: Sequence[str], trees
     parts = [apply.select(F.lit("mean_baseline").alias("model"), "unit", mean.alias("prediction"))]
     n = fit.count()
     models = {"ridge": LinearRegression(labelCol="rul", regParam=1.0 / n, standardization=False),
-              "gradient_boosting": GBTRegressor(labelCol="rul", maxIter=trees, stepSize=0.1, seed=0)}
+              "gradient_boosting": GBTRegressor(labelCol="rul", maxIter=trees, stepSize=0.05, seed=0)}
     for name, model in models.items():
         parts.append(model.fit(fit).transform(apply).select(F.lit(name).alias("model"), "unit", F.col("prediction")))
     both = reduce(DataFrame.unionByName, parts)
