@@ -1,6 +1,6 @@
 """URL filters: fixed host and path rules first, association rules mined from labels for the rest.
 
-Spark's FP-growth finds the URL token combinations that go with bad labels. A combination that reaches the support and the confidence asked
+Spark's FP-growth finds the token combinations of badly labelled URLs, whole addresses included. A combination that reaches the support and the confidence asked
 for becomes a rule, unless part of it already is one. Rules are filed under their rarest token; a URL looks up its own tokens and
 verifies what it finds, so it meets few rules. Both sides work on distinct token sets, so a very common host costs no more than a rare one.
 """
@@ -12,10 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shiftscope.llm.common import saved
 
-#: Item that stands for a bad label among the tokens.
-BAD = "!bad"
-#: What of a URL counts as a token: a long address adds no more, so the combinations of one address are bounded.
-HOST_LABELS, PATH_PARTS, QUERY_NAMES = 4, 3, 3
 #: Rules up to this number are sent to every task; beyond it they are joined by shuffle.
 BROADCAST_RULES = 100_000
 
@@ -30,12 +26,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: the last labels of the host, the first parts of the path and the first names of the query, each with its place's mark."""
+    """Distinct tokens: all labels of the host, parts of the path and names of the query, each with its place's mark."""
     filled = lambda a: F.filter(a, lambda x: x != "")
-    labels = F.slice(F.reverse(filled(F.split(host, "[.]"))), 1, HOST_LABELS)
-    parts = F.slice(filled(F.split(path, "/")), 1, PATH_PARTS)
+    labels, parts = filled(F.split(host, "[.]")), filled(F.split(path, "/"))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), "^[^?#]*[?]([^#]*)", 1)
-    names = F.slice(filled(F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, "^[^=]*", 0))), 1, QUERY_NAMES)
+    names = filled(F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, "^[^=]*", 0)))
     mark = lambda a, sign: F.transform(a, lambda x: F.concat(F.lit(sign), x))
     return F.array_sort(F.array_distinct(F.concat(mark(labels, "h:"), mark(parts, "p:"), mark(names, "q:"))))
 
@@ -43,16 +38,31 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 def mined_rules(labelled: DataFrame, support: float, confidence: float, pages: int = 20) -> DataFrame:
     """rule (sorted array of tokens), confidence, support; ``labelled`` has tokens and bad (boolean). Rows without tokens don't count.
 
-    A rule is seen on ``support`` of the rows, and on ``pages`` of them at least.
+    A rule is seen on ``support`` of the rows, and on ``pages`` of them at least, all of them bad. Tokens on fewer bad rows are in no rule and
+    go first; a token that is a rule alone goes too, as wider rules add nothing. Only what bad rows hold is combined then.
     """
-    rows = labelled.where(F.size("tokens") > 0).select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    rows = saved(rows, "transactions")
-    number = rows.count()
-    if number < pages:
-        return rows.sparkSession.createDataFrame([], "rule array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=max(support, pages / number), minConfidence=confidence).fit(rows)
-    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
-    found = saved(found.select(F.array_sort("antecedent").alias("rule"), "confidence", "support"), "rules")
+    rows = labelled.where(F.size("tokens") > 0).groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"))
+    rows = saved(rows.withColumn("id", F.xxhash64("tokens")), "transactions")
+    number = rows.agg(F.sum("n")).first()[0] or 0
+    need = max(support * number, pages)
+    each = rows.select("id", "n", "n_bad", F.explode("tokens").alias("token"))
+    seen = each.groupBy("token").agg(F.sum("n").alias("all"), F.sum("n_bad").alias("bad")).where(F.col("bad") >= need)
+    seen = saved(seen.withColumn("alone", F.col("bad") / F.col("all") >= confidence), "frequent")
+    single = seen.where("alone").select(F.array("token").alias("rule"), (F.col("bad") / F.col("all")).alias("confidence"), (F.col("bad") / number).alias("support"))
+    left = each.join(seen.where("not alone").select("token"), "token").groupBy("id").agg(F.first("n").alias("n"), F.first("n_bad").alias("n_bad"), F.array_sort(F.collect_set("token")).alias("items"))
+    left = saved(left, "left")
+    bad = saved(left.where("n_bad > 0").select("items", F.explode(F.sequence(F.lit(1), F.col("n_bad").cast("int")))).select("items"), "bad")
+    n_bad = bad.count()
+    if n_bad < need:
+        return single
+    sets = FPGrowth(itemsCol="items", minSupport=need / n_bad * (1 - 1e-12)).fit(bad).freqItemsets.where(F.size("items") > 1)
+    sets = saved(sets.select(F.array_sort("items").alias("rule"), F.col("freq").alias("bad")), "itemsets")
+    counted = sets.select("rule", "bad", F.explode("rule").alias("token")).join(seen.select("token", "all"), "token")
+    counted = counted.groupBy("rule", "bad").agg(F.min_by("token", F.struct("all", "token")).alias("token"))
+    met = left.select("n", "items", F.explode("items").alias("token")).join(counted, "token").where(F.size(F.array_except("rule", "items")) == 0)
+    share = F.col("bad") / F.sum("n")
+    wide = met.groupBy("rule", "bad").agg(share.alias("confidence")).where(F.col("confidence") >= confidence)
+    found = saved(single.unionByName(wide.select("rule", "confidence", (F.col("bad") / number).alias("support"))), "rules")
     # a rule that holds another one whole adds nothing
     parts = found.select("rule", F.explode("rule").alias("token")).alias("b")
     smaller = found.select(F.col("rule").alias("part")).withColumn("token", F.col("part")[0]).alias("a")

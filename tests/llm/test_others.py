@@ -139,6 +139,18 @@ def test_url_rules(spark):
     assert judged_urls(pages.limit(0), labels.limit(0), Q.URL_RULES).count() == 0
 
 
+def test_url_rules_see_the_whole_address(spark):
+    ends = ["/a/b/c/evil/{}", "/a/b/c/{}?p=1&q=2&r=3&evil=4", ".e.d.c.b.org/a"]
+    url = lambda i, k: f"http://x{i}.b.c.d.org" + ends[k].format(i) if k < 2 else f"http://evil.x{i}" + ends[k]
+    pages = [(100 * k + i, url(i, k)) for k in range(3) for i in range(40)] + [(1000 + i, url(i, i % 3).replace("evil", "good")) for i in range(120)]
+    # neither token is bad alone
+    pages += [(2000 + i, f"http://s{i}.net/" + ("m/n", "m/o", "k/n")[i % 3]) for i in range(120)]
+    labels = spark.createDataFrame([(p, p < 1000 or p >= 2000 and p % 3 == 2000 % 3) for p, _ in pages], "id long, bad boolean")
+    got = {r.page_id: r for r in judged_urls(spark.createDataFrame(pages, "page_id long, url string"), labels, []).collect()}
+    assert {p for p in got if got[p].verdict == "block"} == {p for p, _ in pages if p < 1000 or p >= 2000 and p % 3 == 2000 % 3}
+    assert {got[2000 + i].matched_rule for i in range(0, 120, 3)} == {"p:m p:n"}
+
+
 def test_url_query(spark, sf):
     for r in Q.op2(spark, sf).collect():
         assert r.verdict in ("allow", "block") and (r.rule is not None or (r.verdict == "block") == (r.matched_rule is not None))
