@@ -35,27 +35,26 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(mark(labels, "h:"), mark(parts, "p:"), mark(names, "q:"))))
 
 
-def mined_rules(labelled: DataFrame, support: float, confidence: float, pages: int = 20) -> DataFrame:
+def mined_rules(labelled: DataFrame, confidence: float, pages: int = 20) -> DataFrame:
     """rule (sorted array of tokens), confidence, support; ``labelled`` has tokens and bad (boolean). Rows without tokens don't count.
 
-    A rule is seen on ``support`` of the rows, and on ``pages`` of them at least, all of them bad. Tokens on fewer bad rows are in no rule and
+    A rule is seen on ``pages`` bad rows at least, the same at every size. Tokens on fewer bad rows are in no rule and
     go first; a token that is a rule alone goes too, as wider rules add nothing. Only what bad rows hold is combined then.
     """
     rows = labelled.where(F.size("tokens") > 0).groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"))
     rows = saved(rows.withColumn("id", F.xxhash64("tokens")), "transactions")
     number = rows.agg(F.sum("n")).first()[0] or 0
-    need = max(support * number, pages)
     each = rows.select("id", "n", "n_bad", F.explode("tokens").alias("token"))
-    seen = each.groupBy("token").agg(F.sum("n").alias("all"), F.sum("n_bad").alias("bad")).where(F.col("bad") >= need)
+    seen = each.groupBy("token").agg(F.sum("n").alias("all"), F.sum("n_bad").alias("bad")).where(F.col("bad") >= pages)
     seen = saved(seen.withColumn("alone", F.col("bad") / F.col("all") >= confidence), "frequent")
     single = seen.where("alone").select(F.array("token").alias("rule"), (F.col("bad") / F.col("all")).alias("confidence"), (F.col("bad") / number).alias("support"))
     left = each.join(seen.where("not alone").select("token"), "token").groupBy("id").agg(F.first("n").alias("n"), F.first("n_bad").alias("n_bad"), F.array_sort(F.collect_set("token")).alias("items"))
     left = saved(left, "left")
     bad = saved(left.where("n_bad > 0").select("items", F.explode(F.sequence(F.lit(1), F.col("n_bad").cast("int")))).select("items"), "bad")
     n_bad = bad.count()
-    if n_bad < need:
+    if n_bad < pages:
         return single
-    sets = FPGrowth(itemsCol="items", minSupport=need / n_bad * (1 - 1e-12)).fit(bad).freqItemsets.where(F.size("items") > 1)
+    sets = FPGrowth(itemsCol="items", minSupport=pages / n_bad * (1 - 1e-12)).fit(bad).freqItemsets.where(F.size("items") > 1)
     sets = saved(sets.select(F.array_sort("items").alias("rule"), F.col("freq").alias("bad")), "itemsets")
     counted = sets.select("rule", "bad", F.explode("rule").alias("token")).join(seen.select("token", "all"), "token")
     counted = counted.groupBy("rule", "bad").agg(F.min_by("token", F.struct("all", "token")).alias("token"))
@@ -83,7 +82,7 @@ def matched(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("tokens", F.array_join("best.rule", " ").alias("matched_rule"), (-F.col("best.c")).alias("matched_confidence"))
 
 
-def judged_urls(pages: DataFrame, labels: DataFrame, fixed: list[tuple[str, str, str]], support: float = 0.002, confidence: float = 0.7, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judged_urls(pages: DataFrame, labels: DataFrame, fixed: list[tuple[str, str, str]], confidence: float = 0.7, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, matched_rule, matched_confidence of every row of ``pages``.
 
     ``fixed`` lists (verdict, host, path): such a rule fits its host and all subdomains where the path starts with the rule's, and the longest
@@ -99,7 +98,7 @@ def judged_urls(pages: DataFrame, labels: DataFrame, fixed: list[tuple[str, str,
         fits = ((F.col("host") == where) | F.col("host").endswith("." + where)) & F.col("path").startswith(start)
         rule, verdict = F.when(fits, where + start).otherwise(rule), F.when(fits, what).otherwise(verdict)
     known = labels.where("bad is not null").groupBy(F.col("id").alias("page_id")).agg(F.max("bad").alias("bad"))
-    rules = mined_rules(rows.join(known, "page_id").select("tokens", "bad"), support, confidence)
+    rules = mined_rules(rows.join(known, "page_id").select("tokens", "bad"), confidence)
     hit = matched(rows.select("tokens").distinct(), rules)
     out = rows.join(hit, "tokens", "left").withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("matched_rule").isNotNull(), "block").otherwise("allow")))
     return out.select("page_id", "host", "path", "rule", "verdict", "matched_rule", "matched_confidence")

@@ -151,6 +151,12 @@ def test_url_rules_see_the_whole_address(spark):
     assert {got[2000 + i].matched_rule for i in range(0, 120, 3)} == {"p:m p:n"}
 
 
+def test_url_rules_need_the_same_count_at_every_size(spark):
+    pages = spark.range(20000).selectExpr("id as page_id", "concat('http://', if(id < 22, 'casino', concat('s', id % 500)), '.org/', id) as url")
+    got = judged_urls(pages, pages.selectExpr("page_id as id", "page_id < 22 as bad"), [])
+    assert [(r.page_id, r.matched_rule) for r in got.where("verdict = 'block'").orderBy("page_id").collect()] == [(i, "h:casino") for i in range(22)]
+
+
 def test_url_query(spark, sf):
     for r in Q.op2(spark, sf).collect():
         assert r.verdict in ("allow", "block") and (r.rule is not None or (r.verdict == "block") == (r.matched_rule is not None))
