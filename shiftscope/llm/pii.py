@@ -2,7 +2,8 @@
 
 Card numbers (Luhn), IPv4 addresses, calendar dates, social security and phone numbers are permuted within their format by a keyed
 Feistel network: two halves, each in turn shifted by a keyed hash of the other, modulo its own range. That is a bijection of the format,
-so equal values stay linked across documents and different ones never meet. Mail addresses get a keyed digest. The key is a
+so equal values stay linked across documents and different ones never meet. Left alone: dates other than yyyy-mm-dd standing free (a time after a T, 05/01/2024, 5 January 2024), and phone
+numbers other than ten digits as 3-3-4 with separators, a country code before them or not. Mail addresses get a keyed digest. The key is a
 parameter; who has it can undo the permutations.
 """
 
