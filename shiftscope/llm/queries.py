@@ -126,6 +126,59 @@ def op5(spark, sf_dir):
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@query(
+    "op11_metric_tree_codes",
+    """with v as materialized (select vec_id, label, list_transform(embedding, lambda e: floor(256 * e::double)::bigint) as x from embeddings
+      where embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+    y as materialized (select vec_id, p, x[len(x) // 16 * p + 1:len(x) // 16 * (p + 1)] as y from v, range(16) r(p)),
+    c0 as materialized (select p, row_number() over (partition by p order by vec_id) - 1 as c, y as e from y qualify c < 64),
+    """ + ",\n    ".join(
+        f"""a{i} as materialized (select vec_id, p, min({{d: list_sum(list_transform(list_zip(y, e), lambda q: (q[1] - q[2]) * (q[1] - q[2])))::bigint, c: c}}) as m from y join c{i} using (p) group by vec_id, p)"""
+        + (f""",
+    s{i} as (select p, c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as e from (select p, m.c as c, i, sum(y[i])::bigint as s, count(*) as n from y join a{i} using (vec_id, p), range(1, 5) r(i) group by p, m.c, i) group by p, c),
+    c{i + 1} as materialized (select p, c, coalesce(s{i}.e, c{i}.e) as e from c{i} left join s{i} using (p, c))""" if i < 2 else "")
+        for i in range(3)) + """,
+    k as (select sha256(string_agg(array_to_string(e, ','), ',' order by p, c)) as h from c2),
+    o as (select vec_id, any_value(label) as label, string_agg(format('{:02x}', m.c), '' order by p) as code, sum(m.d)::bigint as error from a2 join v using (vec_id) group by vec_id)
+    select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, h as codebooks_sha256 from o, k""",
+)
+def op11(spark, sf_dir):
+    from shiftscope.llm.vectorcodes import compressed, digest
+
+    rows, codebooks = compressed(table(spark, sf_dir, "embeddings"), label_col="label")
+    code = F.lower(F.array_join(F.transform("codes", lambda c: F.lpad(F.hex(c.cast("long")), 2, "0")), ""))
+    return rows.select("vec_id", code.alias("code"), "error", "label_error", F.lit(digest(codebooks)).alias("codebooks_sha256"))
+
+
+@query(
+    "op12_filter_interactions",
+    """with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+    f as (select part, (len(ws) < 100)::int + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::int
+      + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as m,
+      doc_id in (select doc_id from labels where quality = 1 and doc_id is not null) as good, doc_id in (select doc_id from labels where toxic = 1 and doc_id is not null) as bad from d),
+    n as (select part, m, count(*) as n, count_if(good) as g, count_if(bad) as b from f group by part, m),
+    l as (select chr(65 + i) as c, i from (values (0), (1), (2), (3), (4)) v(i)),
+    o as (select a.c || b.c || c.c || d.c || e.c as o from l a, l b, l c, l d, l e where list_unique([a.c, b.c, c.c, d.c, e.c]) = 5),
+    s as (select o, k::int as step, (1 << (ascii(o[k]) - 65))::int as bit, coalesce(list_sum(list_transform(range(1, k), lambda j: (1 << (ascii(o[j]) - 65)))), 0)::int as before from o, range(1, 6) r(k)),
+    r as (select part, o as filter_order, step, bit, sum(if(m & (before | bit) = 0, n, 0))::bigint as kept, sum(if(m & before = 0 and m & bit > 0, n, 0))::bigint as removed,
+      sum(if(m & before > 0 and m & bit > 0, n, 0))::bigint as redundant, sum(if(m = bit, n, 0))::bigint as unique_fails,
+      sum(if(m & before = 0 and m & bit > 0, g, 0))::bigint as good_lost, sum(if(m & before = 0 and m & bit > 0, b, 0))::bigint as toxic_lost from n, s group by part, o, step, bit)
+    select * exclude (bit), (sum(removed) over (partition by part, bit))::bigint as shapley from r""",
+)
+def op12(spark, sf_dir):
+    from shiftscope.llm.filteraudit import interactions
+
+    found = interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lost={"good_lost": "quality = 1", "toxic_lost": "toxic = 1"})
+    return found.drop("filter")
+
+
+@query("op13_pareto_mix")
+def op13(spark, sf_dir):
+    from shiftscope.llm.sourcemix import mixed
+
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     from corpus_pipeline import run
