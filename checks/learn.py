@@ -127,6 +127,21 @@ def _(spark, sf):
     return L.term_idf(L.char_terms(spread(table(spark, sf, "documents")), "doc_id", "text"), 1, L.CHAR_MIN_DF).drop("idf")
 
 
+@query("J17_char_tfidf", f"""select doc_id, count(*) as terms, round(max(raw / norm), 6) as heaviest, round(sum(raw / norm), 4) as total from (
+    select *, sqrt(sum(raw * raw) over (partition by doc_id)) as norm from (select doc_id, term, (1 + ln(tf)) * idf as raw from ct join ci using (term))) group by 1""",
+    f"""cw as (select doc_id, w, count(*) as c from (select doc_id, ' ' || unnest(regexp_split_to_array(trim({_FOLD}), '\\s+')) || ' ' as w from documents) where length(w) > 2 group by 1, 2),
+    ct as (select doc_id, term, sum(c)::bigint as tf from (select doc_id, c, substr(w, i::int, n::int) as term from (select doc_id, c, w, n, unnest(range(1, length(w) - n + 2)) as i
+      from (select doc_id, c, w, unnest(range(3, least(5, length(w)) + 1)) as n from cw))) group by 1, 2),
+    ci as (select term, ln((1 + (select count(*) from documents)) / (1 + count(*))::double) + 1 as idf from ct group by 1 having count(*) >= 5)""")
+def _(spark, sf):
+    docs = spread(table(spark, sf, "documents"))
+    n = docs.agg(F.count("*").alias("n")).select("n").scalar()
+    tf = L.char_terms(docs, "doc_id", "text")
+    out = L.tfidf(tf, L.term_idf(tf, n, L.CHAR_MIN_DF), "doc_id").groupBy("doc_id").agg(
+        F.count("*").alias("terms"), F.max("weight").alias("heaviest"), F.sum("weight").alias("total"))
+    return rounded(rounded(out, "heaviest"), "total", digits=4)
+
+
 @query("J18_sentiment_logistic")
 def _(spark, sf):
     texts = L.stratified_split(_texts(spark, sf), "doc_id", "negative")

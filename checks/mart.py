@@ -29,7 +29,10 @@ _PAYMENTS = """fp as (select p.order_id, p.payment_sequential, o.customer_id, o.
     p.payment_type, p.payment_installments, p.payment_value from sh_payments p join sh_orders o on o.order_id = p.order_id)"""
 
 
-@query("C1_dim_date", _DATE.format("(select min(o_orderdate)::date::timestamp from orders)", "(select max(o_orderdate)::date::timestamp from orders)"))
+_SPAN = "(select min(o_orderdate)::date::timestamp from orders)", "(select max(o_orderdate)::date::timestamp from orders)"
+
+
+@query("C1_dim_date", _DATE.format(*_SPAN))
 def _(spark, sf):
     first, last = shop(spark, sf).orders.agg(F.to_date(F.min("order_purchase_timestamp")), F.to_date(F.max("order_purchase_timestamp"))).first()
     return M.dim_date(spark, first, last)
@@ -70,7 +73,7 @@ def _(spark, sf):
     return M.fact_payments(shop(spark, sf))
 
 
-@query("C7_mart_counts", f"""select 'dim_date' as table_name, count(*) as row_count from ({_DATE.format('2016-01-01', '2018-12-31')})
+@query("C7_mart_counts", f"""select 'dim_date' as table_name, count(*) as row_count from ({_DATE.format(*_SPAN)})
     union all select 'dim_customer', count(*) from sh_customers union all select 'dim_seller', count(*) from sh_sellers
     union all select 'dim_product', count(*) from ({_PRODUCT}) union all select 'fact_order_items', count(*) from fi
     union all select 'fact_payments', count(*) from fp""", f"{_ITEMS}, {_PAYMENTS}")
@@ -89,6 +92,16 @@ def _(spark, sf):
     return D.item_measures(D.monthly(M.fact_order_items(shop(spark, sf))), ["month"]).select("month", "orders")
 
 
+@query("D1_orders_sketched", """select date_trunc('quarter', purchase_date_key)::date as quarter, true as near from fi group by 1""", _ITEMS)
+def _(spark, sf):
+    # a sketch a month, merged to quarters, against the exact counts
+    items = D.monthly(M.fact_order_items(shop(spark, sf)))
+    quarter = F.date_trunc("quarter", "month").cast("date").alias("quarter")
+    sketched = D.sketched_orders(D.order_sketches(items, ["month"]).select("sketch", quarter), ["quarter"])
+    exact = items.groupBy(quarter).agg(F.count_distinct("order_id").alias("exact"))
+    return sketched.join(exact, "quarter").select("quarter", (F.abs(F.col("orders") / F.col("exact") - 1) < 0.03).alias("near"))
+
+
 @query("D2_gmv", "select round(sum(payment_value), 2) as gmv from fp", _PAYMENTS)
 def _(spark, sf):
     return rounded(D.gmv(M.fact_payments(shop(spark, sf))), "gmv", digits=2)

@@ -90,9 +90,27 @@ def _(spark, sf):
     return rounded(S.seasonal_naive(shop_series(spark, sf)), "prediction")
 
 
-@query("J6_holt_winters")
+def _search(source: str, grid: str, name: str) -> str:
+    """CTEs name (one row per parameters and day) and name_best (the parameters of least squared error) over the rows of ``source``."""
+    return f"""{name}_grid as ({grid}),
+  {name} as (select series, a, b, g, p, 0 as t, 0.0::double as sse, l as level, (l2 - l) / 7 as slope, s from {name}_grid join hw_start using (series) union all
+    select series, a, b, g, p, t + 1, sse + m * m, level + p * slope + a * m, p * slope + b * (a * m), list_append(s[2:7], s[1] + g * m)
+    from (select h.*, o.y - (level + p * slope + s[1]) as m from {name} h join hw_day o on o.series = h.series and o.t = h.t)),
+  {name}_best as (select * exclude (n) from {name} join hw_start using (series) where t = n qualify row_number() over (partition by series order by sse, a, b, g, p) = 1)"""
+
+
+_NEAR = {name: f"unnest(list_distinct([{', '.join(f'least(greatest({name} + ({w * k!r})::double, {low}), {high})' for k in (-1.0, -0.5, 0.0, 0.5, 1.0))}])) as {name}" for name, (_, w, low, high) in S.GRID.items()}
+_HW = _ORD + """, hw_day as (select series, row_number() over (partition by series order by day) - 1 as t, value::double as y from ser where value is not null),
+  hw_start as (select series, n, l, l2, list_transform(w, lambda x: x - l) as s from (select series, count(*) as n, avg(y) filter (where t < 7) as l, avg(y) filter (where t between 7 and 13) as l2,
+    list(y order by t) filter (where t < 7) as w from hw_day group by 1) where n >= 14),
+  """ + _search("hw_start", "select series, a, b, g, p from hw_start, " + ", ".join(f"(select unnest({values}::double[]) as {n})" for n, (values, *_) in S.GRID.items()), "h1") + """,
+  """ + _search("h1_best", f"""select series, a, b, g, {_NEAR['p']} from (select series, a, b, {_NEAR['g']}, p from (select series, a, {_NEAR['b']}, g, p from (select series, {_NEAR['a']}, b, g, p from h1_best)))""", "h2")
+
+
+@query("J6_holt_winters", """select series, step::int as step, round(level + slope * list_sum(list_transform(range(1, step + 1), lambda k: pow(p, k))) + s[(step - 1) % 7 + 1], 4) as prediction
+    from h2_best, (select unnest(range(1, 29)) as step)""", _HW)
 def _(spark, sf):
-    return S.holt_winters(shop_series(spark, sf))
+    return rounded(S.holt_winters(shop_series(spark, sf)), "prediction", digits=4)
 
 
 @query("J7_lag_features", """select series, day, round(value, 6) as value, round(lag(value, 7) over w, 6) as lag_7, round(lag(value, 14) over w, 6) as lag_14,

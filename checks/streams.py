@@ -46,7 +46,7 @@ def _(spark, sf):
     rows = stream.select("arrival", "provider", "event_id", "event_type", "order_id", "occurred_at", "amount")
     landed = scratch_path(spark, "landed")
     SE.land_events(rows, landed, scratch_path(spark, "landing")).awaitTermination()
-    return _utc(spark.read.parquet(landed).drop("batch"), "occurred_at")
+    return _utc(spark.read.parquet(landed).drop("batch", "bucket"), "occurred_at")
 
 
 @query("M4_order_state_stream", "select * from st", _STATE)
@@ -62,6 +62,19 @@ def _(spark, sf):
     return rounded(run_to_table(SS.monitor_stream(stream, threshold=60.0), "monitor", "append").drop("eta"), "level", "slope")
 
 
+@query("M15_alert_stream", "select machine_id::varchar as machine_id, at_step, smoothed_level, slope_per_step, predicted_steps_to_failure from al", _KAL)
+def _(spark, sf):
+    return run_to_table(SS.alert_stream(_in_parts(readings(spark, sf), "t", "readings"), threshold=60.0), "alerts", "append")
+
+
+@query("M3_dedupe_recent_stream", "select distinct provider, event_id from ok where occurred_at is not null", _RAW)
+def _(spark, sf):
+    # deliveries of one event are days apart at most here; what has no time is left to land_events
+    stream = W.parse_webhook(_in_parts(messages(spark, sf), "arrival", "messages")).where("problem is null and occurred_at is not null")
+    recent = SE.dedupe_recent(stream.select("provider", "event_id", "occurred_at"), "60 days")
+    return run_to_table(recent, "recent", "append").select("provider", "event_id")
+
+
 @query("M17_daily_metrics_stream", """select event_type as series, ts::date as day, count(*) as n, round(sum(value), 4) as value from events group by 1, 2""")
 def _(spark, sf):
     events = file_stream(spark, sf, SCHEMAS["events"], glob="events.parquet")

@@ -8,17 +8,19 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.types import StructField, StructType
 
 from shiftscope.functions.numbers import days_between, ratio
 from shiftscope.functions.ordered import halo_blocks, positions, running_sums
 from shiftscope.functions.quantiles import exact_quantile
-from shiftscope.session import cut_lineage
+from shiftscope.session import cut_lineage, scratch_path
 from shiftscope.sources.tables import Shop
 
 # ---------------------------------------------------------------- late delivery
 NUMERIC = ["promised_days", "same_state", "order_value", "freight", "n_items", "n_sellers", "max_weight_g", "month", "weekday"]
 CATEGORICAL = ["customer_state", "seller_state", "category"]
 RARE = 50
+LEVELS = 512  # codes of a category in boosted trees, at most
 
 
 def late_features(shop: Shop) -> DataFrame:
@@ -95,14 +97,19 @@ def late_logistic(train: DataFrame) -> PipelineModel:
 
 
 def late_boosted(train: DataFrame, trees: int = 300) -> PipelineModel:
-    """Boosted trees over numbers and ordinal-coded categories."""
+    """Boosted trees over numbers and ordinal-coded categories; a category may have any number of levels.
+
+    Levels are coded by falling frequency, and all beyond the first LEVELS - 1 share the last code.
+    """
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 
+    codes = ", ".join(f"least({c}_i, {LEVELS - 1}.0) as {c}_b" for c in CATEGORICAL)
     stages = [
         StringIndexer(inputCols=CATEGORICAL, outputCols=[f"{c}_i" for c in CATEGORICAL], handleInvalid="keep"),
-        VectorAssembler(inputCols=[*NUMERIC, *[f"{c}_i" for c in CATEGORICAL]], outputCol="features"),
-        GBTClassifier(labelCol="late", weightCol="weight", maxIter=trees, stepSize=0.05, maxBins=512, seed=0),
+        SQLTransformer(statement=f"select *, {codes} from __THIS__"),
+        VectorAssembler(inputCols=[*NUMERIC, *[f"{c}_b" for c in CATEGORICAL]], outputCol="features"),
+        GBTClassifier(labelCol="late", weightCol="weight", maxIter=trees, stepSize=0.05, maxBins=LEVELS, seed=0),
     ]
     return Pipeline(stages=stages).fit(balanced_weights(train, "late"))
 
@@ -207,19 +214,22 @@ def text_weights(docs: DataFrame, key: str, text: str, fit_on: DataFrame | None
 
 
 def hashed_vectors(weights: DataFrame, key: str, bits: int = 18) -> DataFrame:
-    """(key, features): sparse vectors with each term at a hashed position; rows of one text form one vector."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    size = 1 << bits
+    """(key, features): sparse vectors with each term at a hashed position; rows of one text form one vector.
 
-    @F.udf(VectorUDT())
-    def sparse(cells):
-        return SparseVector(size, [c["i"] for c in cells], [c["w"] for c in cells])
+    The cells of a vector column are written by SQL functions to the shared folder and read back as vectors, so nothing runs in Python.
+    """
+    from pyspark.ml.linalg import VectorUDT
 
+    size = 1 << bits
     slot = F.pmod(F.xxhash64("term"), F.lit(size)).cast("int")
     cells = weights.groupBy(key, slot.alias("i")).agg(F.sum("weight").alias("w"))
     packed = cells.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("cells"))
-    return packed.select(key, sparse("cells").alias("features"))
+    # the stored form of a sparse vector: kind 0, size, rising positions, values
+    sparse = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.col("cells.i").alias("indices"), F.col("cells.w").alias("values"))
+    path = scratch_path(weights.sparkSession, "vectors")
+    packed.select(key, sparse.alias("features")).write.parquet(path)
+    schema = StructType([StructField(key, weights.schema[key].dataType), StructField("features", VectorUDT())])
+    return weights.sparkSession.read.schema(schema).parquet(path)
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.2) -> DataFrame:

@@ -67,8 +67,11 @@ def fact_payments(shop: Shop) -> DataFrame:
 
 
 def build_mart(shop: Shop, spark: SparkSession) -> dict[str, DataFrame]:
+    """All six tables; the calendar spans the days of the orders."""
+    bought = F.to_date("order_purchase_timestamp")
+    first, last = shop.orders.agg(F.min(bought), F.max(bought)).first()
     return {
-        "dim_date": dim_date(spark), "dim_customer": dim_customer(shop), "dim_seller": dim_seller(shop),
+        "dim_date": dim_date(spark, first or FIRST_DAY, last or LAST_DAY), "dim_customer": dim_customer(shop), "dim_seller": dim_seller(shop),
         "dim_product": dim_product(shop), "fact_order_items": fact_order_items(shop), "fact_payments": fact_payments(shop),
     }
 

@@ -9,11 +9,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shiftscope.functions.numbers import month_of, ratio
 
 
+SKETCH_BITS = 14  # 2**14 registers: a standard error under 1 %
+
+
 def orders_measure(approximate: bool = False) -> Column:
     """Distinct orders; the approximate form keeps one fixed-size sketch per group."""
     return F.approx_count_distinct("order_id") if approximate else F.count_distinct("order_id")
 
 
+def order_sketches(items: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, sketch): the distinct orders of each group as a HyperLogLog sketch of some kilobytes. Sketches can be stored and merged."""
+    return items.groupBy(*by).agg(F.hll_sketch_agg("order_id", SKETCH_BITS).alias("sketch"))
+
+
+def sketched_orders(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, orders): estimated distinct orders of any union of groups, without another look at the items."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("orders"))
+
+
 def item_measures(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Orders, item revenue, average order value, freight share, late rate and review score.
 

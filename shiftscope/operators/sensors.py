@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shiftscope.functions.numbers import ratio
 from shiftscope.functions.ordered import positions
+from shiftscope.session import cut_lineage
 
 # fixed values: filter noise, start uncertainty, alert rule
 PROCESS_VAR, MEASUREMENT_VAR, START_VAR = 1e-5, 0.25, 1000.0
 FAILURE_LEVEL, WARN_WITHIN, WARM_UP = 8.0, 48, 10
-BLOCK = 262_144  # readings of one machine handled by one task
+BLOCK = 128  # readings that are folded one after the other
+FAN = 128  # maps of blocks, or of blocks of blocks, that are composed one after the other
 
 
 def gain_step(p: tuple[float, float, float]) -> tuple[tuple[float, float, float], float, float]:
@@ -26,74 +25,100 @@ def gain_step(p: tuple[float, float, float]) -> tuple[tuple[float, float, float]
     return ((1 - k0) * a, (1 - k0) * b, c - k1 * b), k0, k1
 
 
-def gains() -> np.ndarray:
-    """Gains by reading number from the second reading on, until they no longer change."""
+def gains() -> list[tuple[float, float]]:
+    """Gains by reading number from the second reading on, until they no longer change (some hundred numbers)."""
     p, out = (START_VAR, 0.0, START_VAR), []
     while len(out) < 20_000:
         p, k0, k1 = gain_step(p)
         out.append((k0, k1))
         if len(out) > 1 and abs(k0 - out[-2][0]) < 1e-16 and abs(k1 - out[-2][1]) < 1e-16:
             break
-    return np.array(out)
-
-
-def _walk(table: np.ndarray, first: int, z: np.ndarray, level: float, slope: float) -> tuple[np.ndarray, np.ndarray]:
-    """States after each reading; ``first`` is the number of the first reading (1 = start of the machine)."""
-    levels, slopes = np.empty(len(z)), np.empty(len(z))
-    for i, value in enumerate(z):
-        number = first + i
-        if number == 1:
-            level, slope = value, 0.0
-        else:
-            k0, k1 = table[min(number - 2, len(table) - 1)]
-            level = level + slope
-            miss = value - level
-            level, slope = level + k0 * miss, slope + k1 * miss
-        levels[i], slopes[i] = level, slope
-    return levels, slopes
-
-
-def kalman_monitor(readings: DataFrame, block: int = BLOCK) -> DataFrame:
+    return out
+
+
+def _gain(pos: Column, which: int) -> Column:
+    """The gain at reading ``pos`` (from 1). The first reading sets the level and leaves the slope 0."""
+    table = F.lit([(1.0, 0.0)[which], *[k[which] for k in gains()]])
+    return F.get(table, F.least(pos, F.size(table)).cast("int") - 1)
+
+
+# the state after a reading of value z with gains k0, k1: level' = (1 - k0) (level + slope) + k0 z, slope' = slope - k1 (level + slope) + k1 z
+_MAP = "struct<c0:double,c1:double,a00:double,a01:double,a10:double,a11:double>"
+
+
+def _read(x0: Column, x1: Column, r: Column, offset: bool = True) -> tuple[Column, Column]:
+    """Level and slope after reading ``r``; without ``offset`` the linear part alone."""
+    miss = (r["value"] if offset else F.lit(0.0)) - (x0 + x1)
+    return x0 + x1 + r["k0"] * miss, x1 + r["k1"] * miss
+
+
+def _map_of(names: tuple[Column, ...]) -> Column:
+    return F.struct(*[c.alias(n) for c, n in zip(names, ("c0", "c1", "a00", "a01", "a10", "a11"))])
+
+
+def _through(m: Column, r: Column) -> Column:
+    """The map of all readings so far and then ``r``."""
+    (c0, c1), (a00, a10), (a01, a11) = _read(m["c0"], m["c1"], r), _read(m["a00"], m["a10"], r, False), _read(m["a01"], m["a11"], r, False)
+    return _map_of((c0, c1, a00, a01, a10, a11))
+
+
+def _after(f: Column, g: Column) -> Column:
+    """The map ``f`` and then the map ``g``; this is associative, so blocks may be composed in blocks."""
+    c = [g[f"c{i}"] + g[f"a{i}0"] * f["c0"] + g[f"a{i}1"] * f["c1"] for i in (0, 1)]
+    a = [g[f"a{i}0"] * f[f"a0{j}"] + g[f"a{i}1"] * f[f"a1{j}"] for i in (0, 1) for j in (0, 1)]
+    return _map_of((*c, *a))
+
+
+def _same() -> Column:
+    return _map_of(tuple(F.lit(v) for v in (0.0, 0.0, 1.0, 0.0, 0.0, 1.0)))
+
+
+def _starts(maps: DataFrame, blocks: int, fan: int) -> DataFrame:
+    """(machine_id, block, start): the map of everything before each block, from (machine_id, block, map).
+
+    ``fan`` neighbouring maps are composed to one, until one is left of each machine; on the way down each group knows what came before it.
+    """
+    groups = maps.groupBy("machine_id", F.floor(F.col("block") / fan).alias("group")).agg(F.sort_array(F.collect_list(F.struct("block", "map"))).alias("maps"))
+    if blocks <= fan:
+        groups = groups.withColumn("before", _same())
+    else:
+        whole = groups.select("machine_id", F.col("group").alias("block"), F.aggregate("maps", _same(), lambda f, m: _after(f, m["map"])).alias("map"))
+        above = _starts(cut_lineage(whole), -(-blocks // fan), fan)
+        groups = groups.join(above.select("machine_id", F.col("block").alias("group"), F.col("start").alias("before")), ["machine_id", "group"])
+    done = F.array().cast(f"array<struct<block:bigint,start:{_MAP}>>")
+    step = lambda s, m: F.struct(_after(s["f"], m["map"]).alias("f"), F.array_append(s["out"], F.struct(m["block"].alias("block"), s["f"].alias("start"))).alias("out"))
+    chained = F.aggregate("maps", F.struct(F.col("before").alias("f"), done.alias("out")), step, lambda s: s["out"])
+    return groups.select("machine_id", F.inline(chained))
+
+
+def kalman_monitor(readings: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """(machine_id, t, value, level, slope) after every reading.
 
-    The gains do not depend on the readings, so a block of readings changes the state by a fixed linear map. Blocks are
-    summarised in parallel, the few block maps are chained per machine, and the blocks are walked again from their true start.
+    The gains do not depend on the readings, so a reading changes the state by a fixed affine map. The readings of a machine are cut in blocks
+    by position; the maps of blocks are composed in parallel, level by level, and the blocks are folded from their true start. A
+    machine may have any number of readings: no task holds more than a block of them, or ``fan`` maps.
     """
-    table = gains()  # a small array that travels with the tasks
-    rows = readings.select("machine_id", "t", F.col("value").cast("double").alias("value"))
-    kind = readings.schema["machine_id"].dataType.simpleString()
-    schema = f"machine_id {kind}, t {readings.schema['t'].dataType.simpleString()}, value double, level double, slope double"
-
-    rows = positions(rows, ["machine_id"], "t").withColumn("block", F.floor((F.col("pos") - 1) / block))
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        level, slope = _walk(table, int(pdf["pos"].iloc[0]), pdf["value"].to_numpy(), pdf["level"].iloc[0], pdf["slope"].iloc[0])
-        return pdf[["machine_id", "t", "value"]].assign(level=level, slope=slope)
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        first, z, zero = int(pdf["pos"].iloc[0]), pdf["value"].to_numpy(), np.zeros(len(pdf))
-        ends = []
-        for values, level, slope in ((z, 0.0, 0.0), (zero, 1.0, 0.0), (zero, 0.0, 1.0)):
-            a, b = _walk(table, first, values, level, slope)
-            ends += [a[-1], b[-1]]
-        return pd.DataFrame([[pdf["machine_id"].iloc[0], pdf["block"].iloc[0], *ends]], columns=["machine_id", "block", "c0", "c1", "m00", "m10", "m01", "m11"])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        x, out = np.zeros(2), []
-        for r in pdf.itertuples(index=False):
-            out.append(x)
-            x = np.array([r.c0 + r.m00 * x[0] + r.m01 * x[1], r.c1 + r.m10 * x[0] + r.m11 * x[1]])
-        starts = np.array(out)
-        return pdf[["machine_id", "block"]].assign(level=starts[:, 0], slope=starts[:, 1])
-
-    maps = rows.groupBy("machine_id", "block").applyInPandas(
-        summarise, f"machine_id {kind}, block bigint, c0 double, c1 double, m00 double, m10 double, m01 double, m11 double"
-    )
-    starts = maps.groupBy("machine_id").applyInPandas(chain, f"machine_id {kind}, block bigint, level double, slope double")
-    return rows.join(starts, ["machine_id", "block"]).groupBy("machine_id", "block").applyInPandas(finish, schema)
+    rows = positions(readings.select("machine_id", "t", F.col("value").cast("double").alias("value")), ["machine_id"], "t")
+    pos = F.col("pos")
+    reading = F.struct("pos", "t", "value", _gain(pos, 0).alias("k0"), _gain(pos, 1).alias("k1"))
+    blocks = rows.groupBy("machine_id", F.floor((pos - 1) / block).alias("block")).agg(F.sort_array(F.collect_list(reading)).alias("rows"))
+    blocks = cut_lineage(blocks)
+    most = (blocks.agg(F.max("block")).first()[0] or 0) + 1
+    if most > 1:
+        maps = blocks.select("machine_id", "block", F.aggregate("rows", _same(), _through).alias("map"))
+        # the first reading forgets what was before it, so a start is a state: the map's offset
+        blocks = blocks.join(_starts(maps, most, fan).select("machine_id", "block", "start.c0", "start.c1"), ["machine_id", "block"])
+    else:
+        blocks = blocks.withColumns({"c0": F.lit(0.0), "c1": F.lit(0.0)})
+    kind = readings.schema["t"].dataType.simpleString()
+    done = F.array().cast(f"array<struct<t:{kind},value:double,level:double,slope:double>>")
+
+    def step(s: Column, r: Column) -> Column:
+        level, slope = _read(s["level"], s["slope"], r)
+        return F.struct(level.alias("level"), slope.alias("slope"), F.array_append(s["out"], F.struct(r["t"].alias("t"), r["value"].alias("value"), level.alias("level"), slope.alias("slope"))).alias("out"))
+
+    states = F.aggregate("rows", F.struct(F.col("c0").alias("level"), F.col("c1").alias("slope"), done.alias("out")), step, lambda s: s["out"])
+    return blocks.select("machine_id", F.inline(states))
 
 
 def failure_eta(level: Column, slope: Column, threshold: float = FAILURE_LEVEL) -> Column:

@@ -7,12 +7,16 @@ of days, whatever the number of raw rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shiftscope.functions.numbers import ratio
+from shiftscope.session import cut_lineage
 
 HORIZON = 28
 TREES = 300
@@ -153,49 +157,67 @@ def seasonal_naive(train: DataFrame, horizon: int = HORIZON) -> DataFrame:
     return last.select("series", F.explode(steps).alias("step"), F.col("value").alias("prediction"))
 
 
-def _smooth(y: np.ndarray, a: np.ndarray, b: np.ndarray, g: np.ndarray, p: np.ndarray):
-    """Damped additive Holt-Winters for a whole grid of parameters at once."""
-    m = SEASON
-    level = np.full(a.shape, y[:m].mean())
-    slope = np.full(a.shape, (y[m : 2 * m].mean() - y[:m].mean()) / m)
-    season = np.repeat((y[:m] - y[:m].mean())[:, None], len(a), axis=1)
-    sse = np.zeros(a.shape)
-    for t, value in enumerate(y):
-        s, step = season[t % m].copy(), p * slope
-        err = value - (level + step + s)
-        sse += err * err
-        season[t % m] = s + g * (value - level - step - s)
-        fresh = level + step + a * err
-        slope = step + b * (fresh - level - step)
-        level = fresh
-    return sse, level, slope, season
-
-
-def _holt_winters(y: np.ndarray, horizon: int) -> np.ndarray:
-    axes = [np.linspace(0.05, 0.95, 7), np.linspace(0.0, 0.6, 4), np.linspace(0.0, 0.6, 5), np.array([0.8, 0.9, 0.98])]
-    best = None
-    for _ in range(2):  # a coarse grid, then a finer one around its best point
-        a, b, g, p = (v.ravel() for v in np.meshgrid(*axes, indexing="ij"))
-        sse, level, slope, season = _smooth(y, a, b, g, p)
-        i = int(np.argmin(sse))
-        best = (level[i], slope[i], season[:, i], p[i])
-        axes = [np.unique(np.clip(c + np.array([-w, -w / 2, 0, w / 2, w]), lo, hi)) for c, w, lo, hi in
-                ((a[i], 0.1, 0.01, 0.99), (b[i], 0.1, 0.0, 0.99), (g[i], 0.1, 0.0, 0.99), (p[i], 0.03, 0.8, 0.995))]
-    level, slope, season, damp = best
-    steps = np.arange(1, horizon + 1)
-    return level + slope * np.cumsum(damp**steps) + season[(len(y) + steps - 1) % SEASON]
+GRID = {  # coarse grid of level, slope and season rates and damping; the finer one spans half a step or so around its best point
+    "a": ([round(0.05 + 0.15 * i, 2) for i in range(7)], 0.1, 0.01, 0.99),
+    "b": ([0.0, 0.2, 0.4, 0.6], 0.1, 0.0, 0.99),
+    "g": ([0.0, 0.15, 0.3, 0.45, 0.6], 0.1, 0.0, 0.99),
+    "p": ([0.8, 0.9, 0.98], 0.03, 0.8, 0.995),
+}
+_SEASONS = [f"s{i}" for i in range(SEASON)]
 
 
-def holt_winters(train: DataFrame, horizon: int = HORIZON) -> DataFrame:
-    """Exponential smoothing with damped trend and weekly season, fitted per series by grid search."""
+def _smoothed(values: Column, a: Column, b: Column, g: Column, p: Column) -> Column:
+    """sse, level, slope and the next seven seasonal effects (s0 is next) after damped additive Holt-Winters over ``values``."""
+    first, second = (F.aggregate(F.slice(values, 1 + SEASON * i, SEASON), F.lit(0.0), lambda s, y: s + y) / SEASON for i in (0, 1))
+    start = F.struct(F.lit(0.0).alias("sse"), first.alias("level"), ((second - first) / SEASON).alias("slope"), *[(F.get(values, F.lit(i)) - first).alias(n) for i, n in enumerate(_SEASONS)])
+
+    def step(x: Column, y: Column) -> Column:
+        ahead = x["level"] + p * x["slope"]
+        miss = y - (ahead + x["s0"])
+        # the effect just used comes round again in a week
+        queue = [*[x[n] for n in _SEASONS[1:]], x["s0"] + g * miss]
+        return F.struct((x["sse"] + miss * miss).alias("sse"), (ahead + a * miss).alias("level"), (p * x["slope"] + b * (a * miss)).alias("slope"), *[q.alias(n) for q, n in zip(queue, _SEASONS)])
+
+    return F.aggregate(values, start, step)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("day")["value"].dropna().to_numpy(dtype=float)
-        # a series under two weeks has no forecast, which is a row without a value
-        ahead = _holt_winters(y, horizon) if len(y) >= 2 * SEASON else np.full(horizon, np.nan)
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "step": np.arange(1, horizon + 1), "prediction": ahead})
 
-    return train.select("series", "day", "value").groupBy("series").applyInPandas(one, "series string, step int, prediction double")
+def _best_fit(tried: DataFrame) -> DataFrame:
+    """The parameters of least squared error of every series (ties: the smallest), with the state they end in."""
+    names = list(GRID)
+    fit = _smoothed(F.col("values"), *[F.col(n) for n in names])
+    rows = tried.withColumn("fit", fit).select("series", F.struct(F.col("fit.sse").alias("sse"), *names).alias("by"), "fit")
+    return rows.groupBy("series").agg(F.min_by(F.struct("by", "fit"), "by").alias("best")).select("series", "best.*")
+
+
+def fitted_smoothing(train: DataFrame) -> DataFrame:
+    """(series, by: sse and the parameters a, b, g, p, fit: final state) of every series of two weeks and more.
+
+    The parameter grid is rows: all series and all parameters are smoothed side by side, each by one fold over its days. A series is one array.
+    """
+    known = train.where("value is not null").groupBy("series").agg(F.sort_array(F.collect_list(F.struct("day", "value"))).alias("rows"))
+    series = cut_lineage(known.where(F.size("rows") >= 2 * SEASON).select("series", F.col("rows.value").alias("values")))
+    tried = series
+    for name, (values, *_) in GRID.items():
+        tried = tried.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    coarse = cut_lineage(_best_fit(tried.repartition("series", *GRID)))
+    tried = series.join(coarse.select(F.col("series").alias("of"), "by"), F.col("series").eqNullSafe(F.col("of"))).drop("of")
+    for name, (_, w, low, high) in GRID.items():
+        near = [F.least(F.greatest(F.col(f"by.{name}") + w * k, F.lit(low)), F.lit(high)) for k in (-1.0, -0.5, 0.0, 0.5, 1.0)]
+        tried = tried.withColumn(name, F.explode(F.array_distinct(F.array(*near))))
+    return _best_fit(tried.drop("by").repartition("series", *GRID))
+
+
+def holt_winters(train: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """(series, step, prediction): exponential smoothing with damped trend and weekly season, fitted per series by grid search.
+
+    A series of under two weeks has no forecast, which is rows without a value.
+    """
+    fits = fitted_smoothing(train).select(F.col("series").alias("of"), "by", "fit")
+    rows = train.select("series").distinct().join(fits, F.col("series").eqNullSafe(F.col("of")), "left")
+    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    damped = F.aggregate(F.sequence(F.lit(1), F.col("step")), F.lit(0.0), lambda s, k: s + F.pow(F.col("by.p"), k))
+    season = F.get(F.array(*[F.col(f"fit.{n}") for n in _SEASONS]), (F.col("step") - 1) % SEASON)
+    return rows.select("series", "step", (F.col("fit.level") + F.col("fit.slope") * damped + season).alias("prediction"))
 
 
 def lag_features(series: DataFrame) -> DataFrame:
@@ -211,87 +233,56 @@ def lag_features(series: DataFrame) -> DataFrame:
 FEATURES = [*[f"lag_{k}" for k in LAGS], "rolling_28", "weekday", "month", "day_of_month"]
 
 
-def _grow(codes: np.ndarray, left: np.ndarray, depth: int, bins: int, least: int = 5) -> tuple[np.ndarray, list]:
-    """A regression tree on binned features as (values in the rows, splits of every level); splits minimise the squared error."""
-    node, splits, f = np.zeros(len(left), np.int64), [], codes.shape[1]
-    for level in range(depth):
-        width = 1 << level
-        slot = (node[:, None] * f + np.arange(f)) * bins + codes
-        n = np.bincount(slot.ravel(), minlength=width * f * bins).reshape(width, f, bins).cumsum(axis=2)
-        total = np.bincount(slot.ravel(), np.repeat(left, f), width * f * bins).reshape(width, f, bins).cumsum(axis=2)
-        rest_n, rest = n[:, :, -1:] - n, total[:, :, -1:] - total
-        gain = np.where((n >= least) & (rest_n >= least), total**2 / np.maximum(n, 1) + rest**2 / np.maximum(rest_n, 1), -np.inf)
-        best = gain.reshape(width, -1).argmax(axis=1)
-        split = np.where(np.isfinite(gain.reshape(width, -1).max(axis=1)), best, -1)
-        splits.append(split)
-        node = _descend(node, split, codes, bins)
-    n = np.bincount(node, minlength=1 << depth)
-    return np.bincount(node, left, 1 << depth) / np.maximum(n, 1), splits
-
-
-def _descend(node: np.ndarray, split: np.ndarray, codes: np.ndarray, bins: int) -> np.ndarray:
-    own = split[node]
-    right = np.where(own < 0, 0, codes[np.arange(len(node)), np.maximum(own, 0) // bins] > np.maximum(own, 0) % bins)
-    return 2 * node + right
-
-
-def _boosted(x: np.ndarray, y: np.ndarray, trees: int, depth: int = 3, rate: float = 0.05, bins: int = 32) -> Callable[[np.ndarray], np.ndarray]:
-    """Least-squares boosting on features cut into quantile bins."""
-    edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins)[1:-1])) for c in x.T]
-    code = lambda rows: np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, rows.T)], axis=1)
-    codes, base = code(x), y.mean()
-    fit, grown = np.full(len(y), base), []
-    for _ in range(trees):
-        leaf, splits = _grow(codes, y - fit, depth, bins)
-        node = np.zeros(len(y), np.int64)
-        for split in splits:
-            node = _descend(node, split, codes, bins)
-        fit += rate * leaf[node]
-        grown.append((leaf, splits))
-
-    def predict(rows: np.ndarray) -> np.ndarray:
-        codes, out = code(rows), np.full(len(rows), base)
-        for leaf, splits in grown:
-            node = np.zeros(len(rows), np.int64)
-            for split in splits:
-                node = _descend(node, split, codes, bins)
-            out += rate * leaf[node]
-        return out
-
-    return predict
-
-
-def _features(values: np.ndarray, days: pd.DatetimeIndex) -> np.ndarray:
-    """FEATURES of every day from the values before it."""
-    v = pd.Series(values)
-    lags = [v.shift(k) for k in LAGS]
-    month = v.shift(SEASON).rolling(28, min_periods=28).mean()
-    return np.stack([*lags, month, days.weekday, days.month, days.day], axis=1).astype(float)
-
-
-def gbt_forecast(train: DataFrame, horizon: int = HORIZON, trees: int = TREES) -> DataFrame:
+def _days_after(tail: list[tuple], predicted: list[float], count: int) -> list[tuple]:
+    """(day, value) of what is known, what is predicted, and ``count`` days without a value."""
+    last = tail[-1][0]
+    return [*tail, *[(last + timedelta(days=i + 1), v) for i, v in enumerate([*predicted, *[None] * count])]]
+
+
+def _forecast_one(spark: SparkSession, rows: DataFrame, tail: list[tuple], horizon: int, trees: int) -> list[float | None]:
+    """The forecast of one series from its feature rows and its last days."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip")
+    fit_on = assembler.transform(rows.where("value is not null")).select("features", F.col("value").alias("label")).coalesce(1).persist()
+    try:
+        if fit_on.count() < SEASON:
+            return [None] * horizon
+        model = GBTRegressor(maxIter=trees, stepSize=0.05, maxDepth=3, seed=0).fit(fit_on)
+    finally:
+        fit_on.unpersist()
+    ahead: list[float | None] = []
+    while len(ahead) < horizon:  # the shortest lag is a week, so a week is predicted at once and fed back
+        count = min(SEASON, horizon - len(ahead))
+        frame = spark.createDataFrame([("", *r) for r in _days_after(tail, ahead, count)], "series string, day date, value double").coalesce(1)
+        new = assembler.transform(lag_features(frame).orderBy(F.desc("day")).limit(count))
+        known = {r.day: r.prediction for r in model.transform(new).select("day", "prediction").collect()}
+        ahead += [known.get(tail[-1][0] + timedelta(days=len(ahead) + i + 1)) for i in range(count)]
+    return ahead
+
+
+def gbt_forecast(train: DataFrame, horizon: int = HORIZON, trees: int = TREES, parallel: int = 8) -> DataFrame:
     """Boosted trees on lag features, one model for each series, so no forecast knows days or levels of another.
 
-    The shortest lag is a week, so a week of days is predicted at once. A series whose days don't fill the features has NULL forecasts.
+    Models are trained by Spark ML, ``parallel`` of them at a time. A series whose days don't fill the features has NULL forecasts. The driver knows
+    the names of the series, their last 70 days and their forecasts: this is for series worth a model each, not for millions of them.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        days, y = pd.DatetimeIndex(pdf["day"]), pdf["value"].to_numpy(dtype=float)
-        x = _features(y, days)
-        sound = np.isfinite(x).all(axis=1) & np.isfinite(y)
-        ahead = np.full(horizon, np.nan)
-        if sound.sum() >= SEASON:
-            predict = _boosted(x[sound], y[sound], trees)
-            for first in range(0, horizon, SEASON):
-                count = min(SEASON, horizon - first)
-                more = pd.date_range(days[-1] + pd.Timedelta(days=1), periods=first + count)
-                rows = _features(np.concatenate([y, ahead[:first], np.full(count, np.nan)]), days.append(more))[-count:]
-                good = np.isfinite(rows).all(axis=1)
-                ahead[first : first + count][good] = predict(rows[good]) if good.any() else np.nan
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "step": np.arange(1, horizon + 1), "prediction": ahead})
-
-    return train.select("series", "day", "value").groupBy("series").applyInPandas(one, "series string, step int, prediction double")
+    spark = train.sparkSession
+    rows = cut_lineage(lag_features(train.select("series", "day", "value")))
+    newest = Window.partitionBy("series").orderBy(F.desc("day"))
+    last = rows.withColumn("age", F.row_number().over(newest)).where("age <= 70").select("series", "day", "value").orderBy("series", "day").collect()
+    tails: dict = {}
+    for r in last:
+        tails.setdefault(r.series, []).append((r.day, r.value))
+
+    def one(name) -> list[tuple]:
+        ahead = _forecast_one(spark, rows.where(F.col("series").eqNullSafe(F.lit(name))), tails[name], horizon, trees)
+        return [(name, i + 1, v) for i, v in enumerate(ahead)]
+
+    with ThreadPoolExecutor(parallel) as pool:
+        found = [r for part in pool.map(inheritable_thread_target(one), tails) for r in part]
+    return spark.createDataFrame(found, "series string, step int, prediction double")
 
 
 MODELS: dict[str, Callable[..., DataFrame]] = {

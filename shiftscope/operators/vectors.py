@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shiftscope.functions.hashing import hash_percent
 from shiftscope.functions.ordered import positions
 from shiftscope.functions.quantiles import exact_quantile
 from shiftscope.session import cut_lineage
 
-BANK_BLOCK = 20_000  # bank vectors held by a task at once
+BANK_BLOCK = 2048  # vectors of a block
+PIVOTS, STRIDE = 16, 8  # bank vectors that bound distances; blocks of the bank a task works off
+EASE = 1 + 1e-9  # bounds are this much wider than computed
 
 
 # ---------------------------------------------------------------- splits
@@ -93,41 +97,115 @@ def kcenter_coreset(
 
 
 # ---------------------------------------------------------------- nearest distance
-def _block_distance(key: str, vector: str, ids: np.ndarray, bank: np.ndarray):
-    square = (bank * bank).sum(axis=1)
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of a to the few rows of b, without cancellation."""
+    return np.stack([np.sqrt(((a - p) ** 2).sum(axis=1)) for p in b], axis=1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            q = np.stack(batch[vector].to_numpy()).astype(np.float64)
-            d = (q * q).sum(axis=1)[:, None] + square[None, :] - 2 * q @ bank.T
-            best = d.argmin(axis=1)
-            exact = np.sqrt(((q - bank[best]) ** 2).sum(axis=1))  # the winner again, without cancellation
-            yield pd.DataFrame({key: batch[key], "distance": exact, "nearest": ids[best]})
-
-    return run
 
+def packed(rows: DataFrame, id_: Column, vector: str, pivots: np.ndarray, block: int) -> DataFrame:
+    """(cell, number, low, high, data): blocks of at most about ``block`` vectors that share their nearest pivot.
 
-def nearest_distance(queries: DataFrame, bank: DataFrame, key: str, bank_key: str, vector: str, block: int = BANK_BLOCK) -> DataFrame:
-    """(key, distance, nearest): Euclidean distance to the closest bank vector.
+    ``low`` and ``high`` bound the block's distances to every pivot; ``data`` has ids, vectors and these distances.
+    """
 
-    A bank is a coreset, so it normally fits one block that every task receives. A larger bank is worked off in
-    blocks of bounded size, each in its own pass, and the smallest distance per query wins.
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                far = _distances(_rows(batch.column(1)), pivots)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far.argmin(axis=1).astype(np.int32))], ["id", "v", "cell"])
+
+    placed = cut_lineage(rows.select(id_.cast("bigint").alias("id"), F.col(vector).alias("v")).distinct().mapInArrow(place, T.StructType([T.StructField("id", T.LongType()), T.StructField("v", rows.schema[vector].dataType), T.StructField("cell", T.IntegerType())])))
+    number = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row for each pivot
+    placed = placed.join(F.broadcast(number), "cell").withColumn("number", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
+
+    def pack(key, table):
+        table = table.sort_by("id")
+        v = _rows(table["v"])
+        far = _distances(v, pivots)
+        data = pickle.dumps((table["id"].to_numpy(), v, far))
+        cells = [pa.array([int(k.as_py())], pa.int32()) for k in key]
+        return pa.table([*cells, pa.array([far.min(axis=0).tolist()]), pa.array([far.max(axis=0).tolist()]), pa.array([data], pa.binary())], ["cell", "number", "low", "high", "data"])
+
+    return cut_lineage(placed.select("cell", "number", "id", "v").groupBy("cell", "number").applyInArrow(pack, "cell int, number int, low array<double>, high array<double>, data binary"))
+
+
+def _rows(column) -> np.ndarray:
+    """A list column as a matrix of doubles."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+
+def pivots_of(bank: DataFrame, bank_key: str, vector: str, count: int) -> np.ndarray:
+    """Bank vectors picked by hash."""
+    chosen = bank.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(vector, bank_key)).select(vector).limit(count).collect()
+    return np.array([r[0] for r in chosen], float)
+
+
+def met_blocks(asked: DataFrame, held: DataFrame, pivots: int) -> DataFrame:
+    """(q_cell, q_number, b_cell, b_number, least): pairs of packed blocks of which one may hold a nearest neighbour of the other."""
+    spark = asked.sparkSession
+    # which cells can hold a neighbour of which: a row for each pair of pivots at most
+    bounds = [f(F.col(c)[i]).alias(f"{c}{i}") for i in range(pivots) for c, f in (("low", F.min), ("high", F.max))]
+    cells = [side.groupBy("cell").agg(*bounds).collect() for side in (asked, held)]
+    gap = lambda q, b: max(max(q[f"low{i}"] - b[f"high{i}"], b[f"low{i}"] - q[f"high{i}"], 0.0) for i in range(pivots))
+    meets = [(q.cell, b.cell) for q in cells[0] for b in cells[1] if gap(q, b) <= min(q[f"high{i}"] for i in range(pivots)) * EASE]
+    meets = spark.createDataFrame(meets, "q_cell int, b_cell int")
+    ends = lambda side, name: side.select(*[F.col(c).alias(f"{name}_{c}") for c in ("cell", "number", "low", "high")])
+    gaps = F.zip_with(F.zip_with("q_low", "b_high", lambda x, y: x - y), F.zip_with("b_low", "q_high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    pairs = ends(asked, "q").join(F.broadcast(meets), "q_cell").join(ends(held, "b"), "b_cell").withColumn("least", F.array_max(gaps))
+    return pairs.where(F.col("least") <= F.array_min("q_high") * EASE).select("q_cell", "q_number", "b_cell", "b_number", "least")
+
+
+def nearest_distance(queries: DataFrame, bank: DataFrame, key: str, bank_key: str, vector: str, block: int = BANK_BLOCK, pivots: int = PIVOTS, stride: int = STRIDE) -> DataFrame:
+    """(key, distance, nearest): Euclidean distance to the closest bank vector, ties to the smaller id.
+
+    Queries and bank are packed in blocks around a few pivots, which are bank vectors. A query is no farther from its nearest neighbour than from
+    the nearest pivot, and by the triangle inequality two blocks are no nearer than their distances to any pivot differ, so
+    most pairs of blocks never meet. The blocks of the bank that a block of queries still has to see are worked off in strides, each a
+    task, nearest first and with the same bound for single vectors. Any size of bank takes one job; the driver sees the pivots only.
+    A key that is given twice is one query.
     """
-    numbered = positions(bank.select(F.col(bank_key).cast("bigint").alias("_id"), F.col(vector).alias("_v")), [], "_id", out="_p")
-    n = bank.count()
-    schema = f"{key} bigint, distance double, nearest bigint"
-    out = None
-    for start in range(0, n, block):
-        rows = numbered.where((F.col("_p") > start) & (F.col("_p") <= start + block)).orderBy("_p").toPandas()
-        run = _block_distance(key, vector, rows["_id"].to_numpy(), np.stack(rows["_v"].to_numpy()).astype(np.float64))
-        part = queries.select(key, vector).mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if n <= block:
-        return out
-    best = out.groupBy(key).agg(F.min(F.struct("distance", "nearest")).alias("b"))
-    return best.select(key, "b.distance", "b.nearest")
+    points = pivots_of(bank, bank_key, vector, pivots)
+    if not len(points):
+        return queries.limit(0).select(key, F.lit(0.0).alias("distance"), F.lit(0).cast("bigint").alias("nearest"))
+    asked = packed(queries.where(F.col(vector).isNotNull()), F.col(key), vector, points, block)
+    held = packed(bank.where(F.col(vector).isNotNull()), F.col(bank_key), vector, points, block)
+    # near ones spread over the strides, so that every task soon has a good bound
+    order = Window.partitionBy("q_cell", "q_number").orderBy("least", "b_cell", "b_number")
+    pairs = met_blocks(asked, held, len(points)).withColumn("place", F.row_number().over(order))
+    pairs = pairs.withColumn("strides", F.ceil(F.count("*").over(Window.partitionBy("q_cell", "q_number")) / stride))
+    pairs = cut_lineage(pairs.withColumn("stride", (F.col("place") % F.col("strides")).cast("int")).drop("place", "strides"))
+    here = ["q_cell", "q_number", "stride"]
+    left = pairs.join(held.select(F.col("cell").alias("b_cell"), F.col("number").alias("b_number"), "data"), ["b_cell", "b_number"]).select(*here, "least", "data")
+    right = pairs.select(*here).distinct().join(asked.select(F.col("cell").alias("q_cell"), F.col("number").alias("q_number"), "data"), ["q_cell", "q_number"]).select(*[F.col(c).alias(f"of_{c}") for c in here], "data")
+
+    def search(banks, questions):
+        ids, v, far = pickle.loads(questions["data"][0].as_py())
+        best, name = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
+        for k in np.argsort(banks["least"].to_numpy(), kind="stable"):
+            other, w, away = pickle.loads(banks["data"][int(k)].as_py())
+            bound = np.minimum(best, far.min(axis=1)) * EASE
+            reach = np.maximum(far - away.max(axis=0), away.min(axis=0) - far).max(axis=1)
+            open_ = np.flatnonzero(reach <= bound)
+            if not len(open_):
+                continue
+            q = v[open_]
+            length, width = (q * q).sum(axis=1), (w * w).sum(axis=1)
+            square = length[:, None] + width[None, :] - 2 * q @ w.T
+            # what rounding leaves in doubt is computed again without cancellation
+            row, col = np.nonzero(square <= (square.min(axis=1) + 1e-9 * (length + width.max()))[:, None])
+            exact = np.sqrt(((w[col] - q[row]) ** 2).sum(axis=1))
+            order = np.lexsort((other[col], exact, row))
+            first = order[np.unique(row[order], return_index=True)[1]]
+            at, new = open_[row[first]], other[col[first]]
+            better = (exact[first] < best[at]) | ((exact[first] == best[at]) & (new < name[at]))
+            best[at[better]], name[at[better]] = exact[first][better], new[better]
+        found = np.flatnonzero(np.isfinite(best))
+        return pa.table({"id": ids[found], "distance": best[found], "nearest": name[found]})
+
+    met = left.groupBy(*here).cogroup(right.groupBy(*[f"of_{c}" for c in here])).applyInArrow(search, "id bigint, distance double, nearest bigint")
+    best = met.groupBy("id").agg(F.min(F.struct("distance", "nearest")).alias("b"))
+    return best.select(F.col("id").cast(queries.schema[key].dataType).alias(key), "b.distance", "b.nearest")
 
 
 # ---------------------------------------------------------------- scores

@@ -5,33 +5,49 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from shiftscope.operators.events import new_events, tracked_status
 from shiftscope.sources.webhooks import PAYMENT_PROVIDER
+from shiftscope.streaming.keyed import PLACE, ROCKSDB, ROWS, in_order
 
+#: Parts of the landed table; a batch with few events reads few of them.
+BUCKETS = 64
 LANDED_SCHEMA = "arrival bigint, provider string, event_id string, event_type string, order_id string, occurred_at timestamp, amount bigint"
 
 
-def land_events(events: DataFrame, landed: str, checkpoint: str) -> StreamingQuery:
+def bucket_of(buckets: int) -> Column:
+    """The part of the landed table an event belongs to."""
+    return F.pmod(F.xxhash64("provider", "event_id"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def land_events(events: DataFrame, landed: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Append events that were never landed before, however old the first delivery is.
 
-    Each micro-batch is reduced to first deliveries and anti-joined with the landed table (without its own earlier
-    attempt), then written to its own sub-folder: restarting a batch replaces it.
+    The table is partitioned by a hash of (provider, event_id). A micro-batch asks which buckets it touches, at most ``buckets`` numbers, and
+    reads the ids of these only. It is written below its own number (batch=N/bucket=B), so restarting a batch replaces it, and its own
+    earlier attempt is not looked at. The number of buckets is fixed for the life of a table.
     """
     spark = events.sparkSession
 
     def save(batch: DataFrame, number: int) -> None:
-        seen = _landed(spark, landed).where(F.col("batch") != number)
-        new_events(batch, seen).write.mode("overwrite").parquet(f"{landed}/batch={number}")
+        placed = batch.withColumn("bucket", bucket_of(buckets)).persist()
+        try:
+            touched = [r.bucket for r in placed.select("bucket").distinct().collect()]
+            seen = landed_events(spark, landed).where(F.col("bucket").isin(touched) & (F.col("batch") != number))
+            fresh = new_events(placed, seen.select("provider", "event_id"))
+            # at most a file for each bucket that is touched
+            fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{landed}/batch={number}")
+        finally:
+            placed.unpersist()
 
     return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
 
 
-def _landed(spark: SparkSession, path: str) -> DataFrame:
-    schema = f"{LANDED_SCHEMA}, batch bigint"
+def landed_events(spark: SparkSession, path: str) -> DataFrame:
+    """The landed table with its columns batch and bucket; empty where there is none yet."""
+    schema = f"{LANDED_SCHEMA}, batch bigint, bucket int"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], schema)
@@ -53,33 +69,48 @@ def _stamp(micros: int | None):
     return pd.NaT if micros is None else pd.Timestamp(micros, unit="us")
 
 
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pay, pay_at, amount, ship, ship_at = state.get if state.exists else ("", None, None, "", None)
-    rows = pd.concat(list(frames)).sort_values("seq")  # one order within one micro-batch
-    for side, status, value, at in zip(rows["side"], rows["status"], rows["amount"], rows["at"]):
-        if status is None or status != status:
-            continue
-        at = None if at != at or at is None else int(at)
-        known = pay_at if side == "payment" else ship_at
-        if known is not None and at is not None and at <= known:
-            continue
-        if side == "payment":
-            pay, pay_at, amount = status, at, None if value != value or value is None else int(value)
-        else:
-            ship, ship_at = status, at
-    state.update((pay, pay_at, amount, ship, ship_at))
-    yield pd.DataFrame(
-        {
-            "order_id": [key[0]], "payment_status": [pay], "shipment_status": [ship], "amount": pd.array([amount], dtype="Int64"),
-            "payment_updated_at": [_stamp(pay_at)], "shipment_updated_at": [_stamp(ship_at)],
-        }
-    )
+def _known(value) -> int | None:
+    return None if value is None or value != value else int(value)
+
+
+class OrderFold(StatefulProcessor):
+    """Payment and shipment state of an order; an event applies unless it is older than or as old as the state of its side."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("order", _STATE)
+        self.staged = handle.getMapState("staged", PLACE, ROWS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pay, pay_at, amount, ship, ship_at = self.state.get() or ("", None, None, "", None)
+        for frame in in_order(rows, "seq", self.staged):
+            for side, status, value, at in zip(frame["side"], frame["status"], frame["amount"], frame["at"]):
+                if status is None or status != status:
+                    continue
+                at = _known(at)
+                current = pay_at if side == "payment" else ship_at
+                if current is not None and at is not None and at <= current:
+                    continue
+                if side == "payment":
+                    pay, pay_at, amount = status, at, _known(value)
+                else:
+                    ship, ship_at = status, at
+        self.state.update((pay, pay_at, amount, ship, ship_at))
+        yield pd.DataFrame(
+            {
+                "order_id": [key[0]], "payment_status": [pay], "shipment_status": [ship], "amount": pd.array([amount], dtype="Int64"),
+                "payment_updated_at": [_stamp(pay_at)], "shipment_updated_at": [_stamp(ship_at)],
+            }
+        )
+
+    def close(self) -> None:
+        pass
 
 
 def order_state_stream(events: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """Order state kept per key across micro-batches; emits the new state of every order a batch touches."""
+    """Order state kept per key across micro-batches, in RocksDB; emits the new state of every order a batch touches."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = events.where(F.col("order_id") != "").select(
         "order_id", F.when(F.col("provider") == PAYMENT_PROVIDER, "payment").otherwise("shipment").alias("side"), tracked_status().alias("status"),
         "amount", F.unix_micros("occurred_at").alias("at"), F.col(arrival).alias("seq"),
     )
-    return rows.groupBy("order_id").applyInPandasWithState(_fold, _OUTPUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("order_id").transformWithStateInPandas(OrderFold(), _OUTPUT, "Update", "None")

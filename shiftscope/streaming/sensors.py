@@ -7,38 +7,60 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shiftscope.operators.sensors import FAILURE_LEVEL, START_VAR, WARM_UP, WARN_WITHIN, gain_step
+from shiftscope.streaming.keyed import PLACE, ROCKSDB, ROWS, in_order
 
-_STATE = "seen boolean, level double, slope double, p00 double, p01 double, p11 double, alerted boolean"
+_STATE = "level double, slope double, p00 double, p01 double, p11 double, alerted boolean"
 _OUTPUT = "machine_id string, t bigint, value double, level double, slope double, eta double, alert boolean"
 
 
-def monitor_stream(readings: DataFrame, threshold: float = FAILURE_LEVEL, within: int = WARN_WITHIN, warm_up: int = WARM_UP) -> DataFrame:
-    """Every reading with level, slope and steps to failure; ``alert`` is true once per machine."""
+class Monitor(StatefulProcessor):
+    """Level, slope, covariance and whether an alert was given, per machine."""
+
+    def __init__(self, threshold: float, within: int, warm_up: int):
+        self.threshold, self.within, self.warm_up = threshold, within, warm_up
 
-    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, level, slope, *p, alerted = state.get if state.exists else (False, 0.0, 0.0, START_VAR, 0.0, START_VAR, False)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("filter", _STATE)
+        self.staged = handle.getMapState("staged", PLACE, ROWS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.state.get()
+        level, slope, *p, alerted = known if known else (None, 0.0, START_VAR, 0.0, START_VAR, False)
         p = tuple(p)
-        rows = pd.concat(list(frames)).sort_values("t")  # one machine within one micro-batch
-        out = np.empty((len(rows), 3))
-        alerts = np.zeros(len(rows), dtype=bool)
-        for i, (t, z) in enumerate(zip(rows["t"], rows["value"])):
-            if seen:
-                p, k0, k1 = gain_step(p)
-                level += slope
-                miss = z - level
-                level, slope = level + k0 * miss, slope + k1 * miss
-            else:
-                seen, level, slope = True, float(z), 0.0
-            eta = 0.0 if level >= threshold else (threshold - level) / slope if slope > 0 else np.nan
-            if not alerted and eta <= within and t > warm_up:
-                alerted = alerts[i] = True
-            out[i] = level, slope, eta
-        state.update((bool(seen), float(level), float(slope), *map(float, p), bool(alerted)))
-        yield pd.DataFrame({"machine_id": key[0], "t": rows["t"].to_numpy(), "value": rows["value"].to_numpy(),
-                            "level": out[:, 0], "slope": out[:, 1], "eta": out[:, 2], "alert": alerts})
+        for frame in in_order(rows, "t", self.staged):
+            out, alerts = np.empty((len(frame), 3)), np.zeros(len(frame), dtype=bool)
+            for i, (t, z) in enumerate(zip(frame["t"].tolist(), frame["value"].tolist())):
+                if level is None:
+                    level = z
+                else:
+                    p, k0, k1 = gain_step(p)
+                    level += slope
+                    miss = z - level
+                    level, slope = level + k0 * miss, slope + k1 * miss
+                eta = 0.0 if level >= self.threshold else (self.threshold - level) / slope if slope > 0 else np.nan
+                if not alerted and eta <= self.within and t > self.warm_up:
+                    alerted = alerts[i] = True
+                out[i] = level, slope, eta
+            yield pd.DataFrame({"machine_id": key[0], "t": frame["t"].to_numpy(), "value": frame["value"].to_numpy(),
+                                "level": out[:, 0], "slope": out[:, 1], "eta": out[:, 2], "alert": alerts})
+        if level is not None:
+            self.state.update((float(level), float(slope), *map(float, p), bool(alerted)))
+
+    def close(self) -> None:
+        pass
 
+
+def monitor_stream(readings: DataFrame, threshold: float = FAILURE_LEVEL, within: int = WARN_WITHIN, warm_up: int = WARM_UP) -> DataFrame:
+    """Every reading with level, slope and steps to failure; ``alert`` is true once per machine. State is kept in RocksDB."""
+    readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = readings.selectExpr("cast(machine_id as string) machine_id", "cast(t as bigint) t", "cast(value as double) value")
-    return rows.groupBy("machine_id").applyInPandasWithState(follow, _OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("machine_id").transformWithStateInPandas(Monitor(threshold, within, warm_up), _OUTPUT, "Append", "None")
+
+
+def alert_stream(readings: DataFrame, threshold: float = FAILURE_LEVEL, within: int = WARN_WITHIN, warm_up: int = WARM_UP) -> DataFrame:
+    """The first warning of each machine as it comes: at_step, smoothed level, slope and predicted steps to failure."""
+    rows = monitor_stream(readings, threshold, within, warm_up).where("alert")
+    return rows.selectExpr("machine_id", "t as at_step", "round(level, 2) as smoothed_level", "round(slope, 4) as slope_per_step", "round(eta, 1) as predicted_steps_to_failure")

@@ -1,10 +1,14 @@
+import hashlib
 import math
+import random
 import re
 from collections import Counter
+from datetime import date, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from shiftscope.operators import grounding as G, retrieval as R, text as X
+from shiftscope.operators import grounding as G, retrieval as R, search as SX, text as X
 from shiftscope.sources import corpus
 
 
@@ -101,14 +105,68 @@ def test_bm25_equals_the_formula(spark):
         assert abs(got.get(i, 0.0) - want) < 1e-9
 
 
-def test_hybrid_search_is_the_same_in_any_batch_size(spark):
+def test_hybrid_search_is_the_same_in_any_block_size(spark):
     index, asked = _index(spark, DOCS * 30), _asked(spark, ["late deliveries", "payments twice", "boleto outage", "seller guide"])
-    runs = [sorted(map(tuple, R.hybrid_search(index, asked, k=2, batch=b).collect())) for b in (256, 3)]
+    runs = [sorted(map(tuple, SX.hybrid_search(index, asked, k=2, block=b, shard=n).collect())) for b, n in ((256, 16384), (3, 40))]
     assert runs[0] == runs[1] and len(runs[0]) == 8
     best = {q: d for q, place, d, *_ in runs[0] if place == 1}
     assert best[1] % 6 == 0 and best[2] % 6 == 2 and best[3] % 6 == 3
 
 
+def _fused(texts, days, query, window, k):
+    """Both rankings in full, candidates of the window only."""
+    inside = [i for i, d in enumerate(days) if d is None or window is None or window[0] <= d <= window[1]]
+    own = [texts[i] for i in inside]
+    bag = lambda t: np.bincount([int(hashlib.md5(w.encode()).hexdigest(), 16) % 256 for w in re.findall("[a-z0-9]+", t)], minlength=256)
+    q = bag(query)
+    cosine = [round(float(bag(t) @ q / ((np.linalg.norm(bag(t)) * np.linalg.norm(q)) or 1)), 9) for t in own]
+    keyword = [round(s, 9) for s in _bm25(own, query)]
+    rank = lambda scores: {i: r + 1 for r, i in enumerate(sorted(range(len(own)), key=lambda i: (-scores[i], i)))}
+    a, b = rank(keyword), rank(cosine)
+    best = sorted(range(len(own)), key=lambda i: (-(1 / (60 + a[i]) + 1 / (60 + b[i])), i))[:k]
+    return [(inside[i], round(1 / (60 + a[i]) + 1 / (60 + b[i]), 4)) for i in best]
+
+
+def test_search_equals_both_rankings_in_full(spark):
+    """Common words with negative raw idf, words nobody has, windows without chunks, ties and undated chunks."""
+    pick = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(pick.choices(words, weights=[1 / (i + 1) for i in range(60)], k=pick.randint(1, 30))) for _ in range(700)] + ["common alike"] * 40
+    days = [None if i % 9 == 0 else date(2020, 1, 1) + timedelta(days=i * 37 % 200) for i in range(len(texts))]
+    queries = [("w0 w1", None), ("w50 w58 w59", None), ("w0 w45 nothing", (date(2020, 2, 1), date(2020, 3, 1))), ("common", (date(2020, 1, 20), date(2020, 6, 1))),
+               ("nothing at all", None), ("w3 w3 w40", (date(2030, 1, 1), date(2030, 2, 1))), ("", (date(2020, 1, 1), date(2020, 1, 2)))]
+    rows = spark.createDataFrame([(i, 0, t, d) for i, (t, d) in enumerate(zip(texts, days))], "doc_id bigint, chunk_no int, text string, doc_date date")
+    asked = spark.createDataFrame([(i, q, *(w or (None, None))) for i, (q, w) in enumerate(queries)], "query_id bigint, text string, first_day date, last_day date")
+    found = {}
+    for r in SX.hybrid_search(R.index_columns(rows), R.index_columns(asked), k=4, block=3, shard=100).orderBy("query_id", "place").collect():
+        found.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    for i, (q, w) in enumerate(queries):
+        want = _fused(texts, days, q, w, 4)
+        assert [d for d, _ in found[i]] == [d for d, _ in want] and all(abs(a - b) < 1.1e-4 for (_, a), (_, b) in zip(found[i], want))
+
+
+def test_few_postings_are_read(spark):
+    """Blocks that can't reach the leaders are never opened, and the leaders are those of a full scan."""
+    rng = np.random.default_rng(3)
+    n = 6400
+    length = rng.integers(20, 200, n).astype(float)
+    blocks, weights = [], np.array([[2.0], [0.7], [4.0]])
+    tf = [np.where(rng.random(n) < p, rng.geometric(0.6, n), 0) for p in (0.5, 0.9, 0.01)]
+    tf[2][100:130] += 5
+    for t in range(3):
+        own = []
+        for b in range(n // SX.BLOCK):
+            at = np.flatnonzero(tf[t][b * SX.BLOCK : (b + 1) * SX.BLOCK]) + b * SX.BLOCK
+            if len(at):
+                own.append({"block": b, "most": int(tf[t][at].max()), "short": float(length[at].min()), "no": at.tolist(), "tf": tf[t][at].tolist()})
+        blocks.append((t, own))
+    asked = {"ids": np.array([1]), "window": np.array([0]), "first": np.array([-np.inf]), "last": np.array([np.inf]), "weights": weights, "mean": np.array([length.mean()])}
+    found, read, there = SX.best_by_keyword(blocks, np.full(n, np.nan), length, asked, 20)
+    score = sum(weights[t, 0] * SX._impact(tf[t].astype(float), length, length.mean()) for t in range(3))
+    order = np.lexsort((np.arange(n), -np.round(score, 9)))[:20]
+    assert found[0][1].tolist() == order.tolist() and read < 0.7 * there
+
+
 def test_corpus_folder(spark, tmp_path):
     (tmp_path / "late_notice.md").write_text("---\ntitle: Late notice\ntype: incident\ndate: 2018-06-03\n---\n\nCarrier lost drivers.\n\nMore text.\n")
     (tmp_path / "plain_note.md").write_text("No header here.\n")

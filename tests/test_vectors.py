@@ -19,13 +19,30 @@ def test_coreset_keeps_rare_points_and_all_clusters(spark):
     assert 1200 in ids and all(any(300 * c <= i < 300 * c + 300 for i in ids) for c in range(4))
 
 
-def test_nearest_distance_in_blocks(spark):
+@pytest.mark.parametrize("spread", [0.0, 30.0])
+def test_nearest_distance_in_blocks(spark, spread):
+    """Clusters that pivots tell apart and a cloud that they don't, with ties, zero distances and a repeated query."""
     rng = np.random.default_rng(1)
-    q, b = rng.normal(size=(50, 6)).astype("float32"), rng.normal(size=(70, 6)).astype("float32")
-    want = np.sqrt(((q[:, None] - b[None]) ** 2).sum(-1)).min(1)
-    for block in (1000, 32):
-        got = V.nearest_distance(_frame(spark, q), _frame(spark, b), "id", "id", "v", block=block).orderBy("id").toPandas()
-        assert np.allclose(got["distance"], want, atol=1e-5)
+    centre = rng.normal(size=(8, 6)) * spread
+    q, b = (rng.normal(size=(n, 6)) + centre[rng.integers(0, 8, n)] for n in (150, 270))
+    q[:5], b[100:140] = b[:5], b[100]
+    far = np.sqrt(((q[:, None].astype("float32").astype(float) - b[None].astype("float32").astype(float)) ** 2).sum(-1))
+    for block, stride in ((1000, 8), (16, 2)):
+        rows = _frame(spark, q).unionByName(_frame(spark, q[:1]))
+        got = V.nearest_distance(rows, _frame(spark, b), "id", "id", "v", block=block, stride=stride, pivots=6).orderBy("id").toPandas()
+        assert got["id"].tolist() == list(range(150)) and np.allclose(got["distance"], far.min(1), atol=1e-12) and got["nearest"].tolist() == far.argmin(1).tolist()
+    assert V.nearest_distance(rows, _frame(spark, b).limit(0), "id", "id", "v").count() == 0
+
+
+def test_far_blocks_never_meet(spark):
+    """With clusters far apart, far fewer pairs of blocks are compared than there are."""
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(0, 1, (60, 4)) + c for c in (np.eye(4) * 1000)])
+    out = V.nearest_distance(_frame(spark, v), _frame(spark, v + 0.01), "id", "id", "v", block=10, pivots=8)
+    assert out.agg(F.max("distance")).first()[0] < 0.021
+    met = V.met_blocks(*[V.packed(_frame(spark, x), F.col("id"), "v", V.pivots_of(_frame(spark, v), "id", "v", 8), 10) for x in (v, v)], 8)
+    pairs = met.count()
+    assert 24 <= pairs < 24 * 24 / 3
 
 
 def _greedy(boxes, t):
