@@ -2,7 +2,7 @@
 
 Card numbers (Luhn), IPv4 addresses, calendar dates, social security and phone numbers are permuted within their format by a keyed
 Feistel network: two halves, each in turn shifted by a keyed hash of the other, modulo its own range. That is a bijection of the format,
-so equal values stay linked across documents and different ones never meet. Left alone: dates other than yyyy-mm-dd standing free (a time after a T, 05/01/2024, 5 January 2024), and phone
+so equal values stay linked across documents and different ones never meet; valid numbers become valid ones. Left alone: dates other than yyyy-mm-dd standing free (a time after a T, 05/01/2024, 5 January 2024), and phone
 numbers other than ten digits as 3-3-4 with separators, a country code before them or not. Mail addresses get a keyed digest. The key is a
 parameter; who has it can undo the permutations.
 """
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from shiftscope.llm.common import unused
+
 ROUNDS = 10
 #: What is looked for. Every branch starts at a boundary and runs forward only, so a very long word is passed once.
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
@@ -50,6 +52,22 @@ def _digits(d: str, tag: str, key: str) -> str:
     return _let(moved, "f", f"concat(lpad(f.a, {half}, '0'), lpad(f.b, {n} - {half}, '0'))")
 
 
+def _social(d: str, key: str) -> str:
+    """Nine digits permuted among valid ones: areas 001 to 899 but 666, groups from 01, serials from 0001."""
+    area, group, serial = (f"cast(substr({d}, {a}, {n}) as bigint)" for a, n in ((1, 3), (4, 2), (6, 4)))
+    moved = _permuted(f"if({area} > 666, {area} - 2, {area} - 1)", f"({group} - 1) * 9999 + {serial} - 1", "898", str(99 * 9999), "'social'", key)
+    return _let(moved, "f", "concat(lpad(if(f.a < 665, f.a + 1, f.a + 2), 3, '0'), lpad(f.b div 9999 + 1, 2, '0'), lpad(f.b % 9999 + 1, 4, '0'))")
+
+
+def _phone(d: str, key: str) -> str:
+    """Ten digits permuted among those whose area and exchange codes start alike with 0 or 1, or with 2 to 9: only the latter are given out."""
+    area, exchange, line = (f"cast(substr({d}, {a}, {n}) as bigint)" for a, n in ((1, 3), (4, 3), (7, 4)))
+    first = lambda code: f"if({code} < 200, 0, 200)"
+    many = lambda code: f"if({code} < 200, 200, 800)"
+    moved = _permuted(f"{area} - {first(area)}", f"({exchange} - {first(exchange)}) * 10000 + {line}", many(area), f"({many(exchange)} * 10000)", "'phone'", key)
+    return _let(moved, "f", f"concat(lpad(f.a + {first(area)}, 3, '0'), lpad(f.b div 10000 + {first(exchange)}, 3, '0'), lpad(f.b % 10000, 4, '0'))")
+
+
 def _luhn(d: str) -> str:
     """Luhn sum of a string of digits."""
     digit = f"cast(substr({d}, length({d}) - i, 1) as int)"
@@ -84,8 +102,8 @@ def _pseudonym(x: str, key: str) -> str:
     date = _let(_permuted(f"{day} div {DAYS[1]}", f"{day} % {DAYS[1]}", str(DAYS[0]), str(DAYS[1]), "'date'", key), "f", f"date_format(date_add(date'1700-01-01', cast(f.a * {DAYS[1]} + f.b as int)), 'yyyy-MM-dd')")
     digits = f"regexp_replace({x}, '[^0-9]', '')"
     card = _let(digits, "d", _let(_digits("substr(d, 1, length(d) - 1)", "card", key), "c", _laid_out(x, "concat(c, cast((10 - " + _luhn("concat(c, '0')") + " % 10) % 10 as string))")))
-    social = _let(_digits(digits, "social", key), "c", _laid_out(x, "c"))
-    phone = _let(digits, "d", _let(_digits("substr(d, length(d) - 9)", "phone", key), "c", _laid_out(x, "concat(substr(d, 1, length(d) - 10), c)")))
+    social = _let(digits, "d", _let(_social("d", key), "c", _laid_out(x, "c")))
+    phone = _let(digits, "d", _let(_phone("substr(d, length(d) - 9)", key), "c", _laid_out(x, "concat(substr(d, 1, length(d) - 10), c)")))
     kinds = {"mail": mail, "address": address, "date": date, "social": social, "card": card, "phone": phone}
     return "case k " + " ".join(f"when '{k}' then {v}" for k, v in kinds.items()) + f" else {x} end"
 
@@ -98,12 +116,12 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", counts_col:
     """
     if not key:
         raise ValueError("a key is needed")
-    text = F.col(f"`{text_col}`")
+    text, at, between = F.col(f"`{text_col}`"), unused(docs, "pii_at"), unused(docs, "pii_between")
     worth = text.rlike("[0-9@]")
-    split = docs.withColumn("__pii_at", F.when(worth, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))).withColumn("__pii_between", F.when(F.size("__pii_at") > 0, F.split(text, PATTERN, -1)))
-    values = split.withColumn("__pii_at", F.expr(f"transform(__pii_at, x -> named_struct('x', x, 'k', {_found('x')}))"))
-    new = F.expr(f"concat(__pii_between[0], array_join(zip_with(__pii_at, slice(__pii_between, 2, size(__pii_between) - 1), (v, t) -> concat({_let('v.k', 'k', _let('v.x', 'x', _pseudonym('x', key)))}, t)), ''))")
-    kinds = F.array(*[F.struct(F.lit(k).alias("key"), F.expr(f"coalesce(size(filter(__pii_at, v -> v.k = '{k}')), 0)").alias("value")) for k in sorted(KINDS)])
+    split = docs.withColumn(at, F.when(worth, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))).withColumn(between, F.when(F.size(at) > 0, F.split(text, PATTERN, -1)))
+    values = split.withColumn(at, F.expr(f"transform({at}, x -> named_struct('x', x, 'k', {_found('x')}))"))
+    new = F.expr(f"concat({between}[0], array_join(zip_with({at}, slice({between}, 2, size({between}) - 1), (v, t) -> concat({_let('v.k', 'k', _let('v.x', 'x', _pseudonym('x', key)))}, t)), ''))")
+    kinds = F.array(*[F.struct(F.lit(k).alias("key"), F.expr(f"coalesce(size(filter({at}, v -> v.k = '{k}')), 0)").alias("value")) for k in sorted(KINDS)])
     counts = F.map_from_entries(F.filter(kinds, lambda e: e["value"] > 0))
-    done = values.withColumn(text_col, F.when(F.size("__pii_at") > 0, new).otherwise(text))
-    return (done.withColumn(counts_col, counts) if counts_col else done).drop("__pii_at", "__pii_between")
+    done = values.withColumn(text_col, F.when(F.size(at) > 0, new).otherwise(text))
+    return (done.withColumn(counts_col, counts) if counts_col else done).drop(at, between)

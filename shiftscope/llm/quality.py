@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shiftscope.llm.common import saved, slices
+from shiftscope.llm.common import saved, slices, unused
 
 KEEP = 0.5
 ROUNDS = 200
@@ -136,6 +136,7 @@ def judged(docs: DataFrame, rules: dict[str, tuple[str, float, float]] | None =
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they were, whatever their names."""
-    kept = judged(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
-    rows = docs.withColumn("__text", F.xxhash64(text_col))
-    return rows.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__row")), "left_semi").drop("__text")
+    id_, row, text = (unused(docs, n) for n in ("kept_id", "kept_row", "kept_text"))
+    kept = judged(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias(id_), F.col("row").alias(row))
+    rows = docs.withColumn(text, F.xxhash64(F.col(f"`{text_col}`")))
+    return rows.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_)) & (F.col(text) == F.col(row)), "left_semi").drop(text)

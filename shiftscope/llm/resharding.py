@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 BLOCKS = 8192
 #: Rows of a cell, at least, before a block is cut.
@@ -117,23 +119,55 @@ def reshard(docs: DataFrame, new: int = 8, old: int = 5, old_shard: str | None =
     files = max(-(-max(share) // FILE_BYTES), -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // new))
     placed = rows.join(F.broadcast(plan), ["block", "cell"]).withColumn("file", F.pmod(F.xxhash64("block", "cell"), F.lit(files)).cast("int"))
     order = Window.partitionBy("shard", "file", "block", "cell").orderBy("doc_id", F.xxhash64("text"))
-    placed = placed.repartition("shard", "file").withColumn("slot", F.col("first") + F.row_number().over(order) - 1)
+    placed = placed.repartition(new * files, "shard", "file").withColumn("slot", F.col("first") + F.row_number().over(order) - 1)
     return placed.select("doc_id", "text", "size", "old_shard", "shard", "slot")
 
 
 def rewrite(placed: DataFrame, path: str) -> DataFrame:
-    """Write the shards that gain or lose rows below ``path`` (shard=N), leaving other shards' files alone; returns what is there."""
+    """Write the shards that gain or lose rows below ``path`` as a new version, leaving other shards' files alone; returns what is there now.
+
+    A manifest says which version of a shard counts, and a shard that is not in it is gone. It is written last, so a job that dies
+    before leaves the old state whole. ``outdated`` lists what may be deleted.
+    """
     spark = placed.sparkSession
-    touched = placed.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
-    write = placed.join(F.broadcast(touched), "shard", "left_semi") if _exists(spark, path) else placed
-    write.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    return spark.read.schema(placed.schema).parquet(path)
-
-
-def _exists(spark, path: str) -> bool:
-    try:
-        return not spark.read.parquet(path).isEmpty()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return False
-        raise
+    pairs = [tuple(r) for r in placed.select("old_shard", "shard").distinct().collect()]  # at most old shards times new ones
+    moved = {s for pair in pairs if pair[0] != pair[1] for s in pair}
+    stays = {s for _, s in pairs}
+    known = current(spark, path)
+    new = max(known.values(), default=-1) + 1
+    touched = [s for s in stays if s not in known or s in moved]
+    placed.where(F.col("shard").isin(touched)).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/rows/version={new}")
+    manifest = [(s, new if s in touched else known[s]) for s in sorted(stays)]
+    spark.createDataFrame(manifest, "shard int, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/number={new}")
+    return read_shards(spark, path, placed.schema)
+
+
+def current(spark: SparkSession, path: str) -> dict[int, int]:
+    """Version of every shard, from the newest manifest; empty where there is none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return {}
+    rows = spark.read.schema("shard int, version int, number int").parquet(f"{path}/manifest")
+    newest = rows.agg(F.max("number")).first()[0]
+    return {r.shard: r.version for r in rows.where(F.col("number") == newest).collect()}
+
+
+def read_shards(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of all shards as they are now; only the folders the manifest names are read."""
+    versions = defaultdict(list)
+    for shard, version in current(spark, path).items():
+        versions[version].append(shard)
+    if not versions:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(StructType([*schema.fields, StructField("version", IntegerType())])).parquet(f"{path}/rows")
+    live = reduce(lambda a, b: a | b, [(F.col("version") == v) & F.col("shard").isin(s) for v, s in versions.items()])
+    return rows.where(live).drop("version")
+
+
+def outdated(spark: SparkSession, path: str) -> list[str]:
+    """Folders below ``path`` that the newest manifest doesn't name."""
+    live = {f"version={v}/shard={s}" for s, v in current(spark, path).items()}
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows/version=*/shard=*")
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root) or []
+    folders = ["/".join(f.getPath().toString().split("/")[-2:]) for f in found]
+    return sorted(f"{path}/rows/{f}" for f in folders if f not in live)

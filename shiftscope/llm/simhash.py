@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from shiftscope.llm.common import saved, slices
+from shiftscope.llm.common import saved, slices, unused
 from shiftscope.llm.components import connected
 
 RADIUS = 3
@@ -411,19 +411,20 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     Rows of equal id are one document and stay together. Rows with a null id stay where their whole group has none.
     """
     found = saved(similar_documents(docs, shingle, similarity, id_col=id_col, text_col=text_col), "groups")
-    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    id_ = F.col(f"`{id_col}`").cast("long")
-    named = docs.where(id_.isNotNull()).join(ids.hint("merge"), id_ == F.col("__id"), "left_semi")
-    nameless = found.where("component_id is null").select(F.col("fingerprint").alias("__set")).distinct()
+    own, same = unused(docs, "own_id"), unused(docs, "own_set")
+    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    named = docs.where(id_.isNotNull()).join(ids.hint("merge"), id_ == F.col(own), "left_semi")
+    nameless = found.where("component_id is null").select(F.col("fingerprint").alias(same)).distinct()
     if nameless.isEmpty():
         return named
     rest = docs.where(id_.isNull())
-    texts = rest.select(F.xxhash64(text_col).alias("__id"), F.col(text_col).alias("text")).distinct()
+    texts = rest.select(F.xxhash64(text).alias(own), text.alias("text")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [sketch_of(np.unique(shingle_hashes(t, shingle)))[0] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.int64())], ["__id", "__set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.int64())], [own, same])
 
-    kept = texts.mapInArrow(run, "__id long, __set long").join(nameless, "__set", "left_semi").select("__id")
-    return named.unionByName(rest.join(kept, F.xxhash64(text_col) == F.col("__id"), "left_semi"))
+    kept = texts.mapInArrow(run, f"{own} long, {same} long").join(nameless, same, "left_semi").select(own)
+    return named.unionByName(rest.join(kept, F.xxhash64(text) == F.col(own), "left_semi"))

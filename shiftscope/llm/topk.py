@@ -10,6 +10,8 @@ Queries come in blocks as well; a task takes one block of queries through one bl
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -22,22 +24,34 @@ QUERY_BLOCK = 1024
 STRIDE = 4
 #: Growth of the reading position from one look at the bound to the next.
 STEP = 4
+#: Scores are ordered by limbs of so many bits.
+LIMB_BITS = 62
+LIMB = (1 << LIMB_BITS) - 1
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, x (array<long>): floor(scale * component), the component as double.
+    """vec_id, x (array<double>): floor(scale * component), the component as double; a double holds these whole numbers exactly.
 
-    Rows whose vector is null, empty or holds null, NaN or infinite components are left out, as are rows without an id.
+    Rows whose vector is null or holds null, NaN or infinite components are left out, as are those where a product is beyond any double
+    (components of 2**1016 and more), and rows without an id.
     """
-    x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
+    whole = lambda v: F.when(F.abs(v) < float(1 << 53), F.floor(v).cast("double")).otherwise(v)
+    x = F.transform(F.col(f"`{vector_col}`"), lambda v: v.cast("double") * F.lit(float(scale)))
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null and size(x) > 0").where(F.coalesce(sound, F.lit(False)))
-    return rows.select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("x"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null").where(F.coalesce(sound, F.lit(False)))
+    return rows.select("vec_id", F.transform("x", whole).alias("x"))
 
 
 def _matrix(column, dim: int) -> np.ndarray:
+    """Whole numbers, as machine integers where they fit with room to spare, else as integers of any length."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy().reshape(-1, dim)
+    values = flat.flatten().to_numpy()
+    plain = values.dtype != float or not len(values) or np.abs(values).max() < 2.0**53
+    return (values.astype(np.int64) if plain else np.array([int(v) for v in values.tolist()], object)).reshape(len(flat), dim)
+
+
+def _largest(x: np.ndarray) -> int:
+    return max((abs(int(v)) for v in (x.min(), x.max())), default=0) if x.size else 0
 
 
 def blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -49,19 +63,28 @@ def blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
         rows = rows.sort_by("vec_id")
         dim, number = (int(k.as_py()) for k in key)
         x = _matrix(rows["x"], dim)
-        if float(np.abs(x.astype(float)).max()) ** 2 * dim >= 2.0**62:
-            raise ValueError("components are too large for scores of 64 bits")
         lists = np.argsort(x, axis=0, kind="stable").T.astype("<i4")
-        return pa.table({"dim": pa.array([dim], pa.int32()), "number": pa.array([number], pa.int32()), "ids": [rows["vec_id"].to_numpy().tobytes()], "x": [x.astype("<i8").tobytes()], "lists": [lists.tobytes()]})
+        data = pickle.dumps(x) if x.dtype == object else x.astype("<i8").tobytes()
+        return pa.table({"dim": pa.array([dim], pa.int32()), "number": pa.array([number], pa.int32()), "ids": [rows["vec_id"].to_numpy().tobytes()], "x": [data], "plain": [x.dtype != object], "lists": [lists.tobytes()]})
+
+    return rows.select("dim", "number", "vec_id", "x").groupBy("dim", "number").applyInArrow(build, "dim int, number int, ids binary, x binary, plain boolean, lists binary")
+
 
-    return rows.select("dim", "number", "vec_id", "x").groupBy("dim", "number").applyInArrow(build, "dim int, number int, ids binary, x binary, lists binary")
+def place(score: int) -> list[int]:
+    """Numbers that order as lists as the scores do: how many limbs, with the sign, then the limbs from the top."""
+    limbs = [score & LIMB]
+    score >>= LIMB_BITS
+    while score not in (0, -1):
+        limbs.append(score & LIMB)
+        score >>= LIMB_BITS
+    return [-len(limbs) if score else len(limbs), *limbs[::-1]]
 
 
 class _Best:
     """The k best of one query so far, ties to the smaller id."""
 
     def __init__(self, k: int):
-        self.k, self.score, self.ids = k, np.empty(0, np.int64), np.empty(0, np.int64)
+        self.k, self.score, self.ids = k, np.empty(0, np.int64), np.empty(0, np.int64)  # scores may become objects
 
     def add(self, score: np.ndarray, ids: np.ndarray) -> None:
         score, ids = np.concatenate([self.score, score]), np.concatenate([self.ids, ids])
@@ -98,7 +121,8 @@ def search_block(query: np.ndarray, own: int, best: _Best, ids: np.ndarray, exac
         seen |= met
         if len(at):
             scored += len(at)
-            score = (exact[at] @ query.astype(exact.dtype)).astype(np.int64)
+            score = exact[at] @ query.astype(exact.dtype)
+            score = score if score.dtype == object else score.astype(np.int64)
             keep = ids[at] != own
             if len(best.score) == best.k:
                 keep &= score >= best.score[-1]
@@ -114,7 +138,8 @@ def search_block(query: np.ndarray, own: int, best: _Best, ids: np.ndarray, exac
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` vectors of greatest inner product with every query, itself (its id) left out.
 
-    Both tables have vec_id and x (array<long>). Ties go to the smaller id; a query with fewer candidates returns all. Only vectors of the
+    Both tables have vec_id and x (array<long>, or array<double> of whole numbers of any size). Scores are exact and so is their order; one
+    that doesn't fit 64 bits is null in the result. Ties go to the smaller id; a query with fewer candidates returns all. Only vectors of the
     query's own dimension are candidates. Repeated ids are candidates like others. Empty tables give no rows.
     """
     index = saved(blocks(vectors, block).withColumn("stride", F.floor(F.col("number") / STRIDE).cast("int")), "lists")
@@ -128,23 +153,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
 
     def search(blocks, questions):
         if not (blocks.num_rows and questions.num_rows):
-            return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
+            return pa.table({**{c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")}, "place": pa.array([], pa.list_(pa.int64()))})
         dim = blocks["dim"][0].as_py()
         own, query = questions["vec_id"].to_numpy(), _matrix(questions["x"], dim)
         best = [_Best(k) for _ in own]
-        for ids, x, lists in zip(*(blocks[c].to_pylist() for c in ("ids", "x", "lists"))):
-            ids, x, lists = np.frombuffer(ids, "<i8"), np.frombuffer(x, "<i8").reshape(-1, dim), np.frombuffer(lists, "<i4").reshape(dim, -1)
+        for ids, x, plain, lists in zip(*(blocks[c].to_pylist() for c in ("ids", "x", "plain", "lists"))):
+            ids = np.frombuffer(ids, "<i8")
+            lists = np.frombuffer(lists, "<i4").reshape(dim, len(ids))
+            x = np.frombuffer(x, "<i8").reshape(len(ids), dim) if plain else pickle.loads(x)
             tops = np.take_along_axis(x.T, lists, axis=1)
-            largest = max(float(np.abs(x).max()), float(np.abs(query).max()))
-            if largest**2 * dim >= 2.0**62:
-                raise ValueError("components are too large for scores of 64 bits")
-            exact = x.astype(float) if largest**2 * dim < 2.0**53 else x
+            bits = 2 * max(_largest(x), _largest(query)).bit_length() + dim.bit_length()
+            # floating point where it is exact, then machine integers, then integers of any length
+            exact = x.astype(float if bits < 53 else np.int64 if bits < 63 else object)
+            asked = query.astype(np.int64 if bits < 63 else object)
+            tops = tops.astype(asked.dtype)
             for i, b in enumerate(best):
-                search_block(query[i], int(own[i]), b, ids, exact, lists, tops)
+                search_block(asked[i], int(own[i]), b, ids, exact, lists, tops)
         values = [(int(q), int(i), int(s)) for q, b in zip(own, best) for i, s in zip(b.ids, b.score)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(c, pa.int64()) for c in (zip(*values) if values else ((), (), ()))))))
+        fits = [s if -(2**63) <= s < 2**63 else None for _, _, s in values]
+        return pa.table({"query_id": pa.array([q for q, _, _ in values], pa.int64()), "vec_id": pa.array([i for _, i, _ in values], pa.int64()), "score": pa.array(fits, pa.int64()),
+                         "place": pa.array([place(s) for _, _, s in values], pa.list_(pa.int64()))})
 
     key = ["dim", "part", "stride"]
-    found = left.select(*key, "ids", "x", "lists").groupBy(*key).cogroup(right.select(*key, "vec_id", "x").groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.select(*key, "ids", "x", "plain", "lists").groupBy(*key).cogroup(right.select(*key, "vec_id", "x").groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score long, place array<long>")
+    order = Window.partitionBy("query_id").orderBy(F.desc("place"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

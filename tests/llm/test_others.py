@@ -1,5 +1,6 @@
 """Quality rules, personal data, search, URL rules and resharding."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 
 from checks.compare import compare, oracle_connection
 from shiftscope.llm import queries as Q
-from shiftscope.llm.pii import pseudonymised
+from shiftscope.llm.pii import PHONE, SOCIAL, pseudonymised
 from shiftscope.llm.quality import estimate, judged, kept_documents, measures
-from shiftscope.llm.resharding import reshard, rewrite, transfers
-from shiftscope.llm.topk import integer_vectors, top_k
+from shiftscope.llm.resharding import outdated, reshard, rewrite, transfers
+from shiftscope.llm.topk import integer_vectors, place, top_k
 from shiftscope.llm.urlrules import judged_urls
 from shiftscope.session import scratch_path
 
@@ -91,6 +92,59 @@ def test_pseudonyms_never_meet(spark):
     assert tuple(made) == (146097, "1700-01-01", "2099-12-31")
 
 
+def test_pseudonyms_stay_valid_and_apart(spark):
+    """Valid numbers become valid ones of the same pattern, and different ones never meet, also over whole stretches of them."""
+    social = spark.range(200000).selectExpr("id", "concat_ws('-', lpad(cast(660 + id % 12 as string), 3, '0'), lpad(cast(1 + id div 12 % 7 as string), 2, '0'), lpad(cast(1 + id div 84 as string), 4, '0')) as text").where("text not like '666%'")
+    phone = spark.range(200000).selectExpr("id", "concat('(', lpad(cast(id * 31 % 1000 as string), 3, '0'), ') ', lpad(cast(190 + id div 1000 % 20 as string), 3, '0'), '-', lpad(cast(id div 20000 as string), 4, '0')) as text")
+    for rows, pattern in ((social, SOCIAL), (phone, PHONE)):
+        made = pseudonymised(rows.withColumnRenamed("text", "body"), "k", text_col="body").join(rows, "id")
+        n, different, valid, changed = made.agg(F.count("*"), F.count_distinct("body"), F.count_if(F.regexp_like("body", F.lit(f"^(?:{pattern})$"))), F.count_if(F.col("body") != F.col("text"))).first()
+        assert different == n == valid and changed > 0.999 * n
+    code = lambda c, at: F.substring(c, at, 1) < "2"
+    assert made.where((code("text", 2) != code("body", 2)) | (code("text", 7) != code("body", 7))).isEmpty()
+
+
+def _python_pseudonym(kind, digits, key):
+    """The same permutation, written again."""
+    def permuted(a, b, m, n):
+        for r in range(10):
+            shift = lambda half: int(hashlib.sha256(f"{key}:{kind}:{r}:{half}".encode()).hexdigest()[:15], 16)
+            a, b = ((a + shift(b)) % m, b) if r % 2 == 0 else (a, (b + shift(a)) % n)
+        return a, b
+
+    if kind == "social":
+        area, rest = int(digits[:3]), (int(digits[3:5]) - 1) * 9999 + int(digits[5:]) - 1
+        a, b = permuted(area - 2 if area > 666 else area - 1, rest, 898, 99 * 9999)
+        return f"{a + 1 if a < 665 else a + 2:03d}{b // 9999 + 1:02d}{b % 9999 + 1:04d}"
+    area, exchange = int(digits[:3]), int(digits[3:6])
+    x, y = (0 if c < 200 else 200 for c in (area, exchange))
+    a, b = permuted(area - x, (exchange - y) * 10000 + int(digits[6:]), 800 if x else 200, 10000 * (800 if y else 200))
+    return f"{a + x:03d}{b // 10000 + y:03d}{b % 10000:04d}"
+
+
+def test_pseudonyms_equal_a_second_version(spark):
+    rng = np.random.default_rng(4)
+    socials = [f"{a:03d}-{g:02d}-{s:04d}" for a, g, s in zip(rng.integers(1, 900, 300), rng.integers(1, 100, 300), rng.integers(1, 10000, 300)) if a != 666]
+    phones = [f"+1 ({a:03d}) {e:03d}-{n:04d}" for a, e, n in zip(rng.integers(0, 1000, 300), rng.integers(0, 1000, 300), rng.integers(0, 10000, 300))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(socials + phones)], "doc_id int, text string")
+    plain = lambda t: re.sub(r"\D", "", t)[-10:]
+    for r in pseudonymised(docs, "k").collect():
+        old = (socials + phones)[r.doc_id]
+        assert plain(r.text) == _python_pseudonym("social" if r.doc_id < len(socials) else "phone", plain(old) if "(" in old else re.sub(r"\D", "", old), "k")
+
+
+def test_columns_of_any_name_stay(spark):
+    """Also those that operators use themselves."""
+    from shiftscope.llm.simhash import one_of_each
+
+    names = ["kept_id", "kept_row", "KEPT_TEXT", "own_id", "own_set", "pii_at", "pii_between", "__id", "__row", "__text", "__set", "__pii_at"]
+    text = " ".join(f"word{i} follows word{i + 1}," for i in range(60)) + " call (625) 555-7196."
+    rows = spark.createDataFrame([(1, text), (2, text), (None, "only one"), (None, "only one"), (3, "short")], "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    for out in (kept_documents(rows), one_of_each(rows), pseudonymised(rows, "k", counts_col=None)):
+        assert out.columns == rows.columns and all(r[n] == n for r in out.collect() for n in names)
+    assert sorted(r.doc_id or 0 for r in one_of_each(rows).collect()) == [0, 0, 1, 3]
+
+
 def test_private_data_of_the_test_table_are_gone(spark, sf):
     found = re.compile(r"\+1 \(\d{3}\) 555-\d{4}|[\w.]+@mail\d\.example\.com|(?<!\d)\d{16}(?!\d)|(?<![\d.])\d+\.\d+\.\d+\.\d+(?![\d.])")
     old = {r.doc_id: {x for x in found.findall(r.text or "") if not x.isdigit() or _luhn(x)} for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -116,6 +170,23 @@ def test_search_equals_brute_force(spark):
     assert top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_scores_of_any_size_are_ordered(spark):
+    pick = np.random.default_rng(2)
+    scores = [int(a) * 2 ** int(b) for a, b in zip(pick.integers(-(2**40), 2**40, 300), pick.integers(0, 250, 300))] + [0, -1, 1, 2**62, 2**62 - 1, -(2**62), -(2**62) - 1, 2**124, -(2**124)]
+    assert sorted(scores) == sorted(scores, key=place)
+    x = np.concatenate([pick.normal(0, 1, (60, 6)), pick.normal(0, 1e6, (60, 6)), pick.normal(0, 1e38, (60, 6))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, []), (550, []), (551, [])]
+    vectors = integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    got = {}
+    for r in top_k(vectors, vectors.where("vec_id % 50 = 0"), 4, block=50).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    whole = [[int(np.floor(256 * c)) for c in v] for v in x]
+    for q in range(0, 180, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in enumerate(whole) if i != q)[:4]
+        assert got[q] == [(i, -s if -s < 2**63 else None) for s, i in best]
+    assert got[500] == [(550, 0), (551, 0)] and got[550] == [(500, 0), (551, 0)]
+
+
 def test_search_query(spark, sf):
     ok, message, _ = compare(spark, oracle_connection(sf), sf, "op6", Q.op6, Q.ORACLES["op6_threshold_topk"])
     assert ok, message
@@ -192,6 +263,49 @@ def test_hot_texts_are_cut_and_quiet_shards_stay(spark):
     rows = reshard(docs, new=4, old=4).toPandas()
     size = rows.groupby("shard")["size"].sum()
     assert size.max() - size.min() < 0.05 * size.mean() and all(sorted(o.slot) == list(range(len(o))) for _, o in rows.groupby("shard"))
+
+
+def _files(spark, path):
+    """Name and time of every data file, by shard."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows/version=*/shard=*/*.parquet")
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root)
+    return {(f.getPath().toString(), f.getModificationTime()) for f in found}
+
+
+@pytest.mark.parametrize("old, new", [(8, 5), (4, 7), (3, 3)])
+def test_rewriting_shards_keeps_every_row_once(spark, old, new):
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat(concat('text ', id), cast(1 + id % 9 as int)) as text")
+    path = scratch_path(spark, "shards")
+    first = rewrite(reshard(docs, new=old, old=old, old_shard=f"doc_id % {old}"), path)
+    before = {r.doc_id: r.shard for r in first.collect()}
+    assert sorted(before) == list(range(400)) and set(before.values()) == set(range(old)) and outdated(spark, path) == []
+    known = _files(spark, path)
+    again = rewrite(reshard(first.select("doc_id", "text", F.col("shard").alias("was")), new=new, old=old, old_shard="was"), path)
+    rows = again.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(400)) and {r.shard for r in rows} == set(range(new))
+    for shard in range(new):
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+    assert known <= _files(spark, path)  # nothing is touched in place
+    gone = {s for s in range(old) if s >= new or any(r.shard != before[r.doc_id] and s in (r.shard, before[r.doc_id]) for r in rows)}
+    assert {int(f.split("shard=")[1]) for f in outdated(spark, path)} == gone
+
+
+def test_a_quiet_shard_is_not_rewritten(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", i % 3, (i % 3) if i % 3 == 2 else 1 - i % 3, 0) for i in range(30)], "doc_id long, text string, old_shard int, shard int, slot long").withColumn("size", F.lit(3).cast("long"))
     path = scratch_path(spark, "shards")
-    first = rewrite(reshard(docs, new=4, old=4, old_shard="doc_id % 4"), path)
-    assert first.count() == 3000
+    rewrite(docs.withColumn("shard", F.col("old_shard")), path)
+    known = _files(spark, path)
+    rewrite(docs, path)
+    assert {f for f, _ in _files(spark, path) - known if "shard=2" in f} == set() and rewrite(docs.limit(0), scratch_path(spark, "none")).count() == 0
+
+
+def test_flow_equals_the_optimum(spark):
+    """Bytes moved are at least what any plan must move: per old shard what exceeds its new capacity, and all of a shard that goes."""
+    docs = spark.range(2000).selectExpr("id as doc_id", "repeat('x', cast(id * 7919 % 97 as int)) as text")
+    for old, new in ((5, 8), (8, 5), (4, 4)):
+        rows = reshard(docs, new=new, old=old, old_shard="cast(sqrt(doc_id) as int) % " + str(old)).toPandas()
+        supply, total = rows.groupby("old_shard")["size"].sum(), rows["size"].sum()
+        share = [total // new + (j < total % new) for j in range(new)]
+        least = sum(max(0, s - (share[i] if i < new else 0)) for i, s in supply.items())
+        moved = rows[rows.shard != rows.old_shard]["size"].sum()
+        assert least <= moved <= least + 0.02 * total
