@@ -102,6 +102,11 @@ def _(spark, sf):
     return A.newest_runs(runs(spark, sf)).drop("report")
 
 
+@query("N6_newest_entries", "select * from lg qualify row_number() over (partition by chain order by seq desc) <= 5", _CHAIN)
+def _(spark, sf):
+    return A.newest_entries(log(spark, sf), 5)
+
+
 @query("N6_queries_of_run", "select run_id, query_id, row_count, error from qy where run_id = (select max(run_id) from rn)", _RUNS)
 def _(spark, sf):
     rows = queries_of_runs(spark, sf)

@@ -82,6 +82,17 @@ def _(spark, sf):
     return corpus.parse_documents(files).select("doc_id", "title", "doc_type", "doc_date", F.md5("text").alias("body_md5"))
 
 
+@query("A5_read_corpus", """select 'Item ' || item_id as title, 'passage' as doc_type, date '2018-01-01' + (item_id % 365)::int as doc_date, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) as body_md5
+    from benchmark""")
+def _(spark, sf):
+    # one file for each passage, read back as a folder of documents
+    folder, i = scratch_path(spark, "corpus"), F.col("item_id")
+    day = F.date_add(F.lit("2018-01-01").cast("date"), (i % 365).cast("int")).cast("string")
+    raw = F.concat(F.lit("---\ntitle: Item "), i, F.lit("\ntype: passage\ndate: "), day, F.lit("\n---\n\n"), F.col("text"))
+    table(spark, sf, "benchmark").select(raw.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return corpus.read_corpus(spark, folder, "*.txt").select("title", "doc_type", "doc_date", F.md5("text").alias("body_md5"))
+
+
 @query("A7_snapshot_schema", _COUNTS_SQL)
 def _(spark, sf):
     return T.row_counts(T.copy_tables(dict(shop(spark, sf).items()), scratch_path(spark, "lab")))

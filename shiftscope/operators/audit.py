@@ -138,6 +138,12 @@ def newest_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
     return runs.orderBy(F.col("created_at").desc(), F.col("run_id")).limit(limit)
 
 
+def newest_entries(log: DataFrame, limit: int = 50) -> DataFrame:
+    """The last entries of every chain, newest first; each task keeps its own last ones before the shuffle."""
+    last = Window.partitionBy("chain").orderBy(F.col("seq").desc())
+    return log.withColumn("place", F.row_number().over(last)).where(F.col("place") <= limit).drop("place").orderBy("chain", F.col("seq").desc())
+
+
 def queries_of(queries: DataFrame, run_id) -> DataFrame:
     return queries.where(F.col("run_id") == run_id).orderBy(query_number(F.col("query_id")))
 

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # fixed values: columns of the sensor log
 SENSOR_COLUMNS = ["unit", "cycle", "op1", "op2", "op3", *[f"s{i}" for i in range(1, 22)]]
-RUN_FOLDERS = 256
+RUN_FOLDERS = 32
 
 
 def archive_runs(runs: DataFrame, folder: str) -> None:
-    """Whole runs as JSON below dataset=<name>/bucket=<n>, the bucket coming from the run id."""
+    """Whole runs as JSON below dataset=<name>/bucket=<n>, the bucket coming from the run id. An append writes one file for each folder it touches."""
     bucket = F.pmod(F.xxhash64(F.col("run_id").cast("string")), F.lit(RUN_FOLDERS))
-    runs.withColumn("bucket", bucket).write.mode("append").partitionBy("dataset", "bucket").json(folder)
+    runs.withColumn("bucket", bucket).repartition("dataset", "bucket").write.mode("append").partitionBy("dataset", "bucket").json(folder)
 
 
 def read_archived_run(spark: SparkSession, folder: str, schema, dataset: str, run_id) -> DataFrame:

@@ -19,6 +19,18 @@ def test_coreset_keeps_rare_points_and_all_clusters(spark):
     assert 1200 in ids and all(any(300 * c <= i < 300 * c + 300 for i in ids) for c in range(4))
 
 
+def test_coreset_covers_as_the_greedy_choice_does(spark):
+    """The farthest vector from a coreset made in chunks is little farther than from one made by the greedy rule over all vectors."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(900, 6)) + rng.integers(0, 4, (900, 1)) * 10
+    ids = [r.id for r in V.kcenter_coreset(_frame(spark, v), "id", "v", 30, chunk=300).collect()]
+    far = np.sqrt(((v - v[0]) ** 2).sum(1))
+    for _ in range(29):
+        far = np.minimum(far, np.sqrt(((v - v[far.argmax()]) ** 2).sum(1)))
+    cover = np.sqrt(((v[:, None] - v[ids][None]) ** 2).sum(-1)).min(1).max()
+    assert len(set(ids)) == 30 and cover < 1.5 * far.max()
+
+
 @pytest.mark.parametrize("spread", [0.0, 30.0])
 def test_nearest_distance_in_blocks(spark, spread):
     """Clusters that pivots tell apart and a cloud that they don't, with ties, zero distances and a repeated query."""
