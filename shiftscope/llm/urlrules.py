@@ -14,6 +14,8 @@ from shiftscope.llm.common import saved
 
 #: Rules up to this number are sent to every task; beyond it they are joined by shuffle.
 BROADCAST_RULES = 100_000
+#: Copies of one token set that a task writes.
+LOT = 1000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -50,7 +52,10 @@ def mined_rules(labelled: DataFrame, confidence: float, pages: int = 20) -> Data
     single = seen.where("alone").select(F.array("token").alias("rule"), (F.col("bad") / F.col("all")).alias("confidence"), (F.col("bad") / number).alias("support"))
     left = each.join(seen.where("not alone").select("token"), "token").groupBy("id").agg(F.first("n").alias("n"), F.first("n_bad").alias("n_bad"), F.array_sort(F.collect_set("token")).alias("items"))
     left = saved(left, "left")
-    bad = saved(left.where("n_bad > 0").select("items", F.explode(F.sequence(F.lit(1), F.col("n_bad").cast("int")))).select("items"), "bad")
+    # one row for each bad page again; a set that very many pages share is dealt to many tasks first
+    lots = left.where("n_bad > 0").select("items", "n_bad", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_bad") - 1) / LOT))).alias("lot")).repartition("lot", "items")
+    copies = F.least(F.lit(LOT), F.col("n_bad") - F.col("lot") * LOT).cast("int")
+    bad = saved(lots.select("items", F.explode(F.sequence(F.lit(1), copies))).select("items"), "bad")
     n_bad = bad.count()
     if n_bad < pages:
         return single

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from checks.compare import compare, oracle_connection
 from shiftscope.llm import queries as Q
 from shiftscope.llm.pii import PHONE, SOCIAL, pseudonymised
-from shiftscope.llm.quality import estimate, judged, kept_documents, measures
+from shiftscope.llm.quality import BOUNDS, ROUNDS, RULES, START, estimate, judged, kept_documents, measured, measures, pattern
 from shiftscope.llm.resharding import outdated, reshard, rewrite, transfers
 from shiftscope.llm.topk import integer_vectors, place, top_k
 from shiftscope.llm.urlrules import judged_urls
@@ -37,6 +38,37 @@ def test_quality_query(spark, sf):
         assert r.base_failed == (base[0] < 50 or 100 * base[4] > 50 * base[0]) and not (r.base_failed and r.kept)
 
 
+def test_posteriors_equal_plain_estimation(spark, sf):
+    """The same model estimated document by document, without counts of patterns."""
+    rows = measured(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", pattern(RULES).alias("votes")).collect()
+    votes = {r.doc_id: [int(c) for c in r.votes] for r in rows}
+    share, good, bad = START
+    answer = {k: [list(v) for _ in RULES] for k, v in ((1, good), (0, bad))}
+    p = {}
+    for _ in range(ROUNDS):
+        new = {}
+        for d, v in votes.items():
+            a, b = np.log(share), np.log(1 - share)
+            for j, x in enumerate(v):
+                a, b = a + np.log(answer[1][j][x]), b + np.log(answer[0][j][x])
+            new[d] = 1 / (1 + np.exp(-(a - b)))
+        if p and max(abs(new[d] - p[d]) for d in p) < 1e-9:
+            break
+        p = new
+        for kind in (1, 0):
+            for j in range(len(RULES)):
+                seen = [5.0 * (good, bad)[1 - kind][x] for x in range(3)]
+                for d, v in votes.items():
+                    seen[v[j]] += p[d] if kind else 1 - p[d]
+                rate = [s / sum(seen) for s in seen]
+                low, high = BOUNDS[1 - kind]
+                first = min(max(rate[0], low), high)
+                answer[kind][j] = [first, *[x * (1 - first) / (1 - rate[0]) for x in rate[1:]]]
+        share = (sum(p.values()) + 5.0 * START[0]) / (len(p) + 5.0)
+    for r in Q.op8(spark, sf).collect():
+        assert abs(r.p_good - p[r.doc_id]) < 1e-6 and r.kept == (not r.base_failed and r.p_good >= 0.5)
+
+
 def test_verdicts_agree_with_labels_never_seen(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -210,6 +242,54 @@ def test_url_rules(spark):
     assert judged_urls(pages.limit(0), labels.limit(0), Q.URL_RULES).count() == 0
 
 
+def _url_parts(url):
+    if url is None or "://" not in url:
+        return "", "", set()
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    query = re.match(r"[^?#]*\?([^#]*)", url)
+    names = [x.split("=")[0] for x in query[1].split("&")] if query else []
+    return host, path, {f"h:{x}" for x in host.split(".") if x} | {f"p:{x}" for x in path.split("/") if x} | {f"q:{x}" for x in names if x}
+
+
+def test_url_rules_equal_enumeration(spark):
+    """Hosts, paths, fixed rules and mined combinations against all combinations of all pages, counted one by one."""
+    pick = np.random.default_rng(6)
+    rows, bad = [], {}
+    for i in range(900):
+        host, part, name = (str(pick.choice(v)) for v in (["a.org", "b.org", "shop.example.net", "Example.COM"], ["x", "y", "z", "es"], ["p", "q", "r"]))
+        rows.append((i, f"http://{host}/{part}/{pick.choice(['m', 'n'])}?{name}=1&k{i}=2"))
+        planted = (host == "a.org" and part == "x") or (part == "z" and name == "q") or host == "b.org" and name == "r" and part == "y"
+        bad[i] = bool(pick.random() < (0.9 if planted else 0.1))
+    rows += [(2000, None), (2001, "nothing"), (2002, "x://only.host")] + [(3000, "http://a.org/x/m?p=1")] * 1200
+    bad[3000] = True
+    labelled = [(i, b) for i, b in bad.items() if i % 3 or i == 3000]
+    counts, hits = Counter(), Counter()
+    known = dict(labelled)
+    for i, url in rows:
+        if i in known:
+            own = sorted(_url_parts(url)[2])
+            for size in (1, 2, 3, 4):
+                for rule in combinations(own, size):
+                    counts[rule] += 1
+                    hits[rule] += known[i]
+    rules = [r for r in counts if hits[r] >= 20 and hits[r] / counts[r] >= 0.7]
+    fixed = [("allow" if w == "allow" else "block", h, p) for w, h, p in Q.URL_RULES]
+    got = {}
+    for r in judged_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labelled, "id long, bad boolean"), fixed).collect():
+        got.setdefault(r.page_id, r)
+    assert any(r.matched_rule for r in got.values())
+    for i, url in dict(rows).items():
+        host, path, own = _url_parts(url)
+        fits = [(len(h + p), w, h + p) for w, h, p in fixed if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        mined = any(set(r) <= own for r in rules)
+        want = max(fits)[1:] if fits else ("block" if mined else "allow", None)
+        assert (got[i].host, got[i].path, got[i].verdict, got[i].rule) == (host, path, *want), url
+        assert bool(got[i].matched_rule) == mined and (not mined or tuple(got[i].matched_rule.split(" ")) in rules)
+
+
 def test_url_rules_see_the_whole_address(spark):
     ends = ["/a/b/c/evil/{}", "/a/b/c/{}?p=1&q=2&r=3&evil=4", ".e.d.c.b.org/a"]
     url = lambda i, k: f"http://x{i}.b.c.d.org" + ends[k].format(i) if k < 2 else f"http://evil.x{i}" + ends[k]
