@@ -245,11 +245,15 @@ def _forecast_one(spark: SparkSession, rows: DataFrame, tail: list[tuple], horiz
     from pyspark.ml.regression import GBTRegressor
 
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip")
-    fit_on = assembler.transform(rows.where("value is not null")).select("features", F.col("value").alias("label")).coalesce(1).persist()
+    held = F.col("day") > F.lit(tail[-1][0] - timedelta(days=HORIZON))
+    fit_on = assembler.transform(rows.where("value is not null")).select("features", F.col("value").alias("label"), held.alias("held")).coalesce(1).persist()
     try:
-        if fit_on.count() < SEASON:
+        days = fit_on.agg(F.count_if(~F.col("held")).alias("n"), F.count("*").alias("all")).first()
+        if days["all"] < SEASON:
             return [None] * horizon
-        model = GBTRegressor(maxIter=trees, stepSize=0.05, maxDepth=3, seed=0).fit(fit_on)
+        learner = GBTRegressor(maxIter=trees, stepSize=0.05, maxDepth=3, seed=0, checkpointInterval=50, validationTol=0.001)
+        # where there is enough to hold the last weeks back, rounds end once these are met no better
+        model = (learner.setValidationIndicatorCol("held") if HORIZON < days["n"] < days["all"] else learner).fit(fit_on)
     finally:
         fit_on.unpersist()
     ahead: list[float | None] = []
@@ -265,7 +269,8 @@ def _forecast_one(spark: SparkSession, rows: DataFrame, tail: list[tuple], horiz
 def gbt_forecast(train: DataFrame, horizon: int = HORIZON, trees: int = TREES, parallel: int = 8) -> DataFrame:
     """Boosted trees on lag features, one model for each series, so no forecast knows days or levels of another.
 
-    Models are trained by Spark ML, ``parallel`` of them at a time. A series whose days don't fill the features has NULL forecasts. The driver knows
+    Models are trained by Spark ML, ``parallel`` of them at a time, for ``trees`` rounds at most: they end when the last four weeks of what is known
+    improve by less than a thousandth. A series whose days don't fill the features has NULL forecasts. The driver knows
     the names of the series, their last 70 days and their forecasts: this is for series worth a model each, not for millions of them.
     """
     spark = train.sparkSession
@@ -281,7 +286,7 @@ def gbt_forecast(train: DataFrame, horizon: int = HORIZON, trees: int = TREES, p
         return [(name, i + 1, v) for i, v in enumerate(ahead)]
 
     with ThreadPoolExecutor(parallel) as pool:
-        found = [r for part in pool.map(inheritable_thread_target(one), tails) for r in part]
+        found = [r for part in pool.map(inheritable_thread_target(spark)(one), tails) for r in part]
     return spark.createDataFrame(found, "series string, step int, prediction double")
 
 
