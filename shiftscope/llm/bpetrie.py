@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from shiftscope.llm.chunkcache import ChunkEncoder, plain
+from shiftscope.llm.chunkcache import ChunkEncoder, Memory, plain
 from shiftscope.llm.common import slices
 
 #: Fixed by the format: how a byte-level tokenizer parts text into words.
@@ -196,7 +196,7 @@ class TrieEncoder(ChunkEncoder):
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.keep = keep
         self.split = ByteLevel(add_prefix_space=False, use_regex=True)
-        self.known, self.older, self.first, self.words = {}, {}, {}, {}
+        self.known, self.first, self.words, self.loose = Memory({}), {}, {}, False
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.vocabulary.added, key=len, reverse=True))) + ")") if self.vocabulary.added else None
 
     def _parts(self, text: str) -> list:

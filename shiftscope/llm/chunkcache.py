@@ -36,6 +36,23 @@ def plain(text: str) -> bool:
     return text.isalpha() and (text.isascii() or text.lower().isalpha())
 
 
+class Memory(dict):
+    """ids by piece. A piece that is met for the first time gets an empty slot, which is filled once all new pieces of a batch are encoded."""
+
+    def __init__(self, older: dict[str, bytes]):
+        super().__init__()
+        self.older: dict[str, bytes] = older
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> bytes | bytearray:
+        found = self.older.get(piece)
+        if found is None:
+            found = bytearray()
+            self.new.append(piece)
+        self[piece] = found
+        return found
+
+
 class ChunkEncoder:
     """ids of whole texts as little-endian unsigned bytes of ``width`` bytes each.
 
@@ -54,8 +71,7 @@ class ChunkEncoder:
         self.size = max(vocabulary.values()) + 1
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.keep = keep
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Memory({})
         self.first: dict[str, bytes] = {}
         # ids whose token starts with the mark of a space open the pieces of a long string of new pieces
         self.opens = np.zeros(self.size, bool)
@@ -68,6 +84,9 @@ class ChunkEncoder:
         self.closes = np.zeros(self.size, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.points = dict(zip(POINTS, self._plain(list(POINTS))))
+        # white space that only parts words is no part of any piece
+        words = ["word", "Ünder9", "it's", "...", "(a"]
+        self.loose = not self.marked and all(self._plain([w, " " + w, "\n" + w]) == 3 * self._plain([w]) for w in words) and self._plain([" \n".join(words)]) == [b"".join(self._plain(words))]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -84,7 +103,10 @@ class ChunkEncoder:
             elif p[-1:] in self.points and plain(p[:-1]):
                 pointed.append(p)
                 if p[:-1] not in self.known:
-                    letters.add(p[:-1])
+                    if p[:-1] in self.known.older:
+                        self.known[p[:-1]] = self.known.older[p[:-1]]
+                    else:
+                        letters.add(p[:-1])
             elif p and "\n" not in p and "<|" not in p and (self.marked or self.between):
                 simple.append(p)
             else:
@@ -117,30 +139,28 @@ class ChunkEncoder:
         self.known.update(zip(part, map(lambda a, b: raw[a:b], edges, edges[1:])))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        pieces: list[list[str] | None] = []
-        new: set[str] = set()
-        new_first: set[str] = set()
+        if len(self.known) > self.keep // 2:
+            self.known.older = {}
+            self.known = Memory(self.known)
+        if len(self.first) > self.keep:
+            self.first.clear()
+        look_up, pieces, firsts = self.known.__getitem__, [], []
         for text in texts:
             if not text or text[0] in SPACE or text[-1] in SPACE or has_any(text, RUNS) or odd(text):
                 pieces.append(None)
+                firsts.append(None)
                 continue
-            own = text.replace("\n", " \n").split(" ")
-            pieces.append(own)
-            new_first.add(own[0])
-            new.update(own[1:])
-        if len(self.known) > self.keep // 2:
-            self.older, self.known = self.known, {}
-        if len(self.first) > self.keep:
-            self.first.clear()
-        missing = [p for p in new if p not in self.known]
-        if self.older:
-            self.known.update((p, self.older[p]) for p in missing if p in self.older)
-            missing = [p for p in missing if p not in self.older]
-        self._learn_after_space(missing)
-        fresh = [p for p in new_first if p not in self.first]
+            own = iter(text.split() if self.loose else text.replace("\n", " \n").split(" "))
+            firsts.append(next(own))
+            pieces.append(list(map(look_up, own)))  # ids, or slots to be filled
+        new, self.known.new = self.known.new, []
+        slots = list(map(look_up, new))
+        self._learn_after_space(new)
+        for slot, ids in zip(slots, map(look_up, new)):
+            slot += ids
+        fresh = list({p for p in firsts if p is not None and p not in self.first})
         self.first.update(zip(fresh, self._plain(fresh)))
-        get = self.known.__getitem__
-        out = [b"" if p is None else self.first[p[0]] + b"".join(map(get, p[1:])) for p in pieces]
+        out = [b"" if p is None else self.first[f] + b"".join(p) for f, p in zip(firsts, pieces)]
         for at, (text, own) in enumerate(zip(texts, pieces)):
             if own is None and text:
                 out[at] = self._runs(text)

@@ -21,6 +21,9 @@ from shiftscope.llm.common import groups_of, slices
 
 BLOCKS = "part int, block int, first long, n_ids long, width int, doc_ids array<long>, doc_starts array<long>, payload binary"
 
+#: Parts of a file set, at most; the manifest has a row for each. Parts of larger sets are longer, and are written as they come.
+PARTS = 1 << 16
+
 
 def bits_for(size: int) -> int:
     """The least width that holds every id below ``size``."""
@@ -53,7 +56,7 @@ def unpack_bits(payload: bytes, width: int, first: int, count: int) -> np.ndarra
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, block_ids: int = 1 << 16, part_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode ``docs`` in ascending id order and write a file set below ``path``. Null texts are empty documents."""
     spark = docs.sparkSession
-    parts = groups_of(docs, text_col, part_bytes)
+    parts = min(PARTS, groups_of(docs, text_col, part_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)

@@ -119,3 +119,30 @@ def test_token_files(spark, sf, odd_docs, no_docs):
     empty = scratch_path(spark, "empty")
     write_token_files(no_docs, empty, WORD, end_id=1)
     assert read_documents(spark, empty).count() == 0
+
+
+def test_documents_longer_than_a_block(spark):
+    """A document of more ids than a block is one block of its own, and long ones follow each other."""
+    texts = ["one two", "long word " * 40000, None, "again and again " * 25000, "three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = scratch_path(spark, "tokens")
+    write_token_files(docs, path, WORD, end_id=1, part_bytes=1 << 19)
+    library, start = _library(WORD), 0
+    got = {r.doc_id: r for r in read_documents(spark, path).collect()}
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        assert (got[i].start, got[i].n_tokens) == (start, len(ids)) and np.frombuffer(got[i].ids, "<u4").tolist() == ids
+        start += len(ids)
+    assert max(r.n_ids for r in spark.read.parquet(f"{path}/blocks").collect()) > 1 << 16
+    row = read_ids(spark, path, 70000, 3).orderBy("position").collect()
+    assert [r.id for r in row] == np.frombuffer(got[1].ids, "<u4")[70000 - got[1].start :][:3].tolist()
+
+
+def test_pieces_forget_and_learn_again():
+    """Slots of new pieces are filled before they are joined, in both generations of a small memory."""
+    for path in (BYTE, WORD):
+        encode, library = ChunkEncoder(path, keep=20), _library(path)
+        pick = random.Random(1)
+        for _ in range(20):
+            texts = [" ".join(pick.choices(["alpha", "Alpha", "beta.", "beta", "it's", "gamma,", "1st", "x"], k=9)) + pick.choice(["", "\nnext line", " end"]) for _ in range(8)]
+            assert [np.frombuffer(b, encode.dtype).tolist() for b in encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
