@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shiftscope.llm.common import saved, table
+from shiftscope.llm.common import begin, saved, table
 from shiftscope.llm.packing import pack_documents
 from shiftscope.llm.pii import pseudonymised
 from shiftscope.llm.quality import kept_documents
@@ -24,27 +24,32 @@ def _as(docs: DataFrame, new: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the rules reject go."""
+    begin(spark)
     return kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
+    begin(spark)
     return one_of_each(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that an earlier document holds go, and documents of which nothing is left."""
+    begin(spark)
     cut = remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
     return _as(docs, cut.select("doc_id", "text", "rest.*") if len(docs.columns) > 2 else cut)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms."""
+    begin(spark)
     return _as(docs, pseudonymised(docs, KEY, counts_col=None))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1024 tokens."""
+    begin(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, max_tokens=1024)
 
 

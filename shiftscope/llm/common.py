@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,13 +21,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: short plans, and a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, name)
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder of the scope, or in the shared folder."""
+    folder = _FOLDER.get()
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}" if folder else scratch_path(spark, name)
+
+
+def saved(df: DataFrame, name: str = "step", path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (that of the scope, if there is one) and read it back: short plans, and a lost executor costs no recomputation."""
+    path = path or place(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is saved inside is deleted at the end, with the shuffles that led to it. A result that outlives it is saved to a ``path`` outside."""
+    folder = place(spark, "scope")
+    token = _FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        release(spark)
+
+
+def begin(spark: SparkSession) -> None:
+    """Before a stage of a pipeline: texts go to Python in small batches, and what the stage before has left is let go."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffles of finished jobs: Spark deletes them once nothing in the driver refers to them any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, longer if a column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

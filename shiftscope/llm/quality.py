@@ -137,6 +137,7 @@ def judged(docs: DataFrame, rules: dict[str, tuple[str, float, float]] | None =
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they were, whatever their names."""
     id_, row, text = (unused(docs, n) for n in ("kept_id", "kept_row", "kept_text"))
-    kept = judged(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias(id_), F.col("row").alias(row))
+    # ids alone, written: Spark knows their size and only shuffles the documents where they are too many to send around
+    kept = saved(judged(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias(id_), F.col("row").alias(row)), "kept")
     rows = docs.withColumn(text, F.xxhash64(F.col(f"`{text_col}`")))
     return rows.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_)) & (F.col(text) == F.col(row)), "left_semi").drop(text)

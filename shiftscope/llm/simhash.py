@@ -18,10 +18,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from shiftscope.llm.common import saved, slices, unused
+from shiftscope.llm.common import place, saved, scope, slices, unused
 from shiftscope.llm.components import connected
+from shiftscope.session import scratch_path
 
 RADIUS = 3
 #: First bit and number of bits of the six blocks.
@@ -91,9 +92,9 @@ def _linked(x: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, radi
     return near
 
 
-def _joins(x: np.ndarray, table: np.ndarray, radius: int, sketch: np.ndarray | None = None, sets: list[np.ndarray] | None = None, least: float = 0.0) -> list[tuple[int, int]]:
-    """Links of one run that connect all of its components, at most ``len(x) - 1``. Rows are in order of the first coordinate."""
-    label, out = np.arange(len(x)), []
+def _joins(x: np.ndarray, table: np.ndarray, radius: int, sketch: np.ndarray | None = None, sets: list[np.ndarray] | None = None, least: float = 0.0, root: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of one run that connect all of its components, at most ``len(x) - 1``. Rows are in order of the first coordinate; those of one root are together already."""
+    label, out = np.arange(len(x)) if root is None else np.unique(root, return_inverse=True)[1], []
     end = np.searchsorted(table[:, 0], table[:, 0] + radius, side="right")
     for i in range(len(x)):
         other = np.arange(i + 1, end[i])
@@ -135,11 +136,12 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def _links_under(rows: DataFrame, radius: int, least: float = 0.0) -> DataFrame:
     """Links (u, v) of nodes that meet under a key and link, enough to connect them.
 
-    ``rows``: key, node, fingerprint, t0, t1 (pivot distances as bytes) and, if similarity counts too, sketch and set.
+    ``rows``: key, node, fingerprint, t0, t1 (pivot distances as bytes) and, if similarity counts too, sketch, set and root.
     """
     sketched = "sketch" in rows.columns
-    kept = ["node", "fingerprint", "t0", "t1", *["sketch", "set"] * sketched]
+    kept = ["node", "fingerprint", "t0", "t1", *["sketch", "set", "root"] * sketched]
     shared = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
+    rows = rows.join(shared, "key")
     first = F.col("t0").bitwiseAND(F.lit(255))
 
     def edges(rows: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
@@ -148,23 +150,26 @@ def _links_under(rows: DataFrame, radius: int, least: float = 0.0) -> DataFrame:
         table = np.ascontiguousarray(np.stack([rows["t0"].to_numpy(), rows["t1"].to_numpy()], axis=1).astype("<i8")).view(np.uint8).reshape(-1, PIVOTS).astype(np.int16)
         sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u2").reshape(len(x), -1) if sketched else None
         sets = [np.frombuffer(h, "<u8") for h in rows["set"].to_pylist()] if sketched else None
+        root = rows["root"].to_numpy() if sketched else None
         size = ends - starts
         two = starts[size == 2]  # most runs
+        if sketched:
+            two = two[root[two] != root[two + 1]]
         hit = two[_linked(x, table, two, two + 1, radius, sketch, sets, least)] if len(two) else two
         pairs = [(int(a), int(a) + 1) for a in hit]
         for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
-            pairs += [(s + a, s + b) for a, b in _joins(x[s:e], table[s:e], radius, sketch[s:e] if sketched else None, sets[s:e] if sketched else None, least)]
+            pairs += [(s + a, s + b) for a, b in _joins(x[s:e], table[s:e], radius, sketch[s:e] if sketched else None, sets[s:e] if sketched else None, least, root[s:e] if sketched else None)]
         a, b = np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
         return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["u", "v"])
 
-    return _in_tiles(rows, shared, kept, first, edges)
+    return _in_tiles(rows, kept, first, edges)
 
 
-def _in_tiles(rows: DataFrame, shared: DataFrame, kept: list[str], first: F.Column, edges) -> DataFrame:
-    """Links (u, v) that ``edges`` (rows, first and last + 1 of every run) finds in the runs of rows under one key of ``shared`` (key, n), dealt to tiles."""
+def _in_tiles(rows: DataFrame, kept: list[str], first: F.Column, edges) -> DataFrame:
+    """Links (u, v) that ``edges`` (rows, first and last + 1 of every run) finds in the runs of rows under one key, of which there are ``n``, dealt to tiles."""
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    met = rows.join(shared, "key").select("key", *kept, own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    met = rows.select("key", *kept, own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
     met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *kept)
 
     def cut_up(rows: pa.Table) -> pa.RecordBatch:
@@ -269,7 +274,8 @@ def _prefix_links(docs: DataFrame, roots: DataFrame, shingle: int, least: float,
     The first shingles of a set, in one order of all shingles, are its keys: similar sets share one. The order is that of the hashes, but
     the commonest shingles come last, so that few sets have them as keys. Which ones these are changes the work, never the result.
     """
-    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+    spark, texts = docs.sparkSession, docs.select(F.col(f"`{text_col}`").alias("text"))
+    pairs_path, links_path = place(spark, "pairs"), place(spark, "links")
 
     def prefixes(common: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,18 +291,7 @@ def _prefix_links(docs: DataFrame, roots: DataFrame, shingle: int, least: float,
                 types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["node", "n_own", "bits", "first"])
 
-        found = texts.mapInArrow(run, "node long, n_own long, bits binary, first array<long>")
-        return found.groupBy("node").agg(F.first("n_own").alias("n_own"), F.first("bits").alias("bits"), F.first("first").alias("first"))
-
-    plain = saved(prefixes(np.empty(0, np.uint64)), "prefixes")
-    counts = plain.select(F.explode("first").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON)
-    common = [r.key for r in counts.orderBy(F.desc("n"), "key").limit(COMMONS).collect()]
-    rows = saved(prefixes(np.array(common, np.int64).view(np.uint64)), "prefixes") if common else plain
-    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    keyed = rows.select("node", "root", F.explode("first").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b"))
-    shared = saved(shared.where("a < b").select("key", "n"), "keys")
-    placed = rows.select("node", "root", "n_own", "bits", F.posexplode("first").alias("at", "key"))
+        return texts.mapInArrow(run, "node long, n_own long, bits binary, first array<long>")
 
     def candidates(rows: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
         node, root, n, at = (rows[c].to_numpy() for c in ("node", "root", "n_own", "at"))
@@ -316,8 +311,19 @@ def _prefix_links(docs: DataFrame, roots: DataFrame, shingle: int, least: float,
         both = np.unique(np.stack([u, v], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["u", "v"])
 
-    pairs = saved(_in_tiles(placed, shared, ["node", "root", "n_own", "bits", "at"], F.col("n_own"), candidates).distinct(), "pairs")
-    sets = saved(_sets_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")), shingle, text_col), "sets")
+    with scope(spark):
+        counts = prefixes(np.empty(0, np.uint64)).select(F.explode("first").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON)
+        common = [r.key for r in counts.orderBy(F.desc("n"), "key").limit(COMMONS).collect()]
+        rows = prefixes(np.array(common, np.int64).view(np.uint64))
+        rows = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_own", "bits", "first")])
+        rows = saved(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        # keys travel with numbers only; what shares one with another group takes its bits along
+        keyed = rows.select("node", "root", F.posexplode("first").alias("at", "key"))
+        under = Window.partitionBy("key")
+        met = keyed.withColumns({"a": F.min("root").over(under), "b": F.max("root").over(under), "n": F.count(F.lit(1)).over(under)}).where("a < b")
+        met = saved(met.select("key", "node", "at", "n"), "met")
+        placed = met.join(rows.select("node", "root", "n_own", "bits"), "node")
+        pairs = saved(_in_tiles(placed, ["node", "root", "n_own", "bits", "at"], F.col("n_own"), candidates).distinct(), path=pairs_path)
 
     def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -331,18 +337,20 @@ def _prefix_links(docs: DataFrame, roots: DataFrame, shingle: int, least: float,
             keep = np.bitwise_count(a ^ b).sum(axis=1) <= total - 2 * (least / (1 + least) * total - 1e-6)
             yield batch.select(["u", "v"]).filter(pa.array(keep))
 
-    # sets are long: first a bound that loses no pair
-    wide = saved(sets.mapInArrow(widened, "node long, n long, bits binary"), "wide")
-    one, other = wide.select(F.col("node").alias("u"), F.col("n").alias("m"), F.col("bits").alias("a")), wide.select(F.col("node").alias("v"), "n", F.col("bits").alias("b"))
-    pairs = saved(pairs.join(one, "u").join(other, "v").select("u", "v", "m", "n", "a", "b").mapInArrow(near, "u long, v long"), "near")
-    left, right = sets.select(F.col("node").alias("u"), F.col("set").alias("a")), sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
-
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             a, b = ([np.frombuffer(h, "<u8") for h in batch[c].to_pylist()] for c in ("a", "b"))
             yield batch.select(["u", "v"]).filter(pa.array([alike(x, y, least) for x, y in zip(a, b)], pa.bool_()))
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compared, "u long, v long")
+    with scope(spark):
+        sets = saved(_sets_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")), shingle, text_col), "sets")
+        # sets are long: first a bound that loses no pair
+        wide = saved(sets.mapInArrow(widened, "node long, n long, bits binary"), "wide")
+        one, other = wide.select(F.col("node").alias("u"), F.col("n").alias("m"), F.col("bits").alias("a")), wide.select(F.col("node").alias("v"), "n", F.col("bits").alias("b"))
+        pairs = saved(pairs.join(one, "u").join(other, "v").select("u", "v", "m", "n", "a", "b").mapInArrow(near, "u long, v long"), "near")
+        left, right = sets.select(F.col("node").alias("u"), F.col("set").alias("a")), sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
+        links = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compared, "u long, v long")
+        return saved(links, path=links_path)
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,14 +380,22 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     nodes = rows.groupBy("node").agg(F.first(fp).alias("fingerprint"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     halves = pivot_halves()
     nodes = saved(nodes.select("node", fp, halves[0].alias("t0"), halves[1].alias("t1"), "sketch", "keys"), "nodes")
-    # sketches are long: only sets that meet another one under some key take theirs along
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "met")
-    meeting = saved(keyed.join(shared, "key"), "meeting")
-    sets = saved(_sets_of(docs, meeting.select("node"), shingle, text_col), "sets")
-    edges = saved(_links_under(meeting.join(nodes.drop("keys"), "node").join(sets, "node"), radius, similarity), "edges")
+    # sketches and sets are long: only sets that meet one of another group take theirs along. Most copies meet under the first key
+    spark, edges, roots = docs.sparkSession, None, None
+    for bands in (F.col("band") == 0, F.col("band") > 0):
+        links_path, roots_path = place(spark, "edges"), place(spark, "roots")
+        with scope(spark):
+            keyed = nodes.select("node", F.posexplode("keys").alias("band", "key")).where(bands).drop("band")
+            keyed = keyed.withColumn("root", F.col("node")) if roots is None else keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            ends = Window.partitionBy("key")
+            meeting = keyed.withColumns({"a": F.min("root").over(ends), "b": F.max("root").over(ends)}).where("a < b")
+            meeting = saved(meeting.select("node", "root", "key"), "meeting")
+            sets = saved(_sets_of(docs, meeting.select("node"), shingle, text_col), "sets")
+            found = saved(_links_under(meeting.join(nodes.drop("keys"), "node").join(sets, "node"), radius, similarity), path=links_path)
+            edges = found if edges is None else edges.unionByName(found)
+            roots = saved(connected(edges), path=roots_path)
     # most groups are whole by now; all pairs of sets of different groups that can still link are looked at
-    edges = edges.unionByName(_prefix_links(docs, saved(connected(edges), "roots"), shingle, similarity, text_col))
+    edges = edges.unionByName(_prefix_links(docs, roots, shingle, similarity, text_col))
     return _named(rows.select("doc_id", F.col("node").alias("fingerprint")), edges)
 
 
@@ -410,7 +426,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
 
     Rows of equal id are one document and stay together. Rows with a null id stay where their whole group has none.
     """
-    found = saved(similar_documents(docs, shingle, similarity, id_col=id_col, text_col=text_col), "groups")
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "groups")
+    with scope(spark):
+        found = saved(similar_documents(docs, shingle, similarity, id_col=id_col, text_col=text_col), path=path)
     own, same = unused(docs, "own_id"), unused(docs, "own_set")
     ids = found.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
     id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")

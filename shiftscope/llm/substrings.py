@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from shiftscope.llm.common import saved, slices
+from shiftscope.llm.common import saved, scope, slices
+from shiftscope.session import scratch_path
 
 GRAM = 10
 TILE = 128
@@ -285,8 +286,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, layout: bool = True, id_co
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
     rest = [F.struct(*others).alias("rest")] if others else []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *rest).withColumn("row", F.xxhash64("text"))
-    ranges = repeated_windows(rows.select("doc_id", "row", "text"), window).distinct().groupBy("doc_id", "row").agg(F.collect_list(F.struct("low", "high", "more")).alias("ranges"))
-    ranges = saved(ranges, "ranges")
+    path = scratch_path(docs.sparkSession, "ranges")
+    with scope(docs.sparkSession):
+        ranges = repeated_windows(rows.select("doc_id", "row", "text"), window).distinct().groupBy("doc_id", "row").agg(F.collect_list(F.struct("low", "high", "more")).alias("ranges"))
+        ranges = saved(ranges, path=path)
     names = ["doc_id", "text", "n_words", "n_removed", "spans"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))]
 

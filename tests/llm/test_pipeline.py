@@ -20,8 +20,8 @@ def test_stages(spark, sf):
     sets = {d: _shingles(t) for d, t in good.items()}
     alike = {d: max((len(s & sets[e]) / len(s | sets[e]) for e in sets if e != d), default=0) for d, s in sets.items()}
     assert all(single[d] == good[d] for d in single)
-    assert all(alike[d] >= 0.7 for d in set(good) - set(single)) and all(d in single for d in good if alike[d] < 0.7)
-    assert not [1 for d in single for e in single if d < e and len(sets[d] & sets[e]) >= 0.9 * len(sets[d] | sets[e])]
+    assert all(alike[d] >= 0.8 for d in set(good) - set(single)) and all(d in single for d in good if alike[d] < 0.8)
+    assert not [1 for d in single for e in single if d < e and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e])]
     want = _kept(sorted(single.items()))
     assert {d: " ".join(t.split()) for d, t in cut.items()} == {d: " ".join(t.split()) for d, (n, g, t) in want.items() if not g or g < n}
     assert all(cut[d] == single[d] for d in cut if not want[d][1])
