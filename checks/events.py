@@ -227,7 +227,7 @@ def readings(spark, sf):
 
 @query("M13_kalman_monitor", "select machine_id, t, value, round(level, 6) as level, round(slope, 6) as slope from kf", _KAL)
 def _(spark, sf):
-    return rounded(S.kalman_monitor(readings(spark, sf)), "level", "slope")
+    return rounded(S.kalman_monitor(readings(spark, sf), position="t"), "level", "slope")
 
 
 @query("M13_kalman_blocks", "select machine_id, t, value, round(level, 6) as level, round(slope, 6) as slope from kf", _KAL)

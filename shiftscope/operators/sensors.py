@@ -91,14 +91,19 @@ def _starts(maps: DataFrame, blocks: int, fan: int) -> DataFrame:
     return groups.select("machine_id", F.inline(chained))
 
 
-def kalman_monitor(readings: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
+def kalman_monitor(readings: DataFrame, block: int = BLOCK, fan: int = FAN, position: str | None = None) -> DataFrame:
     """(machine_id, t, value, level, slope) after every reading.
 
     The gains do not depend on the readings, so a reading changes the state by a fixed affine map. The readings of a machine are cut in blocks
     by position; the maps of blocks are composed in parallel, level by level, and the blocks are folded from their true start. A
-    machine may have any number of readings: no task holds more than a block of them, or ``fan`` maps.
+    machine may have any number of readings: no task holds more than a block of them, or ``fan`` maps. ``position`` names a column that numbers
+    the readings of a machine from 1 without gaps already; without one they are numbered here.
     """
-    rows = positions(readings.select("machine_id", "t", F.col("value").cast("double").alias("value")), ["machine_id"], "t")
+    value = F.col("value").cast("double").alias("value")
+    if position:
+        rows = readings.select("machine_id", "t", value, F.col(position).cast("bigint").alias("pos"))
+    else:
+        rows = positions(readings.select("machine_id", "t", value), ["machine_id"], "t")
     pos = F.col("pos")
     reading = F.struct("pos", "t", "value", _gain(pos, 0).alias("k0"), _gain(pos, 1).alias("k1"))
     blocks = rows.groupBy("machine_id", F.floor((pos - 1) / block).alias("block")).agg(F.sort_array(F.collect_list(reading)).alias("rows"))
